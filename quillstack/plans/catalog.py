@@ -1,7 +1,394 @@
-"""All queries on the reference operators."""
+"""All queries on the core operators, over whole tables."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from quillstack.adapters import hash_embedding
+from quillstack.functions import prompts, text as tx
+from quillstack.functions.tokens import count_tokens, count_tokens_batch
+from quillstack.functions.where import apply_where
+from quillstack.operators import collection as col, documents as docs, responses as resp, retrieval as ret, segments as seg
+from quillstack.operators.ordered import latest
+from quillstack.plans.sql import SQL
+from quillstack.schemas import SegmentConfig, valid_context, valid_page
+from quillstack.session import materialise, ship_package, work_folder
+from quillstack.sources import json_results as js
+from quillstack.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+#: Sizes of the packing queries; the SQL uses the same.
+CONFIG = SegmentConfig(max_tokens=120, overlap_tokens=30, min_tokens=50)
+BUDGET, TOP = 300, 5
+
+
+def query(f: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, folder)
+
+    _QUERIES[f.__name__] = run
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def _pages(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    raw = table(spark, folder, "extracted_pages")
+    keys = ("source_file", "page_number", "ingested_at", "page_id")
+    return seg.current_pages(raw.select(*keys, *[c for c in columns if c not in keys]))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return seg.current_documents(table(spark, folder, "extraction_results").select("source_file", "context", "ingested_at"))
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return latest(table(spark, folder, "chunks"), ["chunk_id"], ["ingested_at", "token_count"])
+
+
+def _csv(column: str):
+    return F.concat_ws(",", column).alias(column)
+
+
+@query
+def page_merge(spark, folder):
+    """Place of every non-blank page in its document's merged text."""
+    return seg.merge_pages(_pages(spark, folder, "content")).select("source_file", "page_number", "start_pos", "end_pos")
+
+
+@query
+def page_stats(spark, folder):
+    return docs.all_page_stats(_documents(spark, folder), _pages(spark, folder, "content", "has_table", "has_list", "extraction_confidence"))
+
+
+@query
+def full_content(spark, folder):
+    return docs.full_content(_pages(spark, folder, "content"))
+
+
+@query
+def all_sections(spark, folder):
+    return docs.all_sections(_pages(spark, folder, "sections"))
+
+
+@query
+def document_id(spark, folder):
+    return table(spark, folder, "extraction_results").select("source_file").distinct().withColumn("document_id", tx.document_id(F.col("source_file")))
+
+
+@query
+def abbreviation_map(spark, folder):
+    return _documents(spark, folder).select("source_file", F.explode(docs.abbreviation_map(F.col("context.abbreviations"))).alias("short", "long"))
+
+
+@query
+def failed_pages(spark, folder):
+    """Pages to look at again: low confidence or a refusal."""
+    pages = _pages(spark, folder, "content", "extraction_confidence")
+    return docs.failed_pages(pages, resp.is_refusal(F.col("content"))).select("source_file", _csv("failed"), F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def refusal_filter(spark, folder):
+    replies = table(spark, folder, "raw_responses").where(resp.is_refusal(F.col("response_text")))
+    pages = table(spark, folder, "extracted_pages").where(resp.is_refusal(F.col("content")))
+    return replies.select(F.lit("reply").alias("kind"), F.col("response_id").alias("id")).unionByName(pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"))).distinct()
+
+
+@query
+def page_validation(spark, folder):
+    """Rows outside their domains, by table."""
+    pages = table(spark, folder, "extracted_pages").where(~valid_page(F.col("page_number"), F.col("extraction_confidence"))).select(F.lit("page").alias("kind"))
+    c = lambda f: F.col(f"context.{f}")
+    bad = table(spark, folder, "extraction_results").where(~valid_context(c("document_type"), c("title"), c("total_pages"), c("language"))).select(F.lit("document").alias("kind"))
+    return pages.unionByName(bad).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def sample_pages(spark, folder):
+    return _documents(spark, folder).select("source_file", F.array_join(docs.sample_pages(F.col("context.total_pages")), ",").alias("pages"))
+
+
+@query
+def context_string(spark, folder):
+    return _documents(spark, folder).select("source_file", prompts.context_string(F.col("context")).alias("context_string"))
+
+
+@query
+def page_prompt(spark, folder):
+    """Prompts of every page, with its document's lines."""
+    known = _documents(spark, folder).select("source_file", F.col("context.total_pages").alias("total_pages"), prompts.page_system_prompt(F.col("context")).alias("system_prompt"))
+    out = _pages(spark, folder).select("source_file", "page_number").join(known, "source_file")
+    return out.select("source_file", "page_number", F.md5("system_prompt").alias("system_md5"), prompts.page_user_prompt(F.col("page_number"), F.col("total_pages")).alias("user_prompt"))
+
+
+@query
+def token_usage(spark, folder):
+    return docs.token_usage(table(spark, folder, "raw_responses"))
+
+
+@query
+def json_extract(spark, folder):
+    return table(spark, folder, "raw_responses").select("response_id", resp.find_json(F.col("response_text")).alias("found"))
+
+
+@query
+def page_parse(spark, folder):
+    p = table(spark, folder, "raw_responses").select("response_id", resp.parse_page(F.col("response_text"), F.col("page_number")).alias("p"))
+    return p.select(
+        "response_id", "p.page_number", "p.content", F.size("p.sections").alias("n_sections"), F.array_join("p.sections.number", "|").alias("numbers"), F.array_join(F.transform("p.sections.title", lambda t: F.coalesce(t, F.lit("-"))), "|").alias("titles"),
+        F.array_join("p.content_types", ",").alias("content_types"), "p.has_table", "p.has_list", "p.has_figure", "p.continues_to_next", "p.extraction_confidence",
+    )
+
+
+@query
+def context_parse(spark, folder):
+    """Contexts written as fenced replies and parsed back."""
+    fields = F.struct(*[F.col(f"context.{f}").alias(f) for f in ("document_type", "title", "institution", "faculty", "version_date", "degree_program", "chapters", "abbreviations")])
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(fields), F.lit("\n```"))
+    c = _documents(spark, folder).select("source_file", resp.parse_context(reply, F.col("context.total_pages")).alias("c"))
+    return c.select(
+        "source_file", "c.document_type", "c.title", "c.institution", "c.faculty", "c.version_date", "c.degree_program", "c.total_pages", F.array_join("c.chapters", "|").alias("chapters"),
+        F.array_join(F.transform("c.abbreviations", lambda a: F.concat(a["short"], F.lit("="), a["long"])), "|").alias("abbreviations"),
+    )
+
+
+@query
+def json_roundtrip(spark, folder):
+    """Documents with their pages, written as JSON and read again."""
+    names = ("page_number", "content", "sections", "paragraph_numbers", "content_types", "has_table", "has_list", "has_figure", "internal_references", "external_references", "continues_from_previous", "continues_to_next", "extraction_confidence", "extraction_notes")
+    pages = _pages(spark, folder, *names).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("pages"))
+    path = f"{work_folder(spark).rstrip('/')}/quillstack/json-roundtrip"
+    js.write_json(latest(table(spark, folder, "extraction_results"), ["source_file"], ["ingested_at"]).drop("ingested_at").join(pages, "source_file", "left"), path, mode="overwrite")
+    back = js.read_extractions(spark, path, multi_line=False)
+    total = F.aggregate("pages", F.lit(0), lambda s, p: s + F.length(F.coalesce(p["content"], F.lit(""))))
+    return back.select("source_file", F.col("context.title").alias("title"), "processed_at", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"), F.coalesce(total, F.lit(0)).alias("n_chars"))
+
+
+@query
+def sentence_split(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("position", "sentence"))
+
+
+@query
+def sentence_count(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query
+def token_count(spark, folder):
+    text = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", count_tokens(text).alias("tokens"), F.aggregate(count_tokens_batch(tx.sentences(text)), F.lit(0), lambda s, x: s + x).alias("sentence_tokens"))
+
+
+def _sentences(spark, folder):
+    return seg.page_sentences(_pages(spark, folder, "content"))
+
+
+@query
+def sentence_pages(spark, folder):
+    """Sentences of the merged documents with the pages that they touch."""
+    return _sentences(spark, folder).select("source_file", "sentence_no", "sentence", "start_pos", "end_pos", _csv("page_numbers"), "tokens")
+
+
+@query
+def sentence_pages_join(spark, folder):
+    """The same pages by an interval join of spans and pages."""
+    spans = _sentences(spark, folder).select("source_file", "sentence_no", "start_pos", "end_pos")
+    return seg.pages_of_spans(spans, seg.merge_pages(_pages(spark, folder, "content"))).select("source_file", "sentence_no", "start_pos", "end_pos", _csv("page_numbers"))
+
+
+@query
+def chunk_pack(spark, folder):
+    return seg.pack_sentences(_sentences(spark, folder), CONFIG).select("source_file", "first_no", "last_no", "is_last")
+
+
+def _segments(spark, folder):
+    return seg.segment_documents(_pages(spark, folder, "content"), _documents(spark, folder), CONFIG)
+
+
+@query
+def micro_chunk_filter(spark, folder):
+    sentences = materialise(_sentences(spark, folder), "sentences")
+    rows = seg.drop_small(seg.segment_rows(sentences, seg.pack_sentences(sentences, CONFIG)), CONFIG)
+    return rows.select("source_file", "first_no", "last_no", "token_count")
+
+
+@query
+def chunk_metadata(spark, folder):
+    """Pages to numbered segments with neighbours."""
+    return _segments(spark, folder).withColumn("page_numbers", F.concat_ws(",", "page_numbers"))
+
+
+@query
+def chunk_stats(spark, folder):
+    chunks = materialise(_segments(spark, folder), "segments")
+    return seg.segment_stats(chunks, _sentences(spark, folder), _pages(spark, folder), _documents(spark, folder))
+
+
+def vector_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """The embeddings as a collection: a label is a document, its vectors in order of id are its chunks."""
+    vectors = table(spark, folder, "embeddings")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("label").orderBy("vec_id")
+    rows = vectors.withColumn("chunk_index", F.row_number().over(order) - 1).join(texts, "vec_id", "left")
+    document, i = F.concat(F.lit("label_"), F.col("label").cast("string")), F.col("chunk_index")
+    last = F.max("chunk_index").over(Window.partitionBy("label"))
+    return rows.select(
+        "vec_id", tx.chunk_id(document, i).alias("chunk_id"), document.alias("document_id"), "label", "chunk_index", F.coalesce("text", F.lit("")).alias("text"), "embedding",
+        F.when(i > 0, tx.chunk_id(document, i - 1)).alias("prev_chunk_id"), F.when(i < last, tx.chunk_id(document, i + 1)).alias("next_chunk_id"),
+    )
+
+
+def _probe(corpus: DataFrame) -> list[float]:
+    """The vector of the smallest id, as the query of the single searches."""
+    return corpus.select("vec_id", "embedding").orderBy("vec_id").first().embedding
+
+
+def _nearest(spark, folder, metric, where=None, k=10):
+    corpus = vector_collection(spark, folder).select("vec_id", "chunk_id", "label", "embedding")
+    return ret.search(corpus, _probe(table(spark, folder, "embeddings")), k, metric, where).select("chunk_id", "distance", "similarity")
+
+
+@query
+def knn_cosine(spark, folder):
+    return _nearest(spark, folder, "cosine")
+
+
+@query
+def knn_l2(spark, folder):
+    return _nearest(spark, folder, "l2")
+
+
+@query
+def knn_ip(spark, folder):
+    return _nearest(spark, folder, "ip")
+
+
+@query
+def knn_filtered(spark, folder):
+    return _nearest(spark, folder, "cosine", {"$and": [{"label": {"$in": [1, 2, 3]}}, {"vec_id": {"$gte": 100}}]})
+
+
+def _hits(corpus: DataFrame) -> DataFrame:
+    """Searches for every row whose id is divisible by 50, against all rows."""
+    queries_ = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    return ret.search_many(corpus, queries_, TOP)
+
+
+@query
+def knn_batched(spark, folder):
+    return _hits(materialise(vector_collection(spark, folder), "corpus"))
+
+
+def _expanded(spark, folder):
+    corpus = materialise(vector_collection(spark, folder), "corpus")
+    return ret.expand_neighbours(materialise(_hits(corpus), "hits"), corpus)
+
+
+@query
+def neighbor_expand(spark, folder):
+    """Rows that are only neighbours of hits."""
+    return _expanded(spark, folder).where("NOT is_hit").select("query_id", "chunk_id", "distance", "similarity")
+
+
+@query
+def hit_neighbor_union(spark, folder):
+    return _expanded(spark, folder).select("query_id", "chunk_id", "document_id", "chunk_index", "is_hit", "distance")
+
+
+@query
+def context_budget(spark, folder):
+    return ret.budget(_expanded(spark, folder), BUDGET).select("query_id", "chunk_id", "position", "tokens", "separated", "included")
+
+
+@query
+def context_text(spark, folder):
+    return ret.context_text(ret.budget(_expanded(spark, folder), BUDGET)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
+@query
+def retrieve_context(spark, folder):
+    """Flagship: batched search, neighbours, document order, budget, context text."""
+    corpus = materialise(vector_collection(spark, folder), "corpus")
+    return ret.retrieve(corpus, materialise(_hits(corpus), "hits"), BUDGET).select("query_id", "context_text", "token_count", "total_results")
+
+
+@query
+def metadata_flatten(spark, folder):
+    return col.flatten_chunk(_chunks(spark, folder))
+
+
+@query
+def collection_count(spark, folder):
+    return _chunks(spark, folder).agg(F.count("*").alias("n"))
+
+
+@query
+def document_ids(spark, folder):
+    return table(spark, folder, "chunks").select(F.col("metadata.document_id").alias("document_id")).distinct()
+
+
+@query
+def chunk_lookup(spark, folder):
+    """The first chunk of the catalogue, by id."""
+    return col.lookup(_chunks(spark, folder), ["mhb_gesamtkatalog_chunk_0000"]).select("chunk_id", "text", "distance", "similarity")
+
+
+@query
+def chunk_multi_lookup(spark, folder):
+    ids = [f"mhb_gesamtkatalog_chunk_{i:04d}" for i in (0, 1, 2, 3, 5, 8, 999_999)]
+    return col.lookup(_chunks(spark, folder), ids).select("chunk_id", "distance", "similarity")
+
+
+@query
+def chunk_neighbors(spark, folder):
+    flat = col.flatten_chunk(_chunks(spark, folder))
+    return col.neighbours_of(flat, "mhb_gesamtkatalog_chunk_0001")
+
+
+@query
+def where_filter(spark, folder):
+    flat = col.flatten_chunk(_chunks(spark, folder))
+    where = {"$or": [{"document_type": "pruefungsordnung", "chunk_index": {"$lte": 2}}, {"$and": [{"document_type": {"$nin": ["faq", "website"]}}, {"total_chunks": {"$gt": 10}}, {"chunk_index": {"$ne": 0}}]}]}
+    return apply_where(flat, where).select("chunk_id")
+
+
+def _deliveries(spark, folder):
+    raw = table(spark, folder, "chunks")
+    first = raw.groupBy("chunk_id").agg(F.min("ingested_at").alias("ingested_at"))
+    stored = raw.join(first, ["chunk_id", "ingested_at"], "left_semi").select("chunk_id", "token_count")
+    later = raw.join(first, ["chunk_id", "ingested_at"], "left_anti").select("chunk_id", F.coalesce("token_count", F.lit(-1)).alias("token_count"))
+    return stored, later
+
+
+@query
+def upsert(spark, folder):
+    """Later deliveries merged into the first ones."""
+    stored, later = _deliveries(spark, folder)
+    return col.merge_rows(stored.groupBy("chunk_id").agg(F.max("token_count").alias("token_count")), later).fillna(-1, ["token_count"])
+
+
+@query
+def delete_document(spark, folder):
+    flat = col.flatten_chunk(_chunks(spark, folder))
+    return flat.where(~F.col("document_id").eqNullSafe("mhb_gesamtkatalog")).select("chunk_id", "document_id")
+
+
+@query
+def embed_batch(spark, folder):
+    """Vectors of texts by the offline stand-in; blank texts get an empty one."""
+    blank = F.length(tx.strip(F.coalesce("text", F.lit("")))) == 0
+    vector = F.when(blank, F.array().cast("array<float>")).otherwise(hash_embedding(F.col("text")))
+    return table(spark, folder, "documents").select("doc_id", F.size(vector).alias("dimensions"))
