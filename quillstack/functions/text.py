@@ -18,10 +18,11 @@ ABBREVIATIONS = (
 #: Letters of multi-part abbreviations, and characters that may open a sentence.
 LETTER, OPENING = "a-zäöüA-ZÄÖÜ", 'A-ZÄÖÜ0-9„"(§'
 
-_MULTI = rf"(?U)(?<=\b[{LETTER}])\.(?=[{LETTER}]\.)|(?<=\b[{LETTER}]\.[{LETTER}])\."
+# Each pattern starts at the point itself and looks back from there, so that other characters cost one comparison.
+_MULTI = rf"(?U)\.(?<=\b[{LETTER}]\.)(?=[{LETTER}]\.)|\.(?<=\b[{LETTER}][.{POINT}][{LETTER}]\.)"
 _REFERENCE = r"(?iU)(§\s*\d+\s+(?:Abs|Nr|Satz))\.(?=\s*\d)"
-_SHORT = rf"(?iU)(?<!\w)({'|'.join(ABBREVIATIONS)})\.(?=\s)"
-_ORDINAL = r"(?U)(?<=\s)(\d{1,3})\.(?=\s)"
+_SHORT = rf"(?iU)\.(?<=(?<!\w)(?:{'|'.join(ABBREVIATIONS)})\.)(?=\s)"
+_ORDINAL = r"(?U)\.(?<=\s\d{1,3}\.)(?=\s)"
 _GAP = rf"(?U)(?<=[.!?])(\s+)(?=[{OPENING}])"
 
 
@@ -36,8 +37,8 @@ def protect(text: Column) -> Column:
     Each replacement is one character for one, so places in the text stay as they are."""
     text = F.regexp_replace(text, _MULTI, POINT)
     text = F.regexp_replace(text, _REFERENCE, f"$1{POINT}")
-    text = F.regexp_replace(text, _SHORT, f"$1{POINT}")
-    return F.regexp_replace(text, _ORDINAL, f"$1{POINT}")
+    text = F.regexp_replace(text, _SHORT, POINT)
+    return F.regexp_replace(text, _ORDINAL, POINT)
 
 
 def restore(text: Column) -> Column:

@@ -20,6 +20,18 @@ def running_sum(df: DataFrame, group: list[str], bucket: Column, order: list[str
     return out.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_bucket", "_value", "_inside", "_offset")
 
 
+def beside(df: DataFrame, group: list[str], bucket: Column, order: str, value: str, name: str, ahead: bool = False) -> DataFrame:
+    """Adds `name`: the value of the row before (or, with ahead, behind) in the group; null at its end."""
+    df = df.withColumn("_bucket", bucket)
+    edge = (F.min_by if ahead else F.max_by)(value, order)
+    edges = df.groupBy(*group, "_bucket").agg(edge.alias("_edge"))
+    step = F.lead if ahead else F.lag
+    carried = edges.select(*group, "_bucket", step("_edge").over(Window.partitionBy(*group).orderBy("_bucket")).alias("_carried"))
+    inside = Window.partitionBy(*group, "_bucket").orderBy(order)
+    out = df.withColumns({"_inside": step(value).over(inside), "_edge_row": step(F.lit(1)).over(inside).isNull()}).join(carried, [*group, "_bucket"])
+    return out.withColumn(name, F.when(F.col("_edge_row"), F.col("_carried")).otherwise(F.col("_inside"))).drop("_bucket", "_inside", "_edge_row", "_carried")
+
+
 def latest(df: DataFrame, key: list[str], newest_first: list[str]) -> DataFrame:
     """One row for each key: that with the greatest values of the given columns (partial maximum, no window)."""
     rest = [c for c in df.columns if c not in key and c not in newest_first]

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstack.functions import text as tx
 from quillstack.functions.tokens import Counter, count_tokens
-from quillstack.operators.ordered import latest, running_sum
+from quillstack.operators.ordered import beside, latest, running_sum
 from quillstack.schemas import SegmentConfig
 from quillstack.session import materialise
 
@@ -33,24 +32,31 @@ def current_documents(documents: DataFrame) -> DataFrame:
     return latest(documents, ["source_file"], ["ingested_at"])
 
 
+def _bodies(pages: DataFrame) -> DataFrame:
+    return pages.select("source_file", "page_number", tx.strip("content").alias("body")).where(F.length("body") > 0)
+
+
 def merge_pages(pages: DataFrame) -> DataFrame:
-    """(source_file, page_number, body, start_pos, end_pos): stripped non-blank pages and their place in the merged text.
+    """(source_file, page_number, start_pos, end_pos): the place of each non-blank page in its document's merged text.
 
-    The merged text joins the bodies by a blank line; that separator belongs to the page before it. pages:
+    The merged text joins the stripped pages by a blank line; that separator belongs to the page before it. pages:
     (source_file, page_number, content), one row for each page."""
-    bodies = pages.select("source_file", "page_number", tx.strip("content").alias("body")).where(F.length("body") > 0)
-    placed = running_sum(bodies, ["source_file"], _page_bucket(), ["page_number"], F.length("body") + 2, "start_pos")
-    return placed.select("source_file", "page_number", "body", "start_pos", (F.col("start_pos") + F.length("body") + 2).alias("end_pos"))
+    sizes = _bodies(pages).select("source_file", "page_number", F.length("body").alias("n"))
+    return _placed(sizes).select("source_file", "page_number", "start_pos", (F.col("start_pos") + F.col("n") + 2).alias("end_pos"))
+
+
+def _placed(sizes: DataFrame) -> DataFrame:
+    return running_sum(sizes, ["source_file"], _page_bucket(), ["page_number"], F.col("n") + 2, "start_pos")
 
 
 def _page_bucket() -> Column:
     return F.floor(F.col("page_number") / PAGE_BUCKET)
 
 
-def merged_text(merged: DataFrame, separator: str = "\n\n") -> DataFrame:
-    """(source_file, text): the whole text of each document as one value. For documents that fit in a row."""
-    pages = F.array_sort(F.collect_list(F.struct("page_number", "body")))
-    return merged.groupBy("source_file").agg(F.array_join(F.transform(pages, lambda p: p["body"]), separator).alias("text"))
+def merged_text(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """(source_file, text): the merged text of each document as one value. For documents that fit in a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "body")))
+    return _bodies(pages).groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["body"]), separator).alias("text"))
 
 
 def page_sentences(pages: DataFrame, counter: Counter = count_tokens) -> DataFrame:
@@ -58,37 +64,44 @@ def page_sentences(pages: DataFrame, counter: Counter = count_tokens) -> DataFra
 
     Numbers and places count from 0 in the merged text. A sentence may run over page ends; page_numbers are the pages
     that it touches."""
-    merged = merge_pages(pages)
-    framed = tx.protect(F.concat(F.when(F.col("start_pos") > 0, "\n\n").otherwise(""), F.col("body"), F.lit("\n\n")))
-    lead = F.when(F.col("start_pos") > 0, 2).otherwise(0)
-    cut = merged.select("source_file", "page_number", "start_pos", F.substring(framed, lead + 1, F.length("body")).alias("body"))
-    cut = materialise(cut, "pages")
-    # does a page open a new sentence? it takes the last characters of the page before, which may be in another bucket
-    edge = cut.select("source_file", "page_number", _page_bucket().alias("b"), F.expr("right(body, 24)").alias("tail"), F.substring("body", 1, 1).alias("head"))
-    lasts = edge.groupBy("source_file", "b").agg(F.max_by("tail", "page_number").alias("tail"))
-    lasts = lasts.select("source_file", "b", F.lag("tail").over(Window.partitionBy("source_file").orderBy("b")).alias("carried"))
-    inside = F.lag("tail").over(Window.partitionBy("source_file", "b").orderBy("page_number"))
-    edge = edge.withColumn("before", inside).join(lasts, ["source_file", "b"]).withColumn("before", F.coalesce("before", "carried"))
+    # one pass over the texts: parts by the boundaries inside a page, as if other pages lay around it
+    body = _bodies(pages)
+    cut = lambda before: F.split(tx.mark_boundaries(F.substring(tx.protect(F.concat(F.lit(before), F.col("body"), F.lit("\n\n"))), F.lit(len(before) + 1), F.length("body"))), tx.BOUNDARY)
+    numbered = F.col("body").rlike(r"(?U)^\d{1,3}\.\s")  # only then it matters whether a page is a document's first
+    base = body.select("source_file", "page_number", F.length("body").alias("n"), cut("\n\n").alias("parts"), F.when(numbered, cut("")).alias("first_parts"))
+    base = base.withColumns({"head": F.substring(F.element_at("parts", 1), 1, 1), "tail": F.expr("right(element_at(parts, -1), 24)"), "k": F.size("parts"), "first_k": F.size(F.coalesce("first_parts", "parts"))})
+    base = materialise(base, "pages")
+    # light rows: places, whether a page opens a new sentence and whether the next one does, running sentence numbers
+    light = _placed(base.select("source_file", "page_number", "n", "head", "tail", "k", "first_k"))
+    light = beside(light, ["source_file"], _page_bucket(), "page_number", "tail", "before")
     reference = F.col("before").rlike(r"(?iU)§\s*\d+\s+Satz\.$") & F.col("head").rlike("[0-9]")
-    opens = F.col("before").isNull() | F.col("before").rlike(r"[.!?]$") & F.col("head").rlike(f"[{tx.OPENING}]") & ~reference
-    parts = F.split(tx.mark_boundaries(F.col("body")), tx.BOUNDARY)
-    pages_cut = cut.join(edge.select("source_file", "page_number", opens.alias("opens")), ["source_file", "page_number"]).withColumn("parts", parts)
-    pages_cut = running_sum(pages_cut, ["source_file"], _page_bucket(), ["page_number"], F.size("parts") - 1 + F.col("opens").cast("int"), "before")
-    # places of the parts: running lengths inside the page
-    lengths = F.transform("parts", lambda p: F.length(p))
-    starts = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda s, x: s + x))
-    rows = pages_cut.select("source_file", "page_number", "start_pos", "before", "opens", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("parts") - 1).alias("k"), F.col("parts").alias("part"), starts.alias("at"))).alias("p"))
-    number = F.col("before") + F.col("p.k") + F.col("opens").cast("int") - 1
-    blank_lead = F.length("p.part") - F.length(F.regexp_replace("p.part", r"(?U)^\s+", ""))
-    rows = rows.select("source_file", "page_number", number.alias("sentence_no"), tx.strip(tx.restore(F.col("p.part"))).alias("part"), (F.col("start_pos") + F.col("p.at") + blank_lead).alias("at"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "page_number", "part")))
-    whole = rows.groupBy("source_file", "sentence_no").agg(ordered.alias("o"))
-    sentence = F.array_join(F.transform("o", lambda x: x["part"]), "\n\n")
+    light = light.withColumn("opens", F.col("before").isNull() | F.col("before").rlike(r"[.!?]$") & F.col("head").rlike(f"[{tx.OPENING}]") & ~reference)
+    first = F.col("start_pos") == 0
+    light = light.select("source_file", "page_number", "start_pos", "opens", F.when(first, F.col("first_k")).otherwise(F.col("k")).alias("k"))
+    light = materialise(light, "places")
+    light = beside(light, ["source_file"], _page_bucket(), "page_number", "opens", "next_opens", ahead=True)
+    light = running_sum(light, ["source_file"], _page_bucket(), ["page_number"], F.col("k") - 1 + F.col("opens").cast("int"), "before")
+    whole = base.select("source_file", "page_number", "parts", "first_parts").join(light.withColumnRenamed("k", "n_parts"), ["source_file", "page_number"])
+    whole = whole.withColumn("parts", F.when(first & F.col("first_parts").isNotNull(), F.col("first_parts")).otherwise(F.col("parts"))).drop("first_parts")
+    running = F.aggregate("parts", F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("n")), lambda s, p: F.struct(F.concat(s["a"], F.array(s["n"])).alias("a"), (s["n"] + F.length(p)).alias("n")))
+    rows = whole.select("*", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.col("n_parts") - 1).alias("k"), F.col("parts").alias("part"), running["a"].alias("at"))).alias("p")).drop("parts")
+    raw, k = F.col("p.part"), F.col("p.k")
+    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
+    complete = ((k > 0) | F.col("opens")) & ((k < F.col("n_parts") - 1) | F.coalesce("next_opens", F.lit(True)))
+    rows = rows.select(
+        "source_file", "page_number", (F.col("before") + k + F.col("opens").cast("int") - 1).alias("sentence_no"), tx.strip(tx.restore(raw)).alias("sentence"), (F.col("start_pos") + F.col("p.at") + lead).alias("start_pos"), complete.alias("complete"),
+    )
+    rows = materialise(rows, "parts")
+    # nearly all sentences lie in one page; only parts of the others are brought together
+    inside = rows.where("complete").select("source_file", "sentence_no", "sentence", "start_pos", (F.col("start_pos") + F.length("sentence")).alias("end_pos"), F.array("page_number").alias("page_numbers"))
+    ordered = F.array_sort(F.collect_list(F.struct("start_pos", "page_number", "sentence")))
+    across = rows.where("NOT complete").groupBy("source_file", "sentence_no").agg(ordered.alias("o"))
     last = F.element_at("o", -1)
-    return whole.select(
-        "source_file", "sentence_no", sentence.alias("sentence"), F.element_at("o", 1)["at"].alias("start_pos"), (last["at"] + F.length(last["part"])).alias("end_pos"),
-        F.array_sort(F.array_distinct(F.transform("o", lambda x: x["page_number"]))).alias("page_numbers"),
-    ).withColumn("tokens", counter(F.col("sentence")))
+    across = across.select(
+        "source_file", "sentence_no", F.array_join(F.transform("o", lambda x: x["sentence"]), "\n\n").alias("sentence"), F.element_at("o", 1)["start_pos"].alias("start_pos"),
+        (last["start_pos"] + F.length(last["sentence"])).alias("end_pos"), F.array_sort(F.array_distinct(F.transform("o", lambda x: x["page_number"]))).alias("page_numbers"),
+    )
+    return inside.unionByName(across).withColumn("tokens", counter(F.col("sentence")))
 
 
 def pages_of_spans(spans: DataFrame, merged: DataFrame, key: str = "source_file", width: int = 4096) -> DataFrame:
@@ -135,26 +148,24 @@ def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTEN
     light = materialise(light.select("source_file", F.explode(home).alias("block"), "no", "tokens"), "tokens")
     keyed = light.repartition("source_file", "block").sortWithinPartitions("source_file", "block", "no")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, dict]]:
-        """Runs of rows with one (source_file, block); other columns by their first value."""
-        held: list[pd.DataFrame] = []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, int]]:
+        """Runs of rows with one (source_file, block): both, the tokens, and the entry if there is such a column."""
+        key, held, entry = None, [], 0
         for batch in batches:
-            frame = batch.to_pandas()
-            if frame.empty:
+            if not batch.num_rows:
                 continue
-            change = (frame["source_file"] != frame["source_file"].shift()) | (frame["block"] != frame["block"].shift())
-            for _, run in frame.groupby(change.cumsum(), sort=False):
-                if held and (held[0]["source_file"].iloc[0] != run["source_file"].iloc[0] or held[0]["block"].iloc[0] != run["block"].iloc[0]):
-                    yield _joined(held)
-                    held = []
-                held.append(run)
+            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            source, block_no, sizes = columns["source_file"].to_numpy(zero_copy_only=False), columns["block"].to_numpy(), columns["tokens"].to_numpy()
+            entries_ = columns["entry"].to_numpy() if "entry" in columns else None
+            edges = np.flatnonzero((source[1:] != source[:-1]) | (block_no[1:] != block_no[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(sizes)], strict=True):
+                if key != (source[a], block_no[a]):
+                    if held:
+                        yield *key, np.concatenate(held), entry
+                    key, held, entry = (source[a], block_no[a]), [], 0 if entries_ is None else entries_[a]
+                held.append(sizes[a:b])
         if held:
-            yield _joined(held)
-
-    def _joined(held):
-        frame = pd.concat(held) if len(held) > 1 else held[0]
-        first = frame.iloc[0]
-        return first["source_file"], int(first["block"]), frame["tokens"].to_numpy(), first
+            yield *key, np.concatenate(held), entry
 
     def exits(batches):
         out = []
@@ -166,7 +177,7 @@ def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTEN
                 leave[s] = after[s] if after[s] < 0 or after[s] >= block else leave[after[s]]
             entry = leave[: min(reach, starts)]
             change = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-            out.append((source, b, change.tolist(), entry[change].tolist()))
+            out.append((source, int(b), change.tolist(), entry[change].tolist()))
             if len(out) >= 500:
                 yield _batch(out, _EXITS)
                 out = []
@@ -196,12 +207,11 @@ def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTEN
 
     def segments(batches):
         out = []
-        for source, b, sizes, first in groups(batches):
+        for source, b, sizes, s in groups(batches):
             starts = min(block, len(sizes))
             last, after = _follow(sizes, config, starts, len(sizes) < block + reach)
-            s = int(first["entry"])
             while 0 <= s < starts:
-                out.append((source, b * block + s, b * block + int(last[s]), bool(after[s] < 0)))
+                out.append((source, int(b * block + s), int(b * block + last[s]), bool(after[s] < 0)))
                 s = int(after[s])
             if len(out) >= 5000:
                 yield _batch(out, _SEGMENTS)
