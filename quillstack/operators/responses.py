@@ -33,9 +33,14 @@ def needs_retry(content: Column, confidence: Column) -> Column:
 def find_json(reply: Column) -> Column:
     """The JSON part of a reply: the first closed json fence, else the first closed fence, else the first braces that
     balance (braces inside strings count), else the reply. Null for null."""
-    fence = lambda mark: F.regexp_extract(reply, rf"(?s)^.*?{mark}(.*?)```", 1)
-    closed = lambda mark: reply.rlike(rf"(?s){mark}.+?```")
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    def fenced(mark: str) -> Column:
+        """What stands between the first such mark and the next fence; null if nothing does."""
+        begin = F.locate(mark, reply) + len(mark)
+        end = F.locate("```", F.substring(reply, begin, F.length(reply)))
+        return F.when(F.contains(reply, F.lit(mark)) & (end > 1), strip(F.substring(reply, begin, end - 1)))
+
     rest = F.substring(reply, F.locate("{", reply), F.length(reply))
     # only braces matter for the balance: their places and a running depth, without a row for each character
     marks = F.regexp_extract_all(rest, F.lit(r"([^{}]*[{}])"), 1)
@@ -46,7 +51,7 @@ def find_json(reply: Column) -> Column:
     )
     end = F.aggregate(marks, start, step)["end"]
     balanced = F.when(F.contains(reply, F.lit("{")) & (end > 0), F.substring(rest, F.lit(1), end))
-    return F.when(closed("```json"), strip(fence("```json"))).when(closed("```"), strip(fence("```"))).otherwise(F.coalesce(balanced, reply))
+    return F.coalesce(fenced("```json"), fenced("```"), balanced, reply)
 
 
 def _object(text: str | None) -> dict | None:

@@ -67,12 +67,13 @@ def page_sentences(pages: DataFrame, counter: Counter = count_tokens) -> DataFra
     # one pass over the texts: parts by the boundaries inside a page, as if other pages lay around it
     body = _bodies(pages)
     cut = lambda before: F.split(tx.mark_boundaries(F.substring(tx.protect(F.concat(F.lit(before), F.col("body"), F.lit("\n\n"))), F.lit(len(before) + 1), F.length("body"))), tx.BOUNDARY)
-    numbered = F.col("body").rlike(r"(?U)^\d{1,3}\.\s")  # only then it matters whether a page is a document's first
+    numbered = F.col("body").rlike(r"(?U)^\d{1,3}\.(\s|$)")  # only then it matters whether a page is a document's first
     base = body.select("source_file", "page_number", F.length("body").alias("n"), cut("\n\n").alias("parts"), F.when(numbered, cut("")).alias("first_parts"))
-    base = base.withColumns({"head": F.substring(F.element_at("parts", 1), 1, 1), "tail": F.expr("right(element_at(parts, -1), 24)"), "k": F.size("parts"), "first_k": F.size(F.coalesce("first_parts", "parts"))})
+    base = base.withColumns({"head": F.substring(F.element_at("parts", 1), 1, 1), "tail": F.expr("right(element_at(parts, -1), 24)"), "k": F.size("parts"), "first_k": F.size(F.coalesce("first_parts", "parts")), "first_tail": F.expr("right(element_at(coalesce(first_parts, parts), -1), 24)")})
     base = materialise(base, "pages")
     # light rows: places, whether a page opens a new sentence and whether the next one does, running sentence numbers
-    light = _placed(base.select("source_file", "page_number", "n", "head", "tail", "k", "first_k"))
+    light = _placed(base.select("source_file", "page_number", "n", "head", "tail", "first_tail", "k", "first_k"))
+    light = light.withColumn("tail", F.when(F.col("start_pos") == 0, F.col("first_tail")).otherwise(F.col("tail")))
     light = beside(light, ["source_file"], _page_bucket(), "page_number", "tail", "before")
     reference = F.col("before").rlike(r"(?iU)§\s*\d+\s+Satz\.$") & F.col("head").rlike("[0-9]")
     light = light.withColumn("opens", F.col("before").isNull() | F.col("before").rlike(r"[.!?]$") & F.col("head").rlike(f"[{tx.OPENING}]") & ~reference)
