@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 BATCH_ROWS = 1000
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with one batch in, one batch out, and slices of at most BATCH_ROWS rows."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with one batch in, one batch out, and slices of at most so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                yield fn(batch.slice(at, BATCH_ROWS))
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -72,41 +72,64 @@ def _composed_lookalikes() -> dict[str, str]:
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[dict[str, str], dict[str, str]]:
-    """(one character to one, one character to several), from the Unicode data and LOOKALIKES."""
-    alike, out = _composed_lookalikes(), {}
+def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """(form to one character, form to several, look-alike to letter), from the Unicode data and LOOKALIKES."""
+    forms: dict[str, str] = {h: "-" for h in HYPHENS}
     for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
+        if 0xD800 <= code <= 0xDFFF or chr(code) in forms:
             continue
         form = unicodedata.decomposition(chr(code)).split(" ")
         if form[0] in _FORMS or form[0] == "<compat>" and any(a <= code <= b for a, b in _COMPAT):
             plain = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", chr(code)))
             if plain[:1] != " " and plain != chr(code):
-                out[chr(code)] = plain
-    out |= alike | {h: "-" for h in HYPHENS}
-    # what the forms lead to may itself be a look-alike (a mathematical Greek letter)
-    out = {a: "".join(alike.get(c, c) for c in b) for a, b in out.items()}
-    return {a: b for a, b in out.items() if len(b) == 1}, {a: b for a, b in out.items() if len(b) > 1}
+                forms[chr(code)] = plain
+    return {a: b for a, b in forms.items() if len(b) == 1}, {a: b for a, b in forms.items() if len(b) > 1}, _composed_lookalikes()
 
 
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _ranges(table: dict[str, str]) -> str:
+    """The keys of a table as ranges of a character class."""
+    codes = sorted(map(ord, table))
+    out, first = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], -1], strict=True):
+        if b != a + 1:
+            out.append(rf"\x{{{first:X}}}-\x{{{a:X}}}")
+            first = b
+    return "".join(out)
+
+
 @lru_cache(maxsize=1)
-def form_sql(column: str = "text") -> str:
-    """The embedded SQL expression for the form of a column; null stays null."""
-    single, several = tables()
-    steps = f"nfc_normalize({column})"
-    # a joiner behind a picture stays
-    steps = rf"regexp_replace({steps}, '([\x{{2600}}-\x{{27BF}}\x{{1F000}}-\x{{1FAFF}}]\x{{FE0F}}?)\x{{200D}}', '\1{_KEPT_JOINER}', 'g')"
-    steps = f"regexp_replace({steps}, '[{_INVISIBLE}]+', '', 'g')"
-    steps = f"translate({steps}, {_sql(''.join(single))}, {_sql(''.join(single.values()))})"
-    expanded = steps
-    for a, b in several.items():
-        expanded = f"replace({expanded}, {_sql(a)}, {_sql(b)})"
-    steps = f"CASE WHEN regexp_matches({column}, '[{''.join(several)}]') THEN {expanded} ELSE {steps} END"
-    return f"trim(regexp_replace(nfc_normalize({steps}), '[{_SPACES}]+', ' ', 'g'))"
+def form_sql(source: str = "batch_in") -> str:
+    """The embedded SQL: (id, text, form) of a relation (id, text), step by step; null stays null."""
+    single, several, alike = tables()
+    one, more = {a: b for a, b in alike.items() if len(b) == 1}, {a: b for a, b in alike.items() if len(b) > 1}
+    picture = r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}]\x{FE0F}?"
+
+    def translate(table: dict[str, str]) -> str:
+        return f"CASE WHEN regexp_matches(t, '[{_ranges(table)}]') THEN translate(t, {_sql(''.join(table))}, {_sql(''.join(table.values()))}) ELSE t END"
+
+    def expand(table: dict[str, str]) -> str:
+        known = f"MAP {{{', '.join(f'{_sql(a)}: {_sql(b)}' for a, b in table.items())}}}"
+        spelt = f"array_to_string(list_transform(string_split(t, ''), lambda c: coalesce(map_extract_value({known}, c), c)), '')"
+        return f"CASE WHEN regexp_matches(t, '[{_ranges(table)}]') THEN {spelt} ELSE t END"
+
+    steps = (
+        "nfc_normalize(text)",
+        rf"regexp_replace(t, '({picture})\x{{200D}}', '\1{_KEPT_JOINER}', 'g')",  # a joiner behind a picture stays
+        f"regexp_replace(t, '[{_INVISIBLE}]+', '', 'g')",
+        expand(several),
+        f"nfc_normalize({translate(single)})",  # a narrow letter and its mark are one letter before look-alikes are sought
+        expand(more),
+        f"nfc_normalize({translate(one)})",
+        f"trim(regexp_replace(t, '[{_SPACES}]+', ' ', 'g'))",
+    )
+    query = f"SELECT id, text, text AS t FROM {source}"
+    for step in steps:
+        query = f"SELECT id, text, {step} AS t FROM ({query})"
+    return f"SELECT id, text, t AS form FROM ({query})"
 
 
 _LOCAL = threading.local()
@@ -133,16 +156,13 @@ def unify(df: DataFrame, id_col: str, text_col: str, keep_form: bool = True, bal
         con = _duck()
         con.register("batch_in", pa.Table.from_batches([batch]))
         try:
-            out = con.sql(
-                f"SELECT id, {shown}CASE WHEN form <> '' THEN unhex(md5(form)) END AS form_key, unhex(md5(text)) AS text_key "
-                f"FROM (SELECT id, text, {form_sql()} AS form FROM batch_in)"
-            ).to_arrow_table()
+            out = con.sql(f"SELECT id, {shown}CASE WHEN form <> '' THEN unhex(md5(form)) END AS form_key, unhex(md5(text)) AS text_key FROM ({form_sql()})").to_arrow_table()
         finally:
             con.unregister("batch_in")
         return out.combine_chunks().cast(_schema(batch.schema.field(0).type, keep_form)).to_batches()[0] if out.num_rows else _nothing(batch, keep_form)
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = arrow_map(spread(source) if balance else source, run, f"id {kind}, {'form string, ' if keep_form else ''}form_key binary, text_key binary")
+    out = arrow_map(spread(source) if balance else source, run, f"id {kind}, {'form string, ' if keep_form else ''}form_key binary, text_key binary", rows=10_000)
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
