@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
+from itertools import chain
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstack.functions.tokens import Counter, count_tokens
-from quillstack.functions.vectors import distance
+from quillstack.functions.vectors import METRICS, distance
 from quillstack.functions.where import apply_where
+from quillstack.session import materialise
 
 SEPARATOR, SEPARATOR_TOKENS = "---", 3
 
@@ -26,73 +31,79 @@ def search(corpus: DataFrame, vector: list[float], k: int = 3, metric: str = "co
     return scored.select(*[c for c in corpus.columns if c != "embedding"], (F.round("_d", 6) + 0.0).alias("distance"), (F.round(1 - F.col("_d"), 6) + 0.0).alias("similarity"))
 
 
-def search_many(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine", where: Mapping[str, Any] | None = None, exclude_self: bool = False, parts: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, rank, distance, similarity) of the k nearest rows for each of a stated set of queries.
-
-    queries: (query_id, vector). The set is read in blocks of bounded size; each block is compared with the corpus by a
-    matrix product per Arrow batch, and every batch sends on only its k best for each query. Ties are broken by
-    chunk_id."""
-    import numpy as np
-    import pyarrow as pa
+#: Queries of one block at most, and corpus rows compared at a time: together they bound the memory of a task.
+QUERY_BLOCK, CORPUS_ROWS = 2000, 1000
+_NEAR = "query_id string, chunk_id string, d double"
 
-    corpus = apply_where(corpus, where).select("chunk_id", "embedding")
-    blocks = _query_blocks(queries)
 
-    def near(block):
-        ids, matrix = block
-        own = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+def search_many(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine", where: Mapping[str, Any] | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank, distance, similarity) of the k nearest rows for each of a stated set of queries.
 
-        def run(batches):
-            for batch in batches:
-                names = np.asarray(batch.column(0).to_pylist(), dtype=object)
-                vectors = [v for v in batch.column(1).to_pylist()]
-                keep = np.array([v is not None and len(v) == matrix.shape[1] and None not in v for v in vectors], bool)
-                if not keep.any():
-                    continue
-                names, x = names[keep], np.array([v for v, ok in zip(vectors, keep, strict=True) if ok], dtype=np.float64)
-                if metric == "cosine":
-                    norm = np.linalg.norm(x, axis=1)
-                    d = 1.0 - own @ (x / np.maximum(norm, 1e-300)[:, None]).T
-                    d[:, norm == 0] = np.inf
-                    d[np.linalg.norm(matrix, axis=1) == 0] = np.inf
-                elif metric == "l2":
-                    d = (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * matrix @ x.T
-                else:
-                    d = 1.0 - matrix @ x.T
-                if exclude_self:
-                    d[ids[:, None] == names[None, :]] = np.inf
-                rows = []
-                for q in range(len(ids)):
-                    n = min(k, d.shape[1])
-                    bound = np.partition(d[q], n - 1)[n - 1]
-                    rows += [(ids[q], names[j], float(d[q, j])) for j in np.flatnonzero(d[q] <= bound) if np.isfinite(d[q, j])]
-                if rows:
-                    a, b, c = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["query_id", "chunk_id", "d"])
-
-        return corpus.mapInArrow(run, "query_id string, chunk_id string, d double")
-
-    out = None
-    for block in blocks:
-        one = near(block)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], "query_id string, chunk_id string, rank int, distance double, similarity double")
+    queries: (query_id, vector). The set is taken in blocks of QUERY_BLOCK, one block at a time; a block goes to the
+    executors with its tasks and is compared with the corpus by matrix products. A task passes on only rows that are no
+    worse than the k best it has seen for a query. With several blocks each block's candidates are written to the
+    shared folder, so neither the driver nor the plan grows with the set. Ties are broken by chunk_id; null vectors and
+    vectors of another length are left out, and so are zero vectors for the cosine."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    corpus = apply_where(corpus, where).select(F.col("chunk_id").cast("string"), "embedding")
+    blocks = _query_blocks(queries)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        found = corpus.sparkSession.createDataFrame([], _NEAR)
+    elif second is None:
+        found = _near(corpus, *first, k, metric)
+    else:
+        parts = [materialise(_near(corpus, *block, k, metric), "near") for block in chain((first, second), blocks)]
+        found = reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy("query_id").orderBy("d", "chunk_id")
-    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "rank", (F.round("d", 6) + 0.0).alias("distance"), (F.round(1 - F.col("d"), 6) + 0.0).alias("similarity"))
 
 
-#: Queries of one block at most; vectors of a block are part of the task, so this bounds its size.
-QUERY_BLOCK = 2000
+def _near(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str) -> DataFrame:
+    """Candidates of one block of queries: at least the k nearest rows of every task, with all ties."""
+    size = np.linalg.norm(matrix, axis=1)
+    own = matrix / np.where(size > 0, size, 1.0)[:, None]
+
+    def distances(x: np.ndarray) -> np.ndarray:
+        if metric == "ip":
+            return 1.0 - matrix @ x.T
+        if metric == "l2":
+            return (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * matrix @ x.T
+        norm = np.linalg.norm(x, axis=1)
+        d = 1.0 - own @ (x / np.where(norm > 0, norm, 1.0)[:, None]).T
+        d[:, norm == 0] = np.inf
+        d[size == 0] = np.inf
+        return d
+
+    def run(batches):
+        limit = np.full(len(ids), np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CORPUS_ROWS):
+                batch = whole.slice(at, CORPUS_ROWS)
+                vectors = batch.column(1).to_pylist()
+                keep = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and None not in v]
+                if not keep:
+                    continue
+                d = distances(np.array([vectors[i] for i in keep], dtype=np.float64))
+                if d.shape[1] >= k:
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                q, row = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                names = batch.column(0).take(pa.array(keep)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.string()), names, pa.array(d[q, row])], names=["query_id", "chunk_id", "d"])
 
+    return corpus.mapInArrow(run, _NEAR)
 
-def _query_blocks(queries: DataFrame):
-    """Blocks of (ids, matrix) of the stated query set."""
-    import numpy as np
 
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (ids, matrix) of the stated query set; null ids and vectors are left out."""
     ids, rows = [], []
-    for r in queries.select(F.col("query_id").cast("string"), "vector").where("query_id IS NOT NULL AND vector IS NOT NULL").orderBy("query_id").toLocalIterator():
+    for r in queries.select(F.col("query_id").cast("string"), "vector").where("query_id IS NOT NULL AND vector IS NOT NULL").toLocalIterator():
+        if rows and len(r.vector) != len(rows[0]):
+            raise ValueError("all query vectors must have one length")
         ids.append(r.query_id)
         rows.append(r.vector)
         if len(ids) == QUERY_BLOCK:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillstack.adapters import hash_embedding
 from quillstack.functions import prompts, text as tx
 from quillstack.functions.tokens import count_tokens, count_tokens_batch
 from quillstack.functions.where import apply_where
 from quillstack.operators import collection as col, documents as docs, responses as resp, retrieval as ret, segments as seg
-from quillstack.operators.ordered import latest
+from quillstack.operators.ordered import latest, running_sum
 from quillstack.plans.sql import SQL
 from quillstack.schemas import SegmentConfig, valid_context, valid_page
 from quillstack.session import materialise, ship_package, work_folder
@@ -169,8 +170,8 @@ def json_roundtrip(spark, folder):
     """Documents with their pages, written as JSON and read again."""
     names = ("page_number", "content", "sections", "paragraph_numbers", "content_types", "has_table", "has_list", "has_figure", "internal_references", "external_references", "continues_from_previous", "continues_to_next", "extraction_confidence", "extraction_notes")
     pages = _pages(spark, folder, *names).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("pages"))
-    path = f"{work_folder(spark).rstrip('/')}/quillstack/json-roundtrip"
-    js.write_json(latest(table(spark, folder, "extraction_results"), ["source_file"], ["ingested_at"]).drop("ingested_at").join(pages, "source_file", "left"), path, mode="overwrite")
+    path = f"{work_folder(spark).rstrip('/')}/quillstack/json-{uuid.uuid4().hex}"
+    js.write_json(latest(table(spark, folder, "extraction_results"), ["source_file"], ["ingested_at"]).drop("ingested_at").join(pages, "source_file", "left"), path)
     back = js.read_extractions(spark, path, multi_line=False)
     total = F.aggregate("pages", F.lit(0), lambda s, p: s + F.length(F.coalesce(p["content"], F.lit(""))))
     return back.select("source_file", F.col("context.title").alias("title"), "processed_at", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"), F.coalesce(total, F.lit(0)).alias("n_chars"))
@@ -241,10 +242,10 @@ def vector_collection(spark: SparkSession, folder: str) -> DataFrame:
     """The embeddings as a collection: a label is a document, its vectors in order of id are its chunks."""
     vectors = table(spark, folder, "embeddings")
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = vectors.withColumn("chunk_index", F.row_number().over(order) - 1).join(texts, "vec_id", "left")
-    document, i = F.concat(F.lit("label_"), F.col("label").cast("string")), F.col("chunk_index")
-    last = F.max("chunk_index").over(Window.partitionBy("label"))
+    numbered = running_sum(vectors, ["label"], F.floor(F.col("vec_id") / 4096), ["vec_id"], F.lit(1), "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
+    sizes = vectors.groupBy("label").agg((F.count("*") - 1).alias("_last"))
+    rows = numbered.join(sizes, "label").join(texts, "vec_id", "left")
+    document, i, last = F.concat(F.lit("label_"), F.col("label").cast("string")), F.col("chunk_index"), F.col("_last")
     return rows.select(
         "vec_id", tx.chunk_id(document, i).alias("chunk_id"), document.alias("document_id"), "label", "chunk_index", F.coalesce("text", F.lit("")).alias("text"), "embedding",
         F.when(i > 0, tx.chunk_id(document, i - 1)).alias("prev_chunk_id"), F.when(i < last, tx.chunk_id(document, i + 1)).alias("next_chunk_id"),

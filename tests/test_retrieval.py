@@ -40,6 +40,21 @@ def test_many_equal_single(spark, corpus):
             for i, r in enumerate(ret.search(corpus, v, 3, metric).collect()):
                 assert got[q, i + 1][0] == r.chunk_id and abs(got[q, i + 1][1] - r.distance) < 2e-6
     assert not ret.search_many(corpus, queries.where("false"), 3).count()
+    with pytest.raises(ValueError):
+        ret.search_many(corpus, queries, 0)
+
+
+def test_blocks_and_ties(spark, monkeypatch):
+    rnd = random.Random(7)
+    vectors = [[float(rnd.randint(-2, 2)) for _ in range(3)] for _ in range(300)]
+    corpus = spark.createDataFrame([(f"c{i:03d}", v) for i, v in enumerate(vectors)] + [("n", None), ("s", [1.0])], "chunk_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(vectors[:25])], "query_id string, vector array<float>")
+    monkeypatch.setattr(ret, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(ret, "CORPUS_ROWS", 40)
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in ret.search_many(corpus, queries, 4, "l2").collect()}
+    for q, v in enumerate(vectors[:25]):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), f"c{i:03d}") for i, w in enumerate(vectors))[:4]
+        assert [got[f"q{q}", n + 1] for n in range(4)] == [name for _, name in want]
 
 
 def test_neighbours(spark, corpus):
