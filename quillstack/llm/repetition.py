@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from math import log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,8 @@ def js_distance(p: dict[str, float], q: dict[str, float]) -> float:
     for k in p.keys() | q.keys():
         x, y = p.get(k, 0.0) / a, q.get(k, 0.0) / b
         m = (x + y) / 2
-        total += (x * np.log2(x / m) if x > 0 else 0.0) + (y * np.log2(y / m) if y > 0 else 0.0)
-    return float(np.sqrt(max(total, 0.0) / 2))
+        total += (x * log2(x / m) if x > 0 else 0.0) + (y * log2(y / m) if y > 0 else 0.0)
+    return sqrt(max(total, 0.0) / 2)
 
 
 def divergence(text: str | None) -> tuple[float | None, float | None]:
