@@ -65,7 +65,7 @@ def wanted_pages(info: DataFrame, start: int = 1, end: int | None = None) -> Dat
 def render_pages(files: DataFrame, wanted: DataFrame, make: Callable[[], Renderer], dpi: int = 150, fmt: str = "png") -> DataFrame:
     """Images of wanted pages (source_file, page_number). Pages outside a document are left out; each document is
     opened once a batch, and pages are made one after the other."""
-    by_file = wanted.groupBy("source_file").agg(F.array_sort(F.collect_set("page_number")).alias("pages"))
+    by_file = wanted.groupBy("source_file").agg(F.sort_array(F.collect_set("page_number")).alias("pages"))
     joined = files.select(F.col("path").alias("source_file"), "content").join(by_file, "source_file")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

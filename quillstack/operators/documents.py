@@ -23,7 +23,7 @@ def all_page_stats(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 def full_content(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """(source_file, content): page contents as stored, blank ones too, joined in page order. A document becomes one value."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("content", F.lit("")).alias("content"))))
+    ordered = F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("content", F.lit("")).alias("content"))))
     return pages.groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["content"]), separator).alias("content"))
 
 
@@ -43,7 +43,7 @@ def abbreviation_map(abbreviations: Column) -> Column:
 def failed_pages(pages: DataFrame, refused: Column) -> DataFrame:
     """(source_file, failed, errors): ascending numbers of pages with low confidence or a refusal, and a message for each."""
     bad = pages.where((F.coalesce("extraction_confidence", F.lit(1.0)) < 1.0) | F.coalesce(refused, F.lit(False)))
-    numbers = F.array_sort(F.collect_list("page_number"))
+    numbers = F.sort_array(F.collect_list("page_number"))
     out = bad.groupBy("source_file").agg(numbers.alias("failed"))
     return out.withColumn("errors", F.transform("failed", lambda n: F.format_string("Page %d: extraction incomplete", n)))
 

@@ -148,7 +148,7 @@ def budget(rows: DataFrame, max_tokens: int, counter: Counter = count_tokens) ->
 def context_text(budgeted: DataFrame, counter: Counter = count_tokens) -> DataFrame:
     """(query_id, context_text, chunk_ids, token_count, total_results): included texts in order, counted afresh."""
     part = F.when(F.col("separated"), F.concat(F.lit(f"{SEPARATOR}\n\n"), F.col("text"))).otherwise(F.col("text"))
-    ordered = F.array_sort(F.collect_list(F.struct("position", part.alias("part"), "chunk_id")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", part.alias("part"), "chunk_id")))
     out = budgeted.where("included").groupBy("query_id").agg(ordered.alias("o"))
     out = out.select("query_id", F.array_join(F.transform("o", lambda x: x["part"]), "\n\n").alias("context_text"), F.transform("o", lambda x: x["chunk_id"]).alias("chunk_ids"))
     return out.withColumn("token_count", counter(F.col("context_text"))).withColumn("total_results", F.size("chunk_ids"))

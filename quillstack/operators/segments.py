@@ -55,7 +55,7 @@ def _page_bucket() -> Column:
 
 def merged_text(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """(source_file, text): the merged text of each document as one value. For documents that fit in a row."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "body")))
+    ordered = F.sort_array(F.collect_list(F.struct("page_number", "body")))
     return _bodies(pages).groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["body"]), separator).alias("text"))
 
 
@@ -95,12 +95,12 @@ def page_sentences(pages: DataFrame, counter: Counter = count_tokens) -> DataFra
     rows = materialise(rows, "parts")
     # nearly all sentences lie in one page; only parts of the others are brought together
     inside = rows.where("complete").select("source_file", "sentence_no", "sentence", "start_pos", (F.col("start_pos") + F.length("sentence")).alias("end_pos"), F.array("page_number").alias("page_numbers"))
-    ordered = F.array_sort(F.collect_list(F.struct("start_pos", "page_number", "sentence")))
+    ordered = F.sort_array(F.collect_list(F.struct("start_pos", "page_number", "sentence")))
     across = rows.where("NOT complete").groupBy("source_file", "sentence_no").agg(ordered.alias("o"))
     last = F.element_at("o", -1)
     across = across.select(
         "source_file", "sentence_no", F.array_join(F.transform("o", lambda x: x["sentence"]), "\n\n").alias("sentence"), F.element_at("o", 1)["start_pos"].alias("start_pos"),
-        (last["start_pos"] + F.length(last["sentence"])).alias("end_pos"), F.array_sort(F.array_distinct(F.transform("o", lambda x: x["page_number"]))).alias("page_numbers"),
+        (last["start_pos"] + F.length(last["sentence"])).alias("end_pos"), F.sort_array(F.array_distinct(F.transform("o", lambda x: x["page_number"]))).alias("page_numbers"),
     )
     return inside.unionByName(across).withColumn("tokens", counter(F.col("sentence")))
 
@@ -113,7 +113,7 @@ def pages_of_spans(spans: DataFrame, merged: DataFrame, key: str = "source_file"
     left = spans.select("*", cells().alias("_cell"))
     right = merged.select(F.col(key), F.col("page_number").alias("_page"), F.col("start_pos").alias("_a"), F.col("end_pos").alias("_b"), cells().alias("_cell"))
     touching = left.join(right, [key, "_cell"], "left").where("_page IS NULL OR (_a < end_pos AND _b > start_pos)")
-    return touching.groupBy(*spans.columns).agg(F.array_sort(F.collect_set("_page")).alias("page_numbers"))
+    return touching.groupBy(*spans.columns).agg(F.sort_array(F.collect_set("_page")).alias("page_numbers"))
 
 
 def _follow(tokens: np.ndarray, config: SegmentConfig, starts: int, complete: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +236,10 @@ def segment_rows(sentences: DataFrame, packed: DataFrame, counter: Counter = cou
     """(source_file, first_no, last_no, is_last, text, token_count, page_numbers) of each segment."""
     members = packed.select("*", F.explode(F.sequence("first_no", "last_no")).alias("sentence_no"))
     joined = members.join(sentences.select("source_file", "sentence_no", "sentence", "page_numbers"), ["source_file", "sentence_no"])
-    ordered = F.array_sort(F.collect_list(F.struct("sentence_no", "sentence", "page_numbers")))
+    ordered = F.sort_array(F.collect_list(F.struct("sentence_no", "sentence", "page_numbers")))
     rows = joined.groupBy("source_file", "first_no", "last_no", "is_last").agg(ordered.alias("o"))
     text = F.array_join(F.transform("o", lambda x: x["sentence"]), " ")
-    rows = rows.select("source_file", "first_no", "last_no", "is_last", text.alias("text"), F.array_sort(F.array_distinct(F.flatten(F.transform("o", lambda x: x["page_numbers"])))).alias("page_numbers"))
+    rows = rows.select("source_file", "first_no", "last_no", "is_last", text.alias("text"), F.sort_array(F.array_distinct(F.flatten(F.transform("o", lambda x: x["page_numbers"])))).alias("page_numbers"))
     return rows.withColumn("token_count", counter(F.col("text")))
 
 
@@ -271,8 +271,8 @@ def segment_documents(pages: DataFrame, documents: DataFrame, config: SegmentCon
     """Pages to numbered segments, all documents at once. pages: one row for each page of each file."""
     config = config or SegmentConfig()
     sentences = materialise(page_sentences(pages, counter), "sentences")
-    rows = materialise(drop_small(segment_rows(sentences, pack_sentences(sentences, config), counter), config), "segments")
-    return number_segments(rows, documents)
+    rows = materialise(segment_rows(sentences, pack_sentences(sentences, config), counter), "segments")  # so that a filter does not count again
+    return number_segments(drop_small(rows, config), documents)
 
 
 def segment_stats(chunks: DataFrame, sentences: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:

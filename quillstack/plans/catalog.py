@@ -15,7 +15,7 @@ from quillstack.operators import collection as col, documents as docs, responses
 from quillstack.operators.ordered import latest, running_sum
 from quillstack.plans.sql import SQL
 from quillstack.schemas import SegmentConfig, valid_context, valid_page
-from quillstack.session import materialise, ship_package, work_folder
+from quillstack.session import materialise, ship_package, spread, work_folder
 from quillstack.sources import json_results as js
 from quillstack.sources.tables import table
 
@@ -58,6 +58,10 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "chunks"), ["chunk_id"], ["ingested_at", "token_count"])
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def _csv(column: str):
     return F.concat_ws(",", column).alias(column)
 
@@ -169,7 +173,7 @@ def context_parse(spark, folder):
 def json_roundtrip(spark, folder):
     """Documents with their pages, written as JSON and read again."""
     names = ("page_number", "content", "sections", "paragraph_numbers", "content_types", "has_table", "has_list", "has_figure", "internal_references", "external_references", "continues_from_previous", "continues_to_next", "extraction_confidence", "extraction_notes")
-    pages = _pages(spark, folder, *names).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("pages"))
+    pages = _pages(spark, folder, *names).groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("pages"))
     path = f"{work_folder(spark).rstrip('/')}/quillstack/json-{uuid.uuid4().hex}"
     js.write_json(latest(table(spark, folder, "extraction_results"), ["source_file"], ["ingested_at"]).drop("ingested_at").join(pages, "source_file", "left"), path)
     back = js.read_extractions(spark, path, multi_line=False)
@@ -179,18 +183,18 @@ def json_roundtrip(spark, folder):
 
 @query
 def sentence_split(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("position", "sentence"))
+    return _texts(spark, folder).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("position", "sentence"))
 
 
 @query
 def sentence_count(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+    return _texts(spark, folder).select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
 
 
 @query
 def token_count(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents").select("doc_id", count_tokens(text).alias("tokens"), F.aggregate(count_tokens_batch(tx.sentences(text)), F.lit(0), lambda s, x: s + x).alias("sentence_tokens"))
+    return _texts(spark, folder).select("doc_id", count_tokens(text).alias("tokens"), F.aggregate(count_tokens_batch(tx.sentences(text)), F.lit(0), lambda s, x: s + x).alias("sentence_tokens"))
 
 
 def _sentences(spark, folder):
@@ -222,7 +226,7 @@ def _segments(spark, folder):
 @query
 def micro_chunk_filter(spark, folder):
     sentences = materialise(_sentences(spark, folder), "sentences")
-    rows = seg.drop_small(seg.segment_rows(sentences, seg.pack_sentences(sentences, CONFIG)), CONFIG)
+    rows = seg.drop_small(materialise(seg.segment_rows(sentences, seg.pack_sentences(sentences, CONFIG)), "segments"), CONFIG)
     return rows.select("source_file", "first_no", "last_no", "token_count")
 
 

@@ -64,3 +64,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_folder(spark).rstrip('/')}/quillstack/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, force: bool = False, per_core: int = 3) -> DataFrame:
+    """Deal the rows evenly over the cluster before heavy work on each row, if the plan has fewer tasks than that needs.
+
+    A few parquet files with one row group each give a few tasks however large they are. A scan that already has two
+    tasks a core, as any large table has, is left alone, so nothing is shuffled at scale. The exchange is round-robin:
+    no hot value can end up in one task. force=True is for plans behind a shuffle, whose partitions may be coalesced
+    by their size in bytes though the work on them is heavy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not force and df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(max(cores * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))
