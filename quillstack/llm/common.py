@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillstack.session import spread  # noqa: F401  the operators here take it from this module
+
 #: Rows of one Arrow batch that is handed to Python at most; documents are kilobytes, so batches stay small.
 BATCH_ROWS = 1000
 
@@ -22,19 +24,6 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, force: bool = False, per_core: int = 3) -> DataFrame:
-    """Deal the rows evenly over the cluster before heavy Python work, if the plan has fewer tasks than that needs.
-
-    A few parquet files with one row group each give a few tasks however large they are. A scan that already has two
-    tasks a core, as any large table has, is left alone, so nothing is shuffled at scale. The exchange is round-robin:
-    no hot value can end up in one task. force=True is for plans behind a shuffle, whose partitions may be coalesced
-    by their size in bytes though the work on them is heavy."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not force and df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(max(cores * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))
-
-
 def first_delivery(df: DataFrame, key: str, *values: str) -> DataFrame:
     """One row for each key. Deliveries of a key carry the same values; should they differ, the smallest row wins."""
     return df.groupBy(key).agg(F.min(F.struct(*values)).alias("_d")).select(key, *[F.col(f"_d.{v}").alias(v) for v in values])
