@@ -13,7 +13,7 @@ CASES = [
     ("Gemäß Abs. 2 gilt das. Ende.", ["Gemäß Abs. 2 gilt das.", "Ende."]),
     ("Im MÄR. Danach ist Schluss.", ["Im MÄR. Danach ist Schluss."]),
     ("Es gilt z.B. Folgendes. Und i.d.R. Anderes.", ["Es gilt z.B. Folgendes.", "Und i.d.R. Anderes."]),
-    ("Siehe z. B. Seite 3.", ["Siehe z.", "B. Seite 3."]),
+    ("Siehe z. B. Seite 3.", ["Siehe z.", "B.", "Seite 3."]),
     ("Der B.Sc. Die Prüfung.", ["Der B.Sc.", "Die Prüfung."]),
     ("Nach § 5 Satz. 2 folgt nichts.", ["Nach § 5 Satz. 2 folgt nichts."]),
     ("Das sind 180. Die Zahl zählt.", ["Das sind 180. Die Zahl zählt."]),
