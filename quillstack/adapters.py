@@ -130,6 +130,17 @@ def embed_column(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
     return run
 
 
+def embedder_health(list_models: Callable[[], list[str]], model: str) -> dict[str, Any]:
+    """State of an embedding service: list_models asks it for its models and raises if it cannot be reached."""
+    state: dict[str, Any] = {"healthy": False, "running": False, "model_available": False, "model": model, "error": None}
+    try:
+        names = list_models()
+    except Exception as e:  # noqa: BLE001  any failure means that the service is not there
+        return state | {"error": f"{type(e).__name__}: {e}"}
+    available = any(n.startswith(model) for n in names)
+    return state | {"healthy": available, "running": True, "model_available": available, "error": None if available else f"model {model} is not installed"}
+
+
 def hash_embedding(text: Column, dimensions: int = 64) -> Column:
     """Offline stand-in: counts of lower-cased words hashed into cells, scaled to length one."""
     return embed_column(lambda: HashEmbedder(dimensions))(text)
