@@ -1,9 +1,10 @@
 """Problem 5: template residue, filler and error pages.
 
-Two ways lead to a verdict. (1) Short records are mined for message templates with a prefix tree of fixed depth: after
+Two ways lead to a verdict. (1) Records of every length are mined for message templates with a prefix tree of fixed depth: after
 navigation lines are set aside and numbers, codes, paths and quoted names are masked, a record falls into the leaf of
 its token count and its first tokens. A leaf's template keeps the tokens that all its records share and a wildcard
-elsewhere. Each template is classified once and its verdict goes to all records of the leaf. The tree is never held in
+elsewhere. Each template is classified once and its verdict goes to all records of the leaf; a template longer than a
+message is judged by the share of its sentences and lines that are messages. The tree is never held in
 one place: leaves are keys of a shuffle, templates an aggregate per position. (2) Every record is searched for unfilled
 slots; a slot that is quoted, or stands in a sentence about templates, is only mentioned.
 """
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from quillstack.llm.common import arrow_map, spread
 from quillstack.session import materialise
 
-#: Depth of the prefix tree below the token count, and the longest record (in tokens) that can be a message.
-DEPTH, LONGEST = 4, 64
+#: Depth of the prefix tree below the token count; the tokens up to which a record is judged as one message, a longer one
+#: by its sentences and lines; the tokens of a stretch where a line longer than that has no stop.
+DEPTH, LONGEST, STRETCH = 4, 64, 16
 
 # Words that name a field or tell the reader to fill it in.
 _FIELD = (
@@ -64,6 +66,31 @@ _NAVIGATION = regex.compile(r"^[^.!?]{1,80}$")
 _MASK = regex.compile(r"\"[^\"\n]{1,60}\"|'[^'\n]{1,60}'|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|(?<!\w)/[\w./\-]+|\d+(?:[.:,]\d+)*")
 _BREAK = regex.compile(r"(?:(?<=[.!?…])[\"”“»)\]]*\s+)|\s*<par>\s*")
 _UNREAL = regex.compile(r"(?i)^x{2,}[.,;:!?]?$")
+#: Cues that are single words of many subjects too. A long record of nothing but these is no message.
+_BARE = re.compile(r"java ?script|\bjs\b|exception\b|\bmaintenance\b|dummy|\bn\.\s?n\.|\btbd\b|\btodo\b|\bxxx\b")
+_DEMAND = re.compile(r"aktivier|einschalt|benötig|erforder|deaktiv|blockier|enabl|turn on|requir|disabled|blocked|activ")
+#: Lines of a stack trace; the line behind a "File" line is code.
+_CALLS = r"traceback \(most recent|\bfile \S+, line (?:\d+|<\*>)|\bat [\w.$<>*/]+ ?\((?:\S*:(?:\d+|<\*>)|native method|unknown source)"
+_CALL = re.compile(_CALLS)
+_FRAME = re.compile(_CALLS + r"|caused by:|\.\.\. (?:\d+|<\*>) (?:more|common frames)|during handling of the above|[\w.]*\w(?:error|exception)(?::|$)")
+_CODE_LINE = re.compile(r"file \S+, line (?:\d+|<\*>), in ")
+_ITEM = re.compile(r"(?:[-•*–·▪◦]|(?:<\*>|\w)[.)]) ")
+#: Sentences that go with a message and say nothing themselves; they count neither way.
+_COURTESY = re.compile(r"(?:ihr|um) verständnis|vielen dank|danke für|thank you|apologi[sz]e|inconvenience|entschuldigen|unannehmlichkeit|\bhelpdesk\b|wenden sie sich an|contact (?:us|the)|versuchen sie es|try again|freundliche grüße|kind regards")
+#: Words of the usual filler text, and small Latin words, which count neither way.
+_LATIN_SMALL = frozenset("ab ac ad at aut cum de diam dis do e et ex erat est eu hac id in mi ne nec nisi non nunc per quam qui quis sed sem si sit te ut vel".split())
+_LOREM = frozenset(
+    "lorem ipsum dolor amet consectetur consectetuer adipiscing adipisicing adipisci elit elitr eiusmod tempor incididunt labore dolore dolores doloremque magna aliqua aliquam enim minim minima veniam "
+    "nostrud nostrum exercitation exercitationem ullamco ullam laboris nisi aliquip aliquid aliquet commodo commodi consequat consequatur consequuntur duis aute irure reprehenderit voluptate voluptas "
+    "voluptatem velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum nonumy eirmod invidunt aliquyam sadipscing voluptua vero eos "
+    "accusam accusamus accusantium justo iusto duo rebum stet clita kasd gubergren sea takimata sanctus vulputate molestie illum feugiat feugait facilisis eros accumsan odio dignissim blandit praesent luptatum "
+    "zzril delenit augue nonummy nibh euismod tincidunt laoreet volutpat wisi tation ullamcorper suscipit lobortis nisl iriure hendrerit nam liber tempor soluta nobis eleifend option congue nihil imperdiet doming placerat facer possim assum "
+    "perspiciatis unde omnis iste natus error totam rem aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto beatae vitae dicta explicabo nemo aspernatur odit fugit magni ratione sequi nesciunt "
+    "maecenas phasellus vestibulum curabitur pellentesque donec fusce vivamus integer mauris morbi proin nullam cras etiam sagittis tellus lectus massa turpis egestas tortor purus faucibus ultrices ultricies "
+    "posuere cubilia curae luctus fermentum condimentum bibendum scelerisque viverra mattis porttitor porta semper libero gravida risus arcu cursus metus varius sodales tristique senectus netus malesuada fames "
+    "habitant venenatis pretium ornare dapibus rhoncus interdum convallis elementum sollicitudin lacus ligula quisque suspendisse potenti aenean maximus efficitur finibus auctor neque leo urna orci sapien "
+    "dictum pulvinar mollis iaculis lacinia tempus vehicula pharetra fringilla eget felis quam ante primis nascetur ridiculus mus penatibus magnis parturient montes natoque sociis platea dictumst habitasse".split()
+)
 
 #: Frequent small words; running text of these languages has some of them in every few sentences.
 SMALL_WORDS = frozenset(
@@ -112,11 +139,9 @@ def is_filler_prose(text: str) -> bool:
     return sum(w[0].isupper() for w in inner) <= 0.1 * max(1, len(inner)) and any(w[-1] in ".!?" for w in words)
 
 
-def message_tokens(text: str) -> list[str] | None:
-    """Masked tokens of a record that is short enough to be a message; None for others. <par> stands for a blank line."""
-    if len(text) > 40 * LONGEST or len(text.split()) > 4 * LONGEST:
-        return None
-    kept, aside = [], []
+def _lines(text: str) -> list[list[str]]:
+    """The blocks of a record with their lines, white space made even and navigation lines set aside."""
+    blocks = []
     for block in regex.split(r"\n\s*\n", text.strip()):
         lines = []
         for line in block.split("\n"):
@@ -124,43 +149,125 @@ def message_tokens(text: str) -> list[str] | None:
             if not line:
                 continue
             apart = any(s in line for s in (" | ", " · ", " – ", " — ")) and _NAVIGATION.match(line) and not line.startswith("|")
-            if apart or regex.match(r"^(?:\(c\)|©)", line, regex.I):
-                aside.append(line)
-            else:
+            if not apart and not regex.match(r"^(?:\(c\)|©)", line, regex.I):
                 lines.append(line)
         if lines:
-            kept.append(" ".join(lines))
-    if not kept:
+            blocks.append(lines)
+    return blocks
+
+
+def message_tokens(text: str) -> list[str] | None:
+    """Masked tokens of a record that can be one message; None for others. <par> stands for a blank line."""
+    if len(text) > 40 * LONGEST or len(text.split()) > 4 * LONGEST:
         return None
-    tokens = " <par> ".join(kept)
-    tokens = _MASK.sub("<*>", tokens).split()
-    return tokens if len(tokens) <= LONGEST else None
+    tokens = _MASK.sub("<*>", " <par> ".join(" ".join(lines) for lines in _lines(text))).split()
+    return tokens if 0 < len(tokens) <= LONGEST else None
+
+
+def long_tokens(text: str) -> list[str]:
+    """Masked tokens of a record of any length, line by line. <nl> stands for a line's end, <par> for a blank line."""
+    return " <par> ".join(" <nl> ".join(_MASK.sub("<*>", line) for line in lines) for lines in _lines(text)).split()
+
+
+def verdict(leaf: str, template: str) -> str | None:
+    """Verdict on a leaf's template: short ones as one message, others by their sentences and lines."""
+    if not leaf.startswith("long "):
+        return classify(template)
+    return judge_long(template.replace(" <par> ", "\n\n").replace(" <nl> ", "\n"))
+
+
+def is_lorem(part: str, share: float = 0.6) -> bool:
+    """True if such a share of the words of a lower-case text are those of the usual filler text."""
+    words = [w for x in part.split() if (w := x.strip(".,;:!?…()\"'")) and w not in _LATIN_SMALL]
+    return len(words) >= 2 and sum(w in _LOREM for w in words) >= share * len(words)
+
+
+def _kind(part: str) -> str | None:
+    """The kind of message that a lower-case sentence is; a sentence about messages is none."""
+    if ABOUT.search(part):
+        return None
+    return next((kind for kind, cue in _MESSAGES.items() if cue.search(part)), "filler" if is_lorem(part) else None)
 
 
 def classify(template: str) -> str | None:
     """Verdict on a template (masked tokens joined by blanks): the kind of message, or None for page text.
 
     At least half of its sentences must be messages; a sentence about messages is none."""
-    if not _ANY_MESSAGE.search(template.lower()):
+    low = template.lower()
+    if not _ANY_MESSAGE.search(low) and not is_lorem(low, 0.25):
         return None
-    parts = [p for p in _BREAK.split(template.lower()) if p and regex.search(r"\p{L}|<\*>", p)]
+    parts = [p for p in _BREAK.split(low) if p and regex.search(r"\p{L}|<\*>", p)]
     parts = [p for p in parts if not _ASIDE.match(p)]
-    if not parts:
-        return None
     found: dict[str, int] = {}
     for part in parts:
-        if ABOUT.search(part):
-            continue
-        for kind, cue in _MESSAGES.items():
-            if cue.search(part):
-                found[kind] = found.get(kind, 0) + 1
-                break
+        if kind := _kind(part):
+            found[kind] = found.get(kind, 0) + 1
     whole = sum(found.values())
     if whole and 2 * whole >= len(parts):
         return max(found, key=lambda k: found[k])
     return None
 
 
+def _long_parts(lines: list[str]) -> list[tuple[str, bool]]:
+    """(part, line of a stack trace) of a block in lower case: sentences over line breaks, but lines where there are more
+    than LONGEST tokens without a stop, and stretches where even a line has more."""
+    out: list[tuple[str, bool]] = []
+    text: list[str] = []
+
+    def flush() -> None:
+        for part in _BREAK.split(_MASK.sub("<*>", "\n".join(text))):
+            if len(part.split()) <= LONGEST:
+                out.append((" ".join(part.split()), False))
+                continue
+            for line in part.split("\n"):
+                words = line.split()
+                step = STRETCH if len(words) > LONGEST else LONGEST
+                out.extend((" ".join(words[k : k + step]), False) for k in range(0, len(words), step))
+        text.clear()
+
+    code = False
+    for line in lines:
+        low = line.lower()
+        if code or _FRAME.match(low):
+            flush()
+            out.append((low, True))
+            code = not code and bool(_CODE_LINE.match(low))
+        else:
+            text.append(low)
+    flush()
+    return [(p, frame) for p, frame in out if regex.search(r"\p{L}|<\*>", p) and not _ASIDE.match(p)]
+
+
+def judge_long(text: str) -> str | None:
+    """Verdict on a record that is too long to be one message, from all of its text.
+
+    Half of its words must lie in sentences or lines that are messages, and one of these must be more than a word that
+    subjects of study share. The items of a list behind a message count with it, courtesies count neither way."""
+    low = text.lower()
+    if not _ANY_MESSAGE.search(low) and not _CALL.search(low) and not is_lorem(low, 0.25):
+        return None
+    found: dict[str, int] = {}
+    total, firm = 0, False
+    listed = None
+    for lines in _lines(text):
+        for part, frame in _long_parts(lines):
+            n = len(part.split())
+            kind = "error" if frame or _CALL.search(part) else _kind(part)
+            if kind is None and listed and _ITEM.match(part):
+                kind = listed
+            elif kind is None and _COURTESY.search(part) and not ABOUT.search(part):
+                continue
+            else:
+                listed = kind if part.endswith(":") else None
+                firm = firm or bool(kind) and (frame or not _BARE.search(part) or bool(_DEMAND.search(part)) or bool(_ANY_MESSAGE.search(_BARE.sub(" ", part))))
+            total += n
+            if kind:
+                found[kind] = found.get(kind, 0) + n
+    if firm and 2 * sum(found.values()) >= total:
+        return max(found, key=lambda k: found[k])
+    return None
+
+
 def judge(df: DataFrame, id_col: str, text_col: str, balance: bool = True) -> DataFrame:
     """(id, slot boolean, kind string) of every record that is residue: slot for an unfilled slot, kind for a message
     or filler. Deliveries of an id count once. Null and blank texts are never residue."""
@@ -181,7 +288,7 @@ def templates(short: DataFrame) -> DataFrame:
     mined = mined.select("leaf", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("template"), "records")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([classify(t) for t in batch.column(1).to_pylist()], pa.string())], names=["leaf", "template", "records", "kind"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([verdict(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())], names=["leaf", "template", "records", "kind"])
 
     return arrow_map(mined, run, "leaf string, template string, records bigint, kind string")
 
@@ -195,9 +302,11 @@ def _parse(df: DataFrame, id_col: str, text_col: str, balance: bool) -> DataFram
             text = text or ""
             slots.append(has_slot(text))
             fillers.append(is_filler_prose(text))
-            words = message_tokens(text)
+            words, length = message_tokens(text), ""
+            if words is None:
+                words, length = long_tokens(text) or None, "long "
             tokens.append(words)
-            leaves.append(None if words is None else f"{len(words)} {' '.join(words[:DEPTH])}")
+            leaves.append(None if words is None else f"{length}{len(words)} {' '.join(words[:DEPTH])}")
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(slots, pa.bool_()), pa.array(fillers, pa.bool_()), pa.array(leaves, pa.string()), pa.array(tokens, pa.list_(pa.string()))],
             names=["id", "slot", "filler", "leaf", "tokens"],

@@ -51,6 +51,30 @@ def test_long_texts_are_no_messages():
     assert res.message_tokens("Fehler 404 " * 1000) is None
 
 
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo "
+    "consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+LONG_MESSAGES = {
+    "lorem": LOREM, "several paragraphs": "\n\n".join([LOREM] * 4), "no stop": "Fehler 404 " * 1000, "line again and again": "404 Seite nicht gefunden\n" * 300, "sentences": "Fehler 404: Seite nicht gefunden. Vorgangsnummer be51f26f.\n" * 50,
+    "python trace": "Traceback (most recent call last):\n" + "".join(f'  File "/srv/m{i}.py", line {i}, in f{i}\n    return step(context, {i})\n' for i in range(40)) + "KeyError: 'name'",
+    "java trace": "java.lang.IllegalStateException: closed\n" + "".join(f"\tat org.app.Step{i}.run(Step{i}.java:{i})\n" for i in range(60)) + "Caused by: java.io.IOException: reset\n\t... 12 more",
+    "maintenance": "Wartungsarbeiten\n\nDiese Dienste sind derzeit nicht erreichbar:\n" + "".join(f"- Dienst {i} mit allen Formularen der Fakultät\n" for i in range(40)) + "\nWir bitten um Ihr Verständnis.",
+    "refusal": "I'm sorry, but I can't transcribe this image. " * 3 + "The scan is too blurred, so I am unable to extract the text of this page. " * 8,
+}
+LONG_TEXTS = {
+    "one sentence": "Das Modul gibt eine Einführung in die Chemie der Salze. " * 20 + "Bitte aktivieren Sie JavaScript.", "subject": "JavaScript ist eine Sprache für Webseiten. Mit JavaScript lassen sich Formulare prüfen. " * 12,
+    "table": "Modul | ECTS | Raum\n" + "".join(f"Kurs {i} {'Web mit JavaScript' if i == 9 else 'Chemie Grundlagen'} | {i} | R{i}\n" for i in range(60)), "latin": "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae appellantur. " * 6,
+}
+
+
+def test_records_of_every_length(spark):
+    rows = [*LONG_MESSAGES.items(), *LONG_TEXTS.items()]
+    got = {r.page_id for r in res.judge(spark.createDataFrame(rows, "page_id string, content string"), "page_id", "content").collect()}
+    assert got == set(LONG_MESSAGES)
+    assert all(res.message_tokens(x) is None for _, x in rows)
+
+
 def test_table(spark):
     good = [(i, t) for i, t in enumerate(TEXTS)]
     bad = [(100 + i, t) for i, t in enumerate([*MESSAGES, *FILLER, "Der Plan {{ titel }} gilt."])]
