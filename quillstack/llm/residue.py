@@ -2,10 +2,11 @@
 
 Two ways lead to a verdict. (1) Records of every length are mined for message templates with a prefix tree of fixed depth: after
 navigation lines are set aside and numbers, codes, paths and quoted names are masked, a record falls into the leaf of
-its token count and its first tokens. A leaf's template keeps the tokens that all its records share and a wildcard
-elsewhere. Each template is classified once and its verdict goes to all records of the leaf; a template longer than a
-message is judged by the share of its sentences and lines that are messages. The tree is never held in
-one place: leaves are keys of a shuffle, templates an aggregate per position. (2) Every record is searched for unfilled
+its token count and its first tokens. The different records of a leaf are split into templates by similarity; a template
+keeps the tokens that all its records share and a wildcard elsewhere. Each record is judged by itself, and a template's
+verdict goes to all its records besides: it adds messages and takes none away. A record or template longer than a message
+is judged by the share of its sentences and lines that are messages. The tree is never held in one place: leaves are
+keys of a shuffle, and only leaves with several different records are split. (2) Every record is searched for unfilled
 slots; a slot that is quoted, or stands in a sentence about templates, is only mentioned.
 """
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +26,8 @@ from quillstack.session import materialise
 #: Depth of the prefix tree below the token count; the tokens up to which a record is judged as one message, a longer one
 #: by its sentences and lines; the tokens of a stretch where a line longer than that has no stop.
 DEPTH, LONGEST, STRETCH = 4, 64, 16
+#: Share of equal places from which a record of a leaf belongs to a template.
+SIMILAR = 0.6
 
 # Words that name a field or tell the reader to fill it in.
 _FIELD = (
@@ -273,31 +278,50 @@ def judge(df: DataFrame, id_col: str, text_col: str, balance: bool = True) -> Da
     or filler. Deliveries of an id count once. Null and blank texts are never residue."""
     parsed = materialise(_parse(df, id_col, text_col, balance), "parsed")
     short = parsed.where("leaf IS NOT NULL")
-    verdicts = templates(short).where("kind IS NOT NULL").select("leaf", F.col("kind").alias("verdict"))
-    by_message = short.join(verdicts, "leaf").select("id", F.lit(False).alias("slot"), F.col("verdict").alias("kind"))
-    alone = parsed.where("slot OR filler").select("id", "slot", F.when(F.col("filler"), "filler").alias("kind"))
+    code = F.xxhash64("tokens")
+    several = short.groupBy("leaf").agg(F.min(code).alias("a"), F.max(code).alias("b"), F.max(F.col("kind").isNull()).alias("open")).where("a <> b AND open").select("leaf")
+    merged = templates(short.join(several, "leaf", "left_semi")).where("kind IS NOT NULL")
+    verdicts = merged.select("leaf", F.explode("members").alias("line"), F.col("kind").alias("verdict"))
+    left = short.where("kind IS NULL").withColumn("line", F.array_join("tokens", " "))
+    by_message = left.join(verdicts, ["leaf", "line"]).select("id", F.lit(False).alias("slot"), F.col("verdict").alias("kind"))
+    alone = parsed.where("slot OR filler OR kind IS NOT NULL").select("id", "slot", F.least("kind", F.when(F.col("filler"), "filler")).alias("kind"))
     out = by_message.unionByName(alone).groupBy("id").agg(F.max("slot").alias("slot"), F.min("kind").alias("kind"))
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
+def _similar(lines: list[str]) -> list[tuple[str, list[int]]]:
+    """(template, its members) of lines with equally many tokens. The first line that has no template yet leads one, and
+    all others without one that share SIMILAR of its places belong to it."""
+    codes: dict[str, int] = {}
+    rows = np.array([[codes.setdefault(token, len(codes)) for token in line.split(" ")] for line in lines], dtype=np.int32)
+    words, rest, out = list(codes), np.arange(len(lines)), []
+    while rest.size:
+        near = (rows[rest] == rows[rest[0]]).mean(axis=1) >= SIMILAR
+        members, rest = rest[near], rest[~near]
+        same = (rows[members] == rows[members[0]]).all(axis=0)
+        out.append((" ".join(words[c] if kept else "<*>" for c, kept in zip(rows[members[0]], same, strict=True)), members.tolist()))
+    return out
+
+
 def templates(short: DataFrame) -> DataFrame:
-    """(leaf, template, records, kind): one row for each leaf; short: (leaf, tokens)."""
-    by_place = short.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.count("*").alias("n"))
-    token = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>")
-    mined = by_place.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", token.alias("token")))).alias("t"), F.max("n").alias("records"))
-    mined = mined.select("leaf", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("template"), "records")
+    """(leaf, template, records, kind, members): one row for each template, with the different masked records (tokens
+    joined by blanks) that it covers; short: (leaf, tokens). Only the different records of a leaf come together."""
+    once = short.select("leaf", F.array_join("tokens", " ").alias("line")).groupBy("leaf", "line").agg(F.count("*").alias("n"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([verdict(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())], names=["leaf", "template", "records", "kind"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line")
+        leaf, lines, n = rows["leaf"].iloc[0], rows["line"].tolist(), rows["n"].tolist()
+        out = [(leaf, t, sum(n[k] for k in own), verdict(leaf, t), [lines[k] for k in own]) for t, own in _similar(lines)]
+        return pd.DataFrame(out, columns=["leaf", "template", "records", "kind", "members"])
 
-    return arrow_map(mined, run, "leaf string, template string, records bigint, kind string")
+    return once.groupBy("leaf").applyInPandas(run, "leaf string, template string, records bigint, kind string, members array<string>")
 
 
 def _parse(df: DataFrame, id_col: str, text_col: str, balance: bool) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        slots, fillers, leaves, tokens = [], [], [], []
+        slots, fillers, leaves, tokens, kinds = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
             slots.append(has_slot(text))
@@ -307,10 +331,11 @@ def _parse(df: DataFrame, id_col: str, text_col: str, balance: bool) -> DataFram
                 words, length = long_tokens(text) or None, "long "
             tokens.append(words)
             leaves.append(None if words is None else f"{length}{len(words)} {' '.join(words[:DEPTH])}")
+            kinds.append(None if words is None else verdict(leaves[-1], " ".join(words)))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(slots, pa.bool_()), pa.array(fillers, pa.bool_()), pa.array(leaves, pa.string()), pa.array(tokens, pa.list_(pa.string()))],
-            names=["id", "slot", "filler", "leaf", "tokens"],
+            [batch.column(0), pa.array(slots, pa.bool_()), pa.array(fillers, pa.bool_()), pa.array(leaves, pa.string()), pa.array(tokens, pa.list_(pa.string())), pa.array(kinds, pa.string())],
+            names=["id", "slot", "filler", "leaf", "tokens", "kind"],
         )
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(spread(source) if balance else source, run, f"id {kind}, slot boolean, filler boolean, leaf string, tokens array<string>")
+    return arrow_map(spread(source) if balance else source, run, f"id {kind}, slot boolean, filler boolean, leaf string, tokens array<string>, kind string")

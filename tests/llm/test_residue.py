@@ -89,3 +89,21 @@ def test_templates(spark):
     parsed = res._parse(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string"), "id", "text", False).where("leaf IS NOT NULL")
     mined = res.templates(parsed).collect()
     assert [(r.template, r.records, r.kind) for r in mined] == [("Fehler <*>: Gone. Vorgangsnummer <*>.", 3, "error")]
+
+
+def test_other_records_take_no_verdict_away(spark):
+    message, text = "Hinweis zu diesem Dokument: JavaScript wird benötigt", "Hinweis zu diesem Dokument: Fristen siehe Anlage"
+    near = ["Hinweis zu diesem Dokument: bitte einmal das JavaScript aktivieren", "Hinweis zu diesem Dokument: bitte einmal das Formular aktivieren"]
+    rows = [(0, message), (1, text), (2, text.replace("Fristen", "Termine")), (3, near[0]), (4, near[1])]
+    for some in (rows[:1], rows[:2], rows):
+        got = {r.page_id for r in res.judge(spark.createDataFrame(some, "page_id int, content string"), "page_id", "content").collect()}
+        assert got == {0, 3} & {i for i, _ in some}
+
+
+def test_templates_add_verdicts(spark):
+    rows = [(0, "Text folgt in Kürze – Anerkennungsbescheid!"), (1, "Text folgt in Kürze – Modulplan!"), (2, "Text folgt in Kürze nach Abgabe")]
+    assert res.classify(rows[0][1]) is None
+    df = spark.createDataFrame(rows, "page_id int, content string")
+    assert {r.page_id for r in res.judge(df, "page_id", "content").collect()} == {0, 1, 2}
+    mined = {(r.template, r.records, r.kind, len(r.members)) for r in res.templates(res._parse(df.union(df), "page_id", "content", False)).collect()}
+    assert mined == {("Text folgt in Kürze <*> <*>", 6, "filler", 3)}
