@@ -3,13 +3,16 @@
 A text larger than the capacity is cut into full containers and one rest; everything else stays whole. Items are dealt
 into groups of bounded size by a hash, each group is packed by best fit in descending order and then improved by local
 search between underfull containers: an item moves, one is exchanged for one, or two for one (either way), whenever
-that raises the sum of squared fills. Containers that run empty are dropped. The search ends when a pass over all
-underfull containers changes nothing.
+that raises the sum of squared fills. All items and pairs of items of two containers are looked at: sizes and sums of
+pairs are kept as bits of one number for each container, and a shift finds the best gain. Containers that run empty are
+dropped. The search ends when a pass over all underfull containers changes nothing; the squared fills rise with every
+exchange, so it does end.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -18,19 +21,28 @@ from quillstack.session import materialise
 
 #: Items of a group on average. Each group leaves at most about one container underfull.
 GROUP_ITEMS = 4000
-#: Passes of local search at most; a pass that changes nothing ends it earlier.
-PASSES = 12
+
+
+def _gain(given: int, got: int, free: int) -> int:
+    """The largest t from 1 to free for which a bit k of given and the bit k + t of got are set; 0 if there is none."""
+    if given.bit_count() >= free:
+        return next((t for t in range(free, 0, -1) if given & got >> t), 0)
+    best, window = 0, (1 << free) - 1
+    while given and best < free:
+        k = given.bit_length() - 1
+        given ^= 1 << k
+        best = max(best, (got >> k + 1 & window).bit_length())
+    return best
 
 
 class _Bins:
-    """Bins of item numbers with a size index over the items of underfull bins."""
+    """Bins of item numbers, and of the underfull ones the sizes of items and the sums of pairs as bits."""
 
     def __init__(self, sizes: list[int], capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.items: list[list[int]] = []
         self.fill: list[int] = []
-        self.index: list[tuple[int, int, int]] = []  # (size, item, bin)
-        self.listed: set[int] = set()
+        self.bits: dict[int, tuple[int, int]] = {}  # by underfull bin: (sizes, sums of two)
 
     def best_fit(self) -> None:
         room: list[tuple[int, int]] = []  # (free, bin), ascending
@@ -49,65 +61,44 @@ class _Bins:
                 insort(room, (free - n, b))
 
     def list_bin(self, b: int) -> None:
-        """Bring the index in line with a bin."""
-        if b in self.listed:
-            for k in self._shown[b]:
-                del self.index[bisect_left(self.index, (self.sizes[k], k, b))]
-            self.listed.discard(b)
+        """Bring the bits in line with a bin."""
+        self.bits.pop(b, None)
         if 0 < self.fill[b] < self.capacity:
-            for k in self.items[b]:
-                insort(self.index, (self.sizes[k], k, b))
-            self._shown[b] = list(self.items[b])
-            self.listed.add(b)
+            ones = twos = 0
+            for n, times in sorted(Counter(self.sizes[k] for k in self.items[b]).items()):
+                twos |= (ones | (1 << n if times > 1 else 0)) << n
+                ones |= 1 << n
+            self.bits[b] = ones, twos
 
     def search(self) -> None:
-        self._shown: dict[int, list[int]] = {}
         for b in range(len(self.items)):
-            if 0 < self.fill[b] < self.capacity:
-                self._shown[b] = list(self.items[b])
-                self.listed.add(b)
-        self.index = sorted((self.sizes[k], k, b) for b in self.listed for k in self.items[b])
-        for _ in range(PASSES):
+            self.list_bin(b)
+        changed = True
+        while changed:
             changed = False
-            for b in sorted(self.listed, key=lambda b: (-self.fill[b], b)):
+            for b in sorted(self.bits, key=lambda b: (-self.fill[b], b)):
                 while 0 < self.fill[b] < self.capacity and self._improve(b):
                     changed = True
-            if not changed:
-                break
 
     def _improve(self, b: int) -> bool:
         """The exchange with a bin filled no more than this one that gains most for it."""
         free = self.capacity - self.fill[b]
-        own = [(0, ())] + [(self.sizes[k], (k,)) for k in sorted(self.items[b])]
-        if len(self.items[b]) <= 40:
-            mine = sorted(self.items[b])
-            own += [(self.sizes[x] + self.sizes[y], (x, y)) for i, x in enumerate(mine) for y in mine[i + 1 :]]
-        best = (0, None, None, None)
-        for given, out in dict(reversed(own)).items():
-            hit = self._largest(b, given, given + free)
-            if hit and hit[0] - given > best[0]:
-                best = (hit[0] - given, out, (hit[1],), hit[2])
-                if best[0] == free:
-                    break
-        if best[0] < free:
-            # two of another bin for one of this: the first is taken from the index, the second from the first's bin
-            for given, out in own:
-                if len(out) != 1:
-                    continue
-                limit = given + free
-                at = bisect_right(self.index, (limit // 2, 1 << 60, 0))
-                for size, k, other in self.index[max(0, at - 24) : at]:
-                    if other == b or self.fill[other] > self.fill[b]:
-                        continue
-                    for y in self.items[other]:
-                        got = size + self.sizes[y]
-                        if y != k and given < got <= limit and got - given > best[0]:
-                            best = (got - given, out, (k, y), other)
-                if best[0] == free:
-                    break
-        gain, out, come, other = best
+        others = [x for x in self.bits if x != b and self.fill[x] <= self.fill[b]]
+        ones = twos = 0
+        for x in others:
+            ones |= self.bits[x][0]
+            twos |= self.bits[x][1]
+        mine, pairs = self.bits[b]
+        gain, n_out, n_come, given, got = 0, 0, 0, 0, 0
+        for k_out, k_come, out, come in ((0, 1, 1, ones), (1, 1, mine, ones), (2, 1, pairs, ones), (1, 2, mine, twos)):
+            if gain < free and (t := _gain(out, come, free)) > gain:
+                gain, n_out, n_come, given, got = t, k_out, k_come, out, come
         if not gain:
             return False
+        hits = given & got >> gain
+        size = (hits & -hits).bit_length() - 1
+        other = min((x for x in others if self.bits[x][n_come - 1] >> size + gain & 1), key=lambda x: (self.fill[x], x))
+        out, come = self._items(b, size, n_out), self._items(other, size + gain, n_come)
         for k in come:
             self.items[other].remove(k)
             self.items[b].append(k)
@@ -120,15 +111,18 @@ class _Bins:
         self.list_bin(other)
         return True
 
-    def _largest(self, b: int, above: int, upto: int) -> tuple[int, int, int] | None:
-        """The largest listed item with above < size <= upto of another bin that is filled no more than b."""
-        at = bisect_right(self.index, (upto, 1 << 60, 0)) - 1
-        while at >= 0 and self.index[at][0] > above:
-            size, k, other = self.index[at]
-            if other != b and self.fill[other] <= self.fill[b]:
-                return size, k, other
-            at -= 1
-        return None
+    def _items(self, b: int, size: int, n: int) -> tuple[int, ...]:
+        """n items of a bin (none, one or two) that have this size together."""
+        if not n:
+            return ()
+        at: dict[int, int] = {}
+        for k in sorted(self.items[b]):
+            if n == 1 and self.sizes[k] == size:
+                return (k,)
+            if n == 2 and size - self.sizes[k] in at:
+                return at[size - self.sizes[k]], k
+            at.setdefault(self.sizes[k], k)
+        raise LookupError("no such items")
 
 
 def pack(sizes: list[int], capacity: int) -> list[int]:

@@ -35,6 +35,48 @@ def test_local_search_helps():
     assert max(after) + 1 < len(before.items) and (max(after) + 1) * 512 < 1.03 * sum(sizes)
 
 
+def gainful(bins):
+    """An exchange between two underfull bins that raises the squared fills, by trying all; None if there is none."""
+    some = [b for b in range(len(bins.items)) if 0 < bins.fill[b] < bins.capacity]
+    sums = {b: [{0}, {bins.sizes[k] for k in bins.items[b]}, {bins.sizes[x] + bins.sizes[y] for x in bins.items[b] for y in bins.items[b] if x < y}] for b in some}
+    for b in some:
+        for other in some:
+            if other != b and bins.fill[other] <= bins.fill[b]:
+                for n_out, n_come in ((0, 1), (1, 1), (2, 1), (1, 2)):
+                    for given in sums[b][n_out]:
+                        for got in sums[other][n_come]:
+                            if 0 < got - given <= bins.capacity - bins.fill[b]:
+                                return b, other, given, got
+    return None
+
+
+def test_search_ends_where_no_exchange_gains():
+    rnd = random.Random(2)
+    for _ in range(60):
+        room = rnd.randint(20, 400)
+        bins = packing._Bins([rnd.randint(1, max(1, room // rnd.randint(1, 12))) for _ in range(rnd.randint(1, 120))], room)
+        bins.best_fit()
+        if rnd.random() < 0.7:  # or from a poor start, with more to do: items as they come
+            bins.items, bins.fill = [], []
+            for k, n in enumerate(bins.sizes):
+                if not bins.fill or bins.fill[-1] + n > room * 0.9 and bins.fill[-1]:
+                    bins.items.append([])
+                    bins.fill.append(0)
+                bins.items[-1].append(k)
+                bins.fill[-1] += n
+        bins.search()
+        assert gainful(bins) is None and sorted(k for m in bins.items for k in m) == list(range(len(bins.sizes)))
+
+
+def test_pairs_of_containers_with_many_items():
+    # only two of 10 for the 21, or the 30 for 5 and 26, fill the first container
+    for room, first, second in ((451, [10] * 45, [21]), (1001, [30, 970], [5, 26, *[14] * 30])):
+        bins = packing._Bins(first + second, room)
+        bins.items, bins.fill = [list(range(len(first))), list(range(len(first), len(first + second)))], [sum(first), sum(second)]
+        bins.search()
+        assert max(bins.fill) == room and gainful(bins) is None
+
+
 def test_ties_and_bad_items():
     assert max(packing.pack([5] * 20, 10)) == 9
     assert packing.pack([], 5) == [] and packing.pack([0, 0], 5) == [0, 0]
