@@ -283,18 +283,16 @@ def _units_of_block(block: str, at: int, first: bool) -> list[tuple[int, int]]:
     places = [0, *[e for e, _, _ in ends], len(block)]
     take = [0.0, *[x for _, x, _ in ends], 0.0]
     keep = [0.0, *[x for _, _, x in ends], 0.0]
-    passed = [0.0]
-    for x in keep:
-        passed.append(passed[-1] + x)
     open_at = [0, *[depth[e - 1] for e in places[1:]]] if block else [0]
-    best, back = [0.0] + [1e18] * (len(places) - 1), [0] * len(places)
+    back, begun, begin = [0] * len(places), 0.0, 0  # the cheapest way to have a unit run on, and the place it began at
     for j in range(1, len(places)):
-        for i in range(max(0, j - 80), j):
-            price = best[i] + take[j] + passed[j] - passed[i + 1]
-            if open_at[j] and j < len(places) - 1:
-                price += _FREE
-            if price < best[j]:
-                best[j], back[j] = price, i
+        price = begun + take[j]
+        if open_at[j] and j < len(places) - 1:
+            price += _FREE
+        back[j] = begin
+        begun += keep[j]
+        if price < begun:
+            begun, begin = price, j
     cuts, j = [], len(places) - 1
     while j:
         cuts.append((places[back[j]], places[j]))

@@ -85,3 +85,10 @@ def test_table(spark):
     assert got == [(1, 0, 0, 5, "Eins."), (1, 1, 6, 11, "Zwei.")]
     assert sen.sentence_units(df.where("false"), "page_id", "content", with_text=False).columns == ["page_id", "unit_no", "start_pos", "end_pos"]
     assert sen.sentence_units(df.where("false"), "page_id", "content").count() == 0
+
+
+def test_units_that_pass_many_possible_ends():
+    references = "Literatur: " + ", ".join(f"vgl. Abs. {i} Nr. {i} S. {i} f. d. BGB" for i in range(60)) + " gelten."
+    assert texts(references + " Danach kommt ein Satz.") == [references, "Danach kommt ein Satz."]
+    quoted = "เขากล่าวว่า “" + " ".join(["นักศึกษาต้องลงทะเบียนเรียน"] * 150) + "” และจบ"
+    assert texts(quoted) == [quoted]
