@@ -35,13 +35,18 @@ _FIELD = (
     r"deadline|frist|semester|semesterzahl|studiengang|fakultät|fachbereich|modul|modultitel|kurs|course|raum|room|ansprechperson|contact|betreuung|"
     r"dozent|dozentin|paragraf|paragraph|version|abschluss|email|e-mail|telefon|adresse|address|ort|unterschrift|signature|text|placeholder|platzhalter)"
 )
-_WORDS = r"\p{L}[\p{L}\-]*(?: \p{L}[\p{L}\-]*){0,4}"
-#: Ways to write an unfilled slot.
+#: A single line break; a blank line ends a slot.
+_NL = r"\n(?![^\S\n]*\n)"
+_WORD = r"\p{L}[\p{L}\-]*"
+_WORDS = rf"{_WORD}(?:(?: |{_NL}){_WORD}){{0,4}}"
+#: Words of any number that begin or end with what to do.
+_DEMANDED = rf"(?:please )?(?:insert|enter|add)(?:(?: |{_NL}){_WORD})++|(?:{_WORD}(?: |{_NL}))+(?:eintragen|einsetzen|einfügen|ergänzen|ausfüllen|angeben)"
+#: Ways to write an unfilled slot. What stands inside ends at the next mark, however long it is.
 SLOTS = regex.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\$\{[^{}\n]{1,80}\}|<%.{1,80}?%>|\[\[[^\[\]\n]{1,80}\]\]|@@[\w.\-]{1,60}@@|##\p{L}[\w.\-]{0,60}##|%\(\w{1,60}\)[sdif]|"
-    r"%\p{Lu}[\p{Lu}\d_.]{1,60}%|(?<![{$\w\\])\{\p{L}[\w.]{1,60}\}(?!\})|\{%.{1,80}?%\}|__\p{Lu}[\p{Lu}_]{2,40}__|\bX{2,4}\.X{2,4}\.(?:X{2,4}|\d{0,2}X{2,4})|"
-    r"\b(?:TT|DD)\.MM\.(?:JJ|YY){1,2}\b|<\p{Lu}[\p{Lu}\-]{2,}(?: [\p{Lu}\-]+){0,4}>|"
-    rf"(?i:\[(?=[^\]\n]*\b{_FIELD}\b){_WORDS}\]|«(?=[^»\n]*\b{_FIELD}\b){_WORDS}»)"
+    rf"\{{\{{(?:[^{{}}\n]|{_NL})++\}}\}}|\$\{{(?:[^{{}}\n]|{_NL})++\}}|<%(?:(?!<%|%>)(?:[^\n]|{_NL}))++%>|\[\[(?:[^\[\]\n]|{_NL})++\]\]|\{{%(?:(?!\{{%|%\}})(?:[^\n]|{_NL}))++%\}}|"
+    r"@@[\w.\-]++@@|##\p{L}[\w.\-]*+##|%\(\w++\)[sdif]|%\p{Lu}[\p{Lu}\d_.]++%|(?<![{$\w\\])\{\p{L}[\w.]++\}(?!\})|__\p{Lu}[\p{Lu}_]{2,}__|\bX{2,4}\.X{2,4}\.(?:X{2,4}|\d{0,2}X{2,4})|"
+    rf"\b(?:TT|DD)\.MM\.(?:JJ|YY){{1,2}}\b|<\p{{Lu}}[\p{{Lu}}\-]{{2,}}(?:(?: |{_NL})[\p{{Lu}}\-]+)*+>|"
+    rf"(?i:\[(?=[^\[\]]*\b{_FIELD}\b){_WORDS}\]|«(?=[^«»]*\b{_FIELD}\b){_WORDS}»|\[(?:{_DEMANDED})\]|«(?:{_DEMANDED})»)"
 )
 #: Without one of these no pattern of SLOTS matches.
 _SIGNS = ("{", "<", "[", "@@", "##", "%", "«", "__", "XX.", ".MM.")

@@ -25,6 +25,23 @@ def test_slots(slot):
     assert res.has_slot(f"Der Plan {slot} gilt im Semester. Danach kommt ein Satz.")
 
 
+LONG = "Name und Anschrift der Stelle, die den Antrag annimmt, so wie sie im Bescheid steht und in der Ordnung genannt wird"
+LONG_SLOTS = [f"{{{{ {LONG} }}}}", f"${{{LONG}}}", f"<%= {LONG} %>", f"[[{LONG}]]", f"{{% {LONG} %}}", f"@@{'feld.' * 20}name@@", f"##{'FELD_' * 20}##", f"%({'feld_' * 20})s", f"%{'FELD_' * 20}%", f"{{{'feld.' * 20}name}}", f"__{'FELD_' * 20}A__",
+    "<NAME DER STELLE DIE DEN ANTRAG ANNIMMT>", "[den vollen Namen der Stelle und der Person eintragen]", "[insert the full name of the office and the person]"]
+
+
+@pytest.mark.parametrize("slot", LONG_SLOTS)
+def test_slots_of_any_length(slot):
+    for text in (slot, slot.replace(" ", "\n", 4)):
+        assert res.has_slot(f"Der Plan {text} gilt im Semester. Danach kommt ein Satz.")
+
+
+def test_slots_end_at_blank_lines_and_marks():
+    for text in ("Die Menge {{ ist offen.\n\nHier steht Text }} und mehr.", "Der Wert [[ eins [ zwei ]] gilt.", "Ein <% und\n \nein %> hier.", "Siehe [die Ordnung gilt für alle Personen an der Hochschule]."):
+        assert not res.has_slot(text)
+    assert not res.has_slot("{{ " * 30000 + "<% " * 30000 + "[[ " * 30000 + "[add " * 30000)
+
+
 @pytest.mark.parametrize("text", MENTIONS)
 def test_mentions(text):
     assert not res.has_slot(f"Davor steht etwas. {text} Danach auch.")
