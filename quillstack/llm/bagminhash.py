@@ -8,13 +8,17 @@ The weight axis is discretised at whole numbers and organised as a hierarchy of
 lower or the upper half of its range, so that processes of different weights share their points below the lesser
 weight. With weights of one, a single range is left and the similarity is that of the sets.
 
-Signatures are cut into bands; records that agree in a band are candidates, and each candidate pair is verified on the
-words themselves. With the defaults (128 bands of 8 components) a pair at the threshold 0.75 is missed with probability
-(1 - 0.75**8)**128 = 1.4e-6, a pair at 0.8 with 9e-11.
+Records with the same bag are one class, found first by a digest with map-side combine, so that copies are signed once.
+Signatures are cut into bands; classes that agree in at least AGREE bands are candidates, and each candidate pair is
+verified on the words themselves. With the defaults (64 bands of 6 components, 2 must agree) a pair at the threshold 0.75
+is missed with probability q**64 + 64 * p * q**63 = 5e-5 (p = 0.75**6, q = 1 - p), a pair at 0.8 with 9e-8, while a pair at
+0.4 becomes a candidate with 0.03 and one at 0.2 with 8e-6. More bands of more components miss less and cost more.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillstack.llm.common import BATCH_ROWS, pairs_between, pairs_within, spread
 from quillstack.session import materialise
 
-BAND, BANDS = 8, 128
+BAND, BANDS = 6, 64
+#: Bands in which a candidate pair agrees at least.
+AGREE = 2
 #: Points drawn for an entry in one round.
 STEP = 32
 _U = np.uint64
@@ -100,57 +106,73 @@ def _bands(sig: np.ndarray, band: int, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SCHEMA = "cls binary, words array<bigint>, counts array<int>, bands array<bigint>"
+SCHEMA = "cls binary, tag bigint, words array<bigint>, counts array<int>"
 
 
-def sign(df: DataFrame, id_col: str, text_col: str, weights: str = "set", band: int = BAND, bands: int = BANDS, balance: bool = True) -> DataFrame:
-    """(id, cls, words, counts, bands) of every row with at least one word.
+def bags(df: DataFrame, id_col: str, text_col: str, weights: str = "set", balance: bool = True) -> DataFrame:
+    """(id, cls, tag, words, counts) of every row with at least one word.
 
-    cls is a digest of the bag: rows with the same bag are one class. words are 64-bit digests of the distinct words
-    in ascending order, counts their weights (1 each for weights="set")."""
+    cls is a digest of the bag: rows with the same bag are one class; tag is its first half as a number. words are 64-bit
+    digests of the distinct words in ascending order; counts their weights, null for weights="set" (1 each)."""
     if weights not in ("set", "count"):
         raise ValueError("weights must be set or count")
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS // 4):
-                batch = whole.slice(at, BATCH_ROWS // 4)
-                keep, digests, bag, word, count, ends = [], [], [], [], [], [0]
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                keep, digests, tags, word, count, ends = [], [], [], [], [], [0]
                 for k, text in enumerate(batch.column(1).to_pylist()):
-                    seen: dict[int, int] = {}
-                    for w in words_of(text or ""):
-                        h = xxhash.xxh3_64_intdigest(w)
-                        seen[h] = seen.get(h, 0) + 1
+                    seen = Counter(words_of(text or ""))
                     if not seen:
                         continue
-                    hashes = np.fromiter(seen, np.uint64, len(seen))
-                    order = np.argsort(hashes.view(np.int64))
-                    hashes = hashes[order]
-                    n = np.ones(len(seen), np.int32) if weights == "set" else np.fromiter(seen.values(), np.int32, len(seen))[order]
+                    hashes: dict[int, int] = {}
+                    for w, n in seen.items():
+                        h = xxhash.xxh3_64_intdigest(w)
+                        hashes[h] = hashes.get(h, 0) + n
+                    codes = np.fromiter(hashes, np.uint64, len(hashes))
+                    order = np.argsort(codes.view(np.int64))
+                    codes = codes[order]
+                    n = np.ones(len(codes), np.int32) if weights == "set" else np.fromiter(hashes.values(), np.int32, len(codes))[order]
+                    digest = xxhash.xxh3_128_digest(codes.tobytes() + n.tobytes())
                     keep.append(k)
-                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes() + n.tobytes()))
-                    bag.append(np.full(len(seen), len(ends) - 1))
-                    word.append(hashes)
+                    digests.append(digest)
+                    tags.append(int.from_bytes(digest[:8], "big", signed=True))
+                    word.append(codes)
                     count.append(n)
-                    ends.append(ends[-1] + len(seen))
+                    ends.append(ends[-1] + len(codes))
                 if not keep:
                     continue
-                words, counts = np.concatenate(word), np.concatenate(count)
-                keys = _bands(signatures(np.concatenate(bag), words, counts, len(keep), band * bands), band, bands)
                 offsets = pa.array(ends, pa.int32())
+                counts = pa.nulls(len(keep), pa.list_(pa.int32())) if weights == "set" else pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(count)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(keep)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(counts)), pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(keys.ravel())),
-                    ],
-                    names=["id", "cls", "words", "counts", "bands"],
-                )
+                    [batch.column(0).take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array(tags, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(word).view(np.int64))), counts],
+                    names=["id", "cls", "tag", "words", "counts"],
+                )
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     return (spread(source) if balance else source).mapInArrow(run, f"id {kind}, {SCHEMA}")
 
 
+def band_keys(classes: DataFrame, band: int = BAND, bands: int = BANDS) -> DataFrame:
+    """(tag, band): so many rows for each class, with a 64-bit key for each of its bands. classes: (tag, words, counts)."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS // 4):
+                batch = whole.slice(at, BATCH_ROWS // 4)
+                lists = batch.column(1)
+                sizes = np.diff(lists.offsets.to_numpy())
+                words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                counts = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                weight = counts if len(counts) else np.ones(len(words), np.int32)
+                keys = _bands(signatures(np.repeat(np.arange(len(sizes)), sizes), words, weight, len(sizes), band * bands), band, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(keys.ravel())], names=["tag", "band"])
+
+    return classes.select("tag", "words", "counts").mapInArrow(run, "tag bigint, band bigint")
+
+
 def overlap(a: str, b: str) -> Column:
     """Weighted Jaccard similarity of two bags (columns `a`, `b`: structs of words and counts)."""
     both = F.size(F.array_intersect(f"{a}.words", f"{b}.words"))
@@ -166,21 +188,22 @@ def multiset_overlap(a: str, b: str) -> Column:
     return both / (total(a) + total(b) - both)
 
 
-def class_links(classes: DataFrame, threshold: float, weights: str = "set") -> DataFrame:
+def class_links(classes: DataFrame, threshold: float, weights: str = "set", band: int = BAND, bands: int = BANDS) -> DataFrame:
     """(cls_a, cls_b, similarity) of all linked pairs of different classes, each once.
 
-    classes: (cls, words, counts, bands), a row for each class. Both sides of the join on bands are one exchange; a
-    candidate pair is verified once, however many bands it shares. Bags whose sizes alone rule the threshold out are
-    dropped in the join."""
-    total = F.size("words") if weights == "set" else F.aggregate("counts", F.lit(0), lambda s, x: s + x)
-    slim = classes.select("cls", total.alias("n"), F.explode("bands").alias("band"))
-    x, y = slim.alias("x"), slim.alias("y")
-    near = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
-    joined = x.join(y, F.col("x.band") == F.col("y.band")).where((F.col("x.cls") < F.col("y.cls")) & near)
-    candidates = joined.select(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b")).distinct()
-    bags = classes.select("cls", F.struct("words", "counts").alias("bag"))
-    both = candidates.join(bags.select(F.col("cls").alias("cls_a"), F.col("bag").alias("a")), "cls_a").join(bags.select(F.col("cls").alias("cls_b"), F.col("bag").alias("b")), "cls_b")
-    measured = both.select("cls_a", "cls_b", (overlap("a", "b") if weights == "set" else multiset_overlap("a", "b")).alias("similarity"))
+    classes: (cls, tag, words, counts), a row for each class. Band rows hold two numbers, and both sides of the join on
+    bands are one exchange straight below the join, so that a band that many classes share is split by adaptive
+    execution on both sides. A candidate pair is verified once, however many bands it shares, and only classes of
+    candidates send their words. Equal tags of different classes only add candidates."""
+    rows = band_keys(classes, band, bands)
+    x, y = rows.alias("x"), rows.alias("y")
+    joined = x.join(y, F.col("x.band") == F.col("y.band")).where(F.col("x.tag") < F.col("y.tag"))
+    pairs = joined.groupBy(F.col("x.tag").alias("tag_a"), F.col("y.tag").alias("tag_b")).agg(F.count("*").alias("n"))
+    candidates = materialise(pairs.where(F.col("n") >= min(AGREE, bands)).select("tag_a", "tag_b"), "candidates")
+    touched = candidates.select(F.explode(F.array("tag_a", "tag_b")).alias("tag")).distinct()
+    wanted = classes.join(touched, "tag", "left_semi").select("tag", F.struct("cls", "words", "counts").alias("bag"))
+    both = candidates.join(wanted.select(F.col("tag").alias("tag_a"), F.col("bag").alias("a")), "tag_a").join(wanted.select(F.col("tag").alias("tag_b"), F.col("bag").alias("b")), "tag_b")
+    measured = both.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), (overlap("a", "b") if weights == "set" else multiset_overlap("a", "b")).alias("similarity"))
     return measured.where(F.col("similarity") >= threshold)
 
 
@@ -189,10 +212,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
 
     Deliveries of an id with one bag count once; an id delivered with two different bags is a member of both classes.
     Null and blank texts belong to no class. Records with the same bag are similar by 1 and share a class."""
-    signed = materialise(sign(df, id_col, text_col, weights, band, bands), "signatures")
-    members = signed.select("id", "cls").distinct()
-    classes = signed.groupBy("cls").agg(F.min(F.struct("words", "counts", "bands")).alias("s")).select("cls", "s.*")
-    links = materialise(class_links(classes, threshold, weights), "links")
+    filled = materialise(bags(df, id_col, text_col, weights), "bags")
+    members = filled.select("id", "cls").distinct()
+    classes = filled.groupBy("cls").agg(F.min(F.struct("tag", "words", "counts")).alias("s")).select("cls", "s.*")
+    links = materialise(class_links(materialise(classes, "classes"), threshold, weights, band, bands), "links")
     return members.withColumnRenamed("id", id_col) if id_col != "id" else members, links
 
 

@@ -29,21 +29,38 @@ def first_delivery(df: DataFrame, key: str, *values: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(*values)).alias("_d")).select(key, *[F.col(f"_d.{v}").alias(v) for v in values])
 
 
+#: Ids of one part of a class on average. Parts are the unit in which classes are expanded to pairs.
+PART_IDS = 500
+
+
+def class_parts(members: DataFrame, id_col: str) -> DataFrame:
+    """(cls, part, ids): the different ids of each class in parts of about PART_IDS, dealt by hash. members: (id, cls)."""
+    sizes = members.groupBy("cls").agg(F.count("*").alias("_n"))
+    dealt = members.join(sizes, "cls").select("cls", F.pmod(F.xxhash64(id_col), F.ceil(F.col("_n") / PART_IDS)).alias("part"), id_col)
+    return dealt.groupBy("cls", "part").agg(F.collect_set(id_col).alias("ids"))
+
+
 def pairs_between(members: DataFrame, links: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     """Expand links between classes to pairs of ids. members: (id, cls); links: (cls_a, cls_b) with each link once.
 
-    The smaller id comes first in each pair. Ids compare by their own type (numbers) or by code point (strings)."""
-    left = members.select(F.col(id_col).alias("_x"), F.col("cls").alias("cls_a"))
-    right = members.select(F.col(id_col).alias("_y"), F.col("cls").alias("cls_b"))
-    joined = links.join(left, "cls_a").join(right, "cls_b").where(F.col("_x") != F.col("_y"))
-    return joined.select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b))
+    Classes are joined part by part and the pairs of parts are dealt over the cluster before they are expanded, so no
+    task holds a class or makes all pairs of two of them. The smaller id comes first in each pair. Ids compare by their
+    own type (numbers) or by code point (strings)."""
+    linked = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    parts = class_parts(members.join(linked, "cls", "left_semi"), id_col)
+    left = parts.select(F.col("cls").alias("cls_a"), F.col("part").alias("_p"), F.col("ids").alias("_x"))
+    right = parts.select(F.col("cls").alias("cls_b"), F.col("part").alias("_q"), F.col("ids").alias("_y"))
+    joined = links.join(left, "cls_a").join(right, "cls_b").repartition("cls_a", "_p", "cls_b", "_q")
+    pairs = joined.select(F.explode("_x").alias("_x"), "_y").select("_x", F.explode("_y").alias("_y")).where(F.col("_x") != F.col("_y"))
+    return pairs.select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b))
 
 
-def pairs_within(members: DataFrame, id_col: str, a: str, b: str, salts: int = 16) -> DataFrame:
-    """All pairs of ids inside each class (identical records); the left side is salted so that no task holds a class."""
-    left = members.select(F.col(id_col).alias("_x"), "cls", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_s"))
+def pairs_within(members: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
+    """All pairs of ids inside each class (identical records), part by part as in pairs_between."""
     several = members.groupBy("cls").agg(F.count("*").alias("_n")).where("_n > 1").select("cls")
-    right = members.join(several, "cls", "left_semi").select(
-        F.col(id_col).alias("_y"), "cls", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")
-    )
-    return left.join(right, ["cls", "_s"]).where(F.col("_x") < F.col("_y")).select(F.col("_x").alias(a), F.col("_y").alias(b))
+    parts = class_parts(members.join(several, "cls", "left_semi"), id_col)
+    left = parts.select("cls", F.col("part").alias("_p"), F.col("ids").alias("_x"))
+    right = parts.select("cls", F.col("part").alias("_q"), F.col("ids").alias("_y"))
+    joined = left.join(right, "cls").where("_p <= _q").repartition("cls", "_p", "_q")
+    pairs = joined.select("_p", "_q", F.explode("_x").alias("_x"), "_y").select("_p", "_q", "_x", F.explode("_y").alias("_y")).where("_p < _q OR _x < _y")
+    return pairs.select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b))

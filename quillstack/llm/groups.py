@@ -11,14 +11,14 @@ def components(links: DataFrame, a: str = "cls_a", b: str = "cls_b") -> DataFram
     """(cls, root): the smallest class of each component that has links.
 
     Large-star and small-star steps in turn, each a shuffle by node with partial minimum; a node's neighbours are
-    never collected. Every step is written to the shared folder, so that lost executors cost one step; it ends when
+    never collected, and the least neighbours are written first, so that adaptive execution can split a hub in the join. Every step is written to the shared folder, so that lost executors cost one step; it ends when
     the links no longer change."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "stars")
     before = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -42,6 +42,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.membership(members, links, "chunk_id")
 
 
+def p2_multiset(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks whose words with their counts overlap by as much: the hierarchy over weights at work."""
+    return bagminhash.near_duplicate_pairs(table(spark, folder, "chunks"), "chunk_id", "text", CHUNK_SIMILARITY, "chunk_id_a", "chunk_id_b", weights="count")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of which at least 30 % is repeated."""
     profile = repetition.repetition_profile(table(spark, folder, "extracted_pages"), "page_id", "content")
@@ -115,7 +120,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_profile, p4_found, p4_sentences, p5_found, p5_kinds, p6_ids, p7_containers, p7_fill, p8_found, p8_forms)
+    every = (p1_found, p1_pieces, p2_found, p2_groups, p2_multiset, p3_found, p3_profile, p4_found, p4_sentences, p5_found, p5_kinds, p6_ids, p7_containers, p7_fill, p8_found, p8_forms)
     return {f.__name__: _shipped(f) for f in every}
 
 
@@ -139,6 +144,14 @@ def oracle_sql() -> dict[str, str]:
             common AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, count(*) AS n FROM real a JOIN real b ON a.word = b.word AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
             SELECT chunk_id_a, chunk_id_b FROM common JOIN sizes x ON x.chunk_id = chunk_id_a JOIN sizes y ON y.chunk_id = chunk_id_b
             WHERE common.n >= {CHUNK_SIMILARITY} * (x.n + y.n - common.n)""",
+        "p2_multiset": f"""
+            WITH once AS (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1),
+            words AS (SELECT chunk_id, unnest(string_split(trim(regexp_replace(lower(text), '{_WS}', ' ', 'g'), ' '), ' ')) AS word FROM once WHERE text IS NOT NULL),
+            real AS (SELECT chunk_id, word, count(*) AS k FROM words WHERE word <> '' GROUP BY 1, 2),
+            sizes AS (SELECT chunk_id, sum(k) AS n FROM real GROUP BY 1),
+            common AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, sum(least(a.k, b.k)) AS n FROM real a JOIN real b ON a.word = b.word AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+            SELECT chunk_id_a, chunk_id_b FROM common JOIN sizes x ON x.chunk_id = chunk_id_a JOIN sizes y ON y.chunk_id = chunk_id_b
+            WHERE common.n >= {CHUNK_SIMILARITY} * (x.n + y.n - common.n)""",
         "p3_found": f"""
             WITH once AS (SELECT page_id, min(content) AS content FROM extracted_pages GROUP BY 1),
             texts AS (SELECT page_id, trim(regexp_replace(lower(content), '{_WS}', ' ', 'g'), ' ') AS t FROM once WHERE content IS NOT NULL),
