@@ -28,6 +28,8 @@ _NAMED = regex.compile(r"\s*(?:§+\s*\d+|(?:Kapitel|Teil|Abschnitt|Anlage|Anhang
 _ITEM = regex.compile(r"(\s*)(?:[-*•–▪]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\||<(?:li|tr|p|div|td)\b)\s*\S?")
 _SENTENCE = regex.compile(r"[.!?…؟।]+[\"'”“»«’\)\]]*\s+|[。！？]+[」』”’）]*\s*")
 _GAP = regex.compile(r"\s+")
+#: Levels of list items by indentation below the top one; lines that are no items lie on the last.
+DEEPEST = 5
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def _levels(text: str) -> list[list[int]]:
     """Cutting places by level, from headings of depth 1 to words; each level has those of the levels above."""
     headings: dict[int, list[int]] = {d: [] for d in range(1, 7)}
     blocks: list[int] = []
-    items: dict[int, list[int]] = {0: [], 1: []}
+    items: dict[int, list[int]] = {d: [] for d in range(DEEPEST + 1)}
     blank_before, heading_before = False, False
     for m in _LINE.finditer(text):
         a, line = m.start(), m.group().rstrip()
@@ -95,12 +97,12 @@ def _levels(text: str) -> list[list[int]]:
             blocks.append(a)
         if not heading_before and not depth:
             h = _ITEM.match(line)
-            items[min(1, len(h.group(1)) // 2) if h and h.group(1) else 0 if h else 1].append(a)
+            items[min(DEEPEST, len(h.group(1).expandtabs(4)) // 2) if h else DEEPEST].append(a)
         blank_before, heading_before = False, depth is not None
     levels: list[list[int]] = []
     known: set[int] = set()
     inner = ({m.end() for m in _SENTENCE.finditer(text)}, {m.end() for m in _GAP.finditer(text)})
-    for more in (*headings.values(), blocks, items[0], items[1], *inner):
+    for more in (*headings.values(), blocks, *items.values(), *inner):
         if more:
             known |= set(more)
             levels.append(sorted(known))
@@ -175,7 +177,8 @@ SCHEMA = "item_kind string, item_id string, piece_index int, n_pieces int, start
 def split_items(df: DataFrame, kind: str, id_col: str, text_col: str, unit: str, limit: int, overlap: int | None, only_oversized: bool = False) -> DataFrame:
     """Pieces of every item (see SCHEMA), of oversized items only if so asked.
 
-    Ids come out as strings. Deliveries of an id count once (the smallest text, should they differ). Null and empty
+    Ids come out as strings. Deliveries of an id count once: should they differ, an oversized one before others, and of
+    several the smallest text. Null and empty
     texts give no piece; an item exactly at the limit is one piece. Sizes are measured on the text: a stored size is
     never read. Items within the limit never leave the JVM."""
     if unit not in ("characters", "counter_tokens"):
@@ -203,7 +206,8 @@ def split_items(df: DataFrame, kind: str, id_col: str, text_col: str, unit: str,
     pieces = once.mapInArrow(run, SCHEMA)
     if only_oversized:
         return pieces
-    short = items.where(~long).groupBy("item_id").agg(F.min("text").alias("text"))
+    cut = items.where(long).select("item_id").distinct()
+    short = items.where(~long).join(cut, "item_id", "left_anti").groupBy("item_id").agg(F.min("text").alias("text"))
     n = F.length("text")
     return pieces.unionByName(
         short.select(

@@ -82,3 +82,16 @@ def test_tokens_are_counted_not_believed(spark):
     df = spark.createDataFrame([("a", "x y z", 999), ("b", "x y z u", 1), ("c", "ab　cd ef", 0)], "chunk_id string, text string, token_count int")
     got = {r.item_id: r.n_pieces for r in ts.split_items(df, "chunk", "chunk_id", "text", "counter_tokens", 3, 1).collect()}
     assert got["a"] == 1 and got["b"] > 1 and got["c"] == 1
+
+
+def test_deliveries_that_differ_give_one_set_of_pieces(spark):
+    df = spark.createDataFrame([("a", "kurz"), ("a", "lang " * 50), ("b", "kurz"), ("b", "kurz")], "k string, t string")
+    got = ts.split_items(df, "page", "k", "t", "characters", 60, 10).collect()
+    assert {r.item_id: r.n_pieces for r in got} == {"a": len([r for r in got if r.item_id == "a"]), "b": 1} and len([r for r in got if r.item_id == "b"]) == 1
+
+
+def test_nested_items_are_cut_between_outer_ones():
+    text = "".join(f"- Punkt {i}\n" + "".join(f"  - Teil {i}{j}\n" + "".join(f"    - Stück {i}{j}{k}\n" for k in range(3)) for j in range(3)) for i in range(4))
+    size = len(text) // 4 + 12
+    cores = [text[p.core : p.end] for p in ts.split_text(text, "characters", size, 0)]
+    assert "".join(cores) == text and all(c.startswith("- Punkt") for c in cores)
