@@ -1,11 +1,14 @@
-"""A collection of segments with vectors, kept as parquet in versions.
+"""A collection of segments with vectors, kept as parquet in buckets and versions.
 
-A write makes a new version beside the old one and then moves the pointer file, so readers never see a half-written
-state. Rows are hash-partitioned by chunk_id.
+Rows lie in buckets by hash of chunk_id. A write makes new folders for the buckets that it touches and then a version
+file with the next number, which names the folder of every bucket. Version files are never changed, made without
+overwriting, and count only with their last line, so a reader sees one whole state, whenever a writer stops. Of two
+writers with the same number one fails and begins again. Folders stay until no kept version names them.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -13,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillstack.schemas import StoreConfig
+from quillstack.session import hadoop_path, materialise
 
 FIELDS = (
     "chunk_id string, text string, document_id string, document_title string, document_type string, institution string, degree_program string, chunk_index int, total_chunks int, token_count int, "
@@ -50,64 +54,119 @@ class Collection:
             embed = hash_embedding
         self.embed = embed
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _version(self) -> str | None:
-        path, fs = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
+    def _numbers(self) -> list[int]:
+        """Numbers of all version files, complete or not, ascending."""
+        place, fs = hadoop_path(self.spark, f"{self.root}/versions")
+        if not fs.exists(place):
+            return []
+        return sorted(int(f.getPath().getName().split(".")[0]) for f in fs.listStatus(place) if f.getPath().getName().endswith(".json"))
+
+    def _buckets(self, number: int) -> dict[str, str] | None:
+        """Folder by bucket in a version; None if its file is not complete."""
+        place, fs = hadoop_path(self.spark, f"{self.root}/versions/{number:012d}.json")
+        stream = fs.open(place)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            lines = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
         finally:
             stream.close()
+        return json.loads(lines[0]) if len(lines) == 2 and lines[1] == "end" else None
 
-    def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
+    def _current(self) -> dict[str, str]:
+        """Folder by bucket in the newest complete version; empty before the first write."""
+        return next((b for n in reversed(self._numbers()) if (b := self._buckets(n)) is not None), {})
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], FIELDS)
-        return self.spark.read.schema(FIELDS).parquet(f"{self.root}/{version}")
-
-    def _write(self, df: DataFrame) -> None:
-        version, old = f"v-{uuid.uuid4().hex}", self._version()
-        df.write.parquet(f"{self.root}/{version}")
-        path, fs = self._fs(f"{self.root}/CURRENT.tmp")
-        stream = fs.create(path, True)
-        stream.write(bytearray(version, "utf-8"))
+        return self.spark.read.schema(FIELDS).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def read(self) -> DataFrame:
+        """All rows of the newest version."""
+        return self._rows(list(self._current().values()))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("chunk_id"), F.lit(self.config.buckets)).cast("int").alias("bucket")
+
+    def _replace(self, touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write a version in which the buckets that hold rows of touched(all rows) are replaced by change(their rows)."""
+        for _ in range(5):
+            numbers, current = self._numbers(), self._current()
+            wanted = sorted(str(r.bucket) for r in touched(self._rows(list(current.values()))).select(self._bucket()).distinct().collect())
+            if not wanted:
+                return
+            rows = change(self._rows([current[b] for b in wanted if b in current])).withColumn("bucket", self._bucket())
+            folder = f"data/{uuid.uuid4().hex}"
+            rows.where(F.col("bucket").isin([int(b) for b in wanted])).repartition(len(wanted), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+            place, fs = hadoop_path(self.spark, f"{self.root}/{folder}")
+            filled = {f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(place) if f.getPath().getName().startswith("bucket=")}
+            buckets = {b: p for b, p in current.items() if b not in wanted} | {b: f"{folder}/bucket={b}" for b in wanted if b in filled}
+            if self._publish(numbers[-1] + 1 if numbers else 1, buckets):
+                self._tidy()
+                return
+        raise RuntimeError("other writers came first five times")
+
+    def _publish(self, number: int, buckets: dict[str, str]) -> bool:
+        """Make a version file; False if another writer has taken the number."""
+        place, fs = hadoop_path(self.spark, f"{self.root}/versions/{number:012d}.json")
+        if fs.exists(place):
+            return False
+        try:
+            stream = fs.create(place, False)
+        except Exception as e:  # noqa: BLE001  the class of the Java exception depends on the file system
+            if "exist" in str(e).lower():
+                return False
+            raise
+        stream.write(bytearray(json.dumps(buckets, sort_keys=True) + "\nend\n", "utf-8"))
         stream.close()
-        current, _ = self._fs(f"{self.root}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(path, current)
-        if old:
-            gone, _ = self._fs(f"{self.root}/{old}")
-            fs.delete(gone, True)
+        return True
+
+    def _tidy(self) -> None:
+        """Remove versions beyond the kept ones and the folders that no kept version names."""
+        numbers = self._numbers()
+        complete = [n for n in numbers if self._buckets(n) is not None]
+        kept = complete[-self.config.keep_versions :]
+        old = [n for n in numbers if n < kept[0]]
+        gone = {p for n in old for p in (self._buckets(n) or {}).values()} - {p for n in kept for p in self._buckets(n).values()}
+        for path in [*gone, *[f"versions/{n:012d}.json" for n in old]]:
+            place, fs = hadoop_path(self.spark, f"{self.root}/{path}")
+            fs.delete(place, True)
 
     def upsert(self, chunks: DataFrame, progress: Progress | None = None, replace_document: bool = False) -> dict:
         """Insert or update flat chunk rows; their vectors come from the embedding function. Blank texts get no vector.
 
-        replace_document=True also removes rows of the same documents that the new rows lack."""
+        Rows without an id are skipped. replace_document=True also removes rows of the same documents that the new rows
+        lack. Only buckets that hold new or removed rows are written again."""
         began = time.monotonic()
         say = progress or (lambda *_: None)
         say(0, 1, "Embedding")
-        new = chunks.withColumn("embedding", F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, self.embed(F.col("text"))).otherwise(F.array().cast("array<float>")))
-        target = self.read()
-        if replace_document:
-            target = target.join(chunks.select("document_id").distinct(), "document_id", "left_anti").select(*target.columns)
-        stored = chunks.select("chunk_id").distinct().count()
-        say(0, stored, "Storing")
-        if stored:
-            self._write(merge_rows(target, new.select(*target.columns)))
-        say(stored, stored, "Done")
-        return {"chunks_stored": stored, "chunks_skipped": 0, "total_time_seconds": round(time.monotonic() - began, 2)}
+        vector = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, self.embed(F.col("text"))).otherwise(F.array().cast("array<float>"))
+        new = materialise(chunks.withColumn("embedding", vector).select(*[f.split()[0] for f in FIELDS.split(", ")]), "embedded")
+        embedded = time.monotonic()
+        facts = new.agg(F.count_distinct("chunk_id").alias("stored"), F.count_if(F.col("chunk_id").isNull()).alias("skipped"), F.min("document_id").alias("a"), F.max("document_id").alias("b")).first()
+        documents = new.select("document_id").distinct()
+        say(0, facts.stored, "Storing")
+
+        def touched(rows: DataFrame) -> DataFrame:
+            ids = new.where("chunk_id IS NOT NULL").select("chunk_id")
+            return ids.unionByName(rows.join(documents, "document_id", "left_semi").select("chunk_id")) if replace_document else ids
+
+        def change(rows: DataFrame) -> DataFrame:
+            return merge_rows(rows.join(documents, "document_id", "left_anti").select(*new.columns) if replace_document else rows, new)
+
+        if facts.stored:
+            self._replace(touched, change)
+        say(facts.stored, facts.stored, "Done")
+        now = time.monotonic()
+        return {
+            "document_id": facts.a if facts.a == facts.b else None, "chunks_stored": facts.stored, "chunks_skipped": facts.skipped,
+            "embedding_time_seconds": round(embedded - began, 2), "total_time_seconds": round(now - began, 2),
+        }
 
     def delete_document(self, document_id: str) -> int:
         """Remove the rows of a document; the number removed (0 if there are none)."""
-        rows = self.read()
-        n = rows.where(F.col("document_id") == document_id).count()
+        n = self.read().where(F.col("document_id") == document_id).count()
         if n:
-            self._write(rows.where(~F.col("document_id").eqNullSafe(document_id)))
+            self._replace(lambda rows: rows.where(F.col("document_id") == document_id), lambda rows: rows.where(~F.col("document_id").eqNullSafe(document_id)))
         return n
 
     def count(self) -> int:
@@ -120,8 +179,12 @@ class Collection:
         """The rows of given ids that exist, with distance 0 and similarity 1."""
         return lookup(self.read(), chunk_ids)
 
-    def health(self, embedder_ok: bool = True) -> dict:
-        return {"healthy": embedder_ok, "collection": self.config.collection, "total_chunks": self.count(), "total_documents": self.document_ids().count(), "model": self.config.model}
+    def health(self, embedder: dict | None = None) -> dict:
+        """State of the collection, with that of an embedding service (see adapters.embedder_health) where one is given."""
+        state = {"healthy": True, "collection": self.config.collection, "total_chunks": self.count(), "total_documents": self.document_ids().count(), "model": self.config.model}
+        if embedder is None:
+            return state
+        return state | {"healthy": bool(embedder.get("healthy")), "embedder": embedder, "error": embedder.get("error")}
 
 
 def lookup(rows: DataFrame, chunk_ids: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from quillstack.operators import collection as col, documents as docs, responses
 from quillstack.operators.ordered import latest, running_sum
 from quillstack.plans.sql import SQL
 from quillstack.schemas import SegmentConfig, valid_context, valid_page
-from quillstack.session import materialise, ship_package, spread, work_folder
+from quillstack.session import application_folder, materialise, ship_package, spread
 from quillstack.sources import json_results as js
 from quillstack.sources.tables import table
 
@@ -174,7 +174,7 @@ def json_roundtrip(spark, folder):
     """Documents with their pages, written as JSON and read again."""
     names = ("page_number", "content", "sections", "paragraph_numbers", "content_types", "has_table", "has_list", "has_figure", "internal_references", "external_references", "continues_from_previous", "continues_to_next", "extraction_confidence", "extraction_notes")
     pages = _pages(spark, folder, *names).groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("pages"))
-    path = f"{work_folder(spark).rstrip('/')}/quillstack/json-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/json-{uuid.uuid4().hex}"
     js.write_json(latest(table(spark, folder, "extraction_results"), ["source_file"], ["ingested_at"]).drop("ingested_at").join(pages, "source_file", "left"), path)
     back = js.read_extractions(spark, path, multi_line=False)
     total = F.aggregate("pages", F.lit(0), lambda s, p: s + F.length(F.coalesce(p["content"], F.lit(""))))

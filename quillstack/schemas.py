@@ -88,8 +88,13 @@ class StoreConfig:
     collection: str = "documents"
     model: str = "hash-64"
     metric: str = "cosine"
+    #: Parts by hash of chunk_id, of which a write replaces only those it touches, and versions that stay readable.
+    buckets: int = 32
+    keep_versions: int = 3
 
     def __post_init__(self):
+        _between("buckets", self.buckets, 1, 100_000)
+        _between("keep_versions", self.keep_versions, 1)
         if self.metric not in ("cosine", "l2", "ip"):
             raise ValueError("metric must be cosine, l2 or ip")
 

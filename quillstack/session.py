@@ -45,35 +45,63 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+_OWNED: set[str] = set()
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and the
+    master is local. The caller's settings stay as they are."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    fresh = f"file://{tempfile.mkdtemp(prefix='quillstack-work-')}"
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    if sc.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='quillstack-work-')}"
+    return _LOCAL_FOLDERS[sc.applicationId]
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's own folder inside the work folder; it is removed when the application ends."""
+    path = f"{work_folder(spark).rstrip('/')}/quillstack/{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        place, fs = hadoop_path(spark, path)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _OWNED.add(path)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system), for the few steps on files that DataFrames have no words for."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application has written so far; results that still read it must have been used."""
+    place, fs = hadoop_path(spark, application_folder(spark))
+    fs.delete(place, True)
+    fs.mkdirs(place)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as parquet under the shared work folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as parquet in the application's folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/quillstack/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, force: bool = False, per_core: int = 3) -> DataFrame:
-    """Deal the rows evenly over the cluster before heavy work on each row, if the plan has fewer tasks than that needs.
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """Deal the rows evenly over the cluster before heavy work on each row, if the plan reads fewer files than that needs.
 
-    A few parquet files with one row group each give a few tasks however large they are. A scan that already has two
-    tasks a core, as any large table has, is left alone, so nothing is shuffled at scale. The exchange is round-robin:
-    no hot value can end up in one task. force=True is for plans behind a shuffle, whose partitions may be coalesced
-    by their size in bytes though the work on them is heavy."""
+    A few parquet files with one row group each give a few tasks however large they are. A plan that reads two files a
+    core, as on any large table, is left alone, so nothing is shuffled at scale. The exchange is round-robin: no hot
+    value can end up in one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not force and df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+    if len(df.inputFiles()) >= 2 * cores:
         return df
     return df.repartition(max(cores * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))

@@ -40,6 +40,44 @@ def test_collection(spark, tmp_path):
     assert store.count() == 2
     assert store.delete_document("a") == 1 and store.delete_document("a") == 0 and store.count() == 1
     assert store.health() == {"healthy": True, "collection": "documents", "total_chunks": 1, "total_documents": 1, "model": "hash-64"}
+    down = store.health(adapters.embedder_health(lambda: [], "m"))
+    assert not down["healthy"] and down["total_chunks"] == 1 and down["error"] == "model m is not installed"
+    stats = store.upsert(flatten_chunk(frame(spark, [chunk("c", 0, 1)])))
+    assert stats["document_id"] == "c" and stats["chunks_skipped"] == 0 and stats["embedding_time_seconds"] <= stats["total_time_seconds"]
+
+
+def test_a_stopped_write_changes_nothing(spark, tmp_path):
+    """Whatever step of a write fails, readers see the state before, and the next write goes on from there."""
+    flat = lambda *chunks: flatten_chunk(frame(spark, chunks))
+    store = Collection(spark, StoreConfig(f"file://{tmp_path}", buckets=4, keep_versions=2))
+    store.upsert(flat(*[chunk("a", i, 6) for i in range(6)]))
+    reader = store.read()
+    folders = store._current()
+
+    class Stopped(Exception):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    for step in ("_publish", "_tidy"):
+        broken = Collection(spark, store.config)
+        setattr(broken, step, stop)
+        with pytest.raises(Stopped):
+            broken.upsert(flat(chunk("a", 0, 6, step)))
+        assert store.count() == 6 and reader.count() == 6
+    assert store.lookup(["a_chunk_0000"]).first().text == "_tidy 0"  # published before it stopped
+    (tmp_path / "documents" / "versions" / "000000000009.json").write_text("{")  # a writer that died while it wrote
+    assert store.count() == 6
+    assert store.upsert(flat(chunk("a", 1, 6, "Neu")))["chunks_stored"] == 1
+    assert store._numbers()[-1] == 10 and store.lookup(["a_chunk_0001"]).first().text == "Neu 1" and store.count() == 6
+    changed = [b for b, p in store._current().items() if folders.get(b) != p]
+    assert 1 <= len(changed) <= 2  # only the buckets of the two chunks were written again
+    taken = Collection(spark, store.config)
+    publish, calls = taken._publish, []
+    taken._publish = lambda n, b: calls.append(n) or (len(calls) > 1 and publish(n, b))
+    taken.upsert(flat(chunk("b", 0, 1)))
+    assert len(calls) == 2 and store.count() == 7
 
 
 def test_stream(spark, tmp_path):
