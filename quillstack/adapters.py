@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 class Renderer(Protocol):
     def info(self, data: bytes) -> dict[str, Any]: ...
 
+    def size(self, data: bytes, page_number: int) -> tuple[float, float]: ...
+
     def render(self, data: bytes, page_number: int, zoom: float) -> tuple[bytes, int, int]: ...
 
 
 class Model(Protocol):
-    def answer(self, system_prompt: str, user_prompt: str, image: str | None) -> tuple[str, int, int]: ...
+    def answer(self, system_prompt: str, user_prompt: str, images: list[str]) -> tuple[str, int, int]: ...
 
 
 class Embedder(Protocol):
@@ -33,7 +35,7 @@ class Embedder(Protocol):
 
 
 INFO = "page_count int, title string, author string, subject string, creator string, creation_date string, modification_date string"
-IMAGE = "source_file string, page_number int, image_base64 string, width int, height int, mime_type string"
+IMAGE = "source_file string, position int, page_number int, image_base64 string, width int, height int, mime_type string"
 
 
 def pdf_info(files: DataFrame, make: Callable[[], Renderer]) -> DataFrame:
@@ -49,11 +51,10 @@ def pdf_info(files: DataFrame, make: Callable[[], Renderer]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"source_file string, {INFO}")
 
 
-def fit_zoom(width: Column, height: Column, dpi: Column, max_dimension: Column) -> Column:
-    """Zoom for a resolution, lowered so that no side exceeds the limit."""
-    zoom = dpi / F.lit(72.0)
-    longest = F.greatest(width, height) * zoom
-    return F.when(longest > max_dimension, zoom * max_dimension / longest).otherwise(zoom)
+def fit_zoom(width: float, height: float, dpi: float, max_dimension: int | None) -> float:
+    """Zoom for a resolution (72 points an inch), lowered so that no side exceeds the limit."""
+    zoom, longest = dpi / 72.0, max(width, height)
+    return max_dimension / longest if max_dimension and longest * zoom > max_dimension else zoom
 
 
 def wanted_pages(info: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:
@@ -62,39 +63,62 @@ def wanted_pages(info: DataFrame, start: int = 1, end: int | None = None) -> Dat
     return info.where(last >= start).select("source_file", F.explode(F.sequence(F.lit(start), last)).alias("page_number"))
 
 
-def render_pages(files: DataFrame, wanted: DataFrame, make: Callable[[], Renderer], dpi: int = 150, fmt: str = "png") -> DataFrame:
-    """Images of wanted pages (source_file, page_number). Pages outside a document are left out; each document is
-    opened once a batch, and pages are made one after the other."""
-    by_file = wanted.groupBy("source_file").agg(F.sort_array(F.collect_set("page_number")).alias("pages"))
-    joined = files.select(F.col("path").alias("source_file"), "content").join(by_file, "source_file")
+#: Pages of one file that a task renders in a row; a file with more is opened by several tasks.
+RENDER_PAGES = 16
+
+
+def render_pages(
+    files: DataFrame, wanted: DataFrame, make: Callable[[], Renderer], dpi: float = 150, fmt: str = "png", max_dimension: int | None = 2048, strict: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Images (IMAGE, and the columns to keep) of wanted pages (source_file, page_number[, position][, columns to keep]).
+
+    position is the place of a request in its list, by default the page number; a page that is asked for twice comes
+    twice. No side of an image is longer than max_dimension. Pages outside a document are left out; with strict they
+    raise an error."""
+    place = F.col("position") if "position" in wanted.columns else F.col("page_number")
+    asked = wanted.select("source_file", place.cast("int").alias("position"), F.col("page_number").cast("int").alias("page_number"), *keep)
+    by_file = asked.groupBy("source_file", *keep, F.floor(F.col("position") / RENDER_PAGES).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("position", "page_number"))).alias("pages"))
+    joined = files.select(F.col("path").alias("source_file"), "content").join(by_file.drop("_part"), "source_file")
+    kinds = "".join(f", {k} {wanted.schema[k].dataType.simpleString()}" for k in keep)
+    names = [f.split()[0] for f in IMAGE.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         renderer = make()
         for frame in frames:
-            for name, data, pages in frame[["source_file", "content", "pages"]].itertuples(index=False):
-                total = renderer.info(bytes(data))["page_count"]
-                for n in pages:
+            for name, data, pages, *kept in frame[["source_file", "content", "pages", *keep]].itertuples(index=False):
+                data, rows = bytes(data), []
+                total = renderer.info(data)["page_count"]
+                for at, n in ((p["position"], p["page_number"]) for p in pages):
                     if 1 <= n <= total:
-                        image, w, h = renderer.render(bytes(data), int(n), dpi / 72)
-                        yield pd.DataFrame([(name, int(n), base64.b64encode(image).decode(), w, h, f"image/{fmt}")], columns=[f.split()[0] for f in IMAGE.split(", ")])
+                        image, w, h = renderer.render(data, int(n), fit_zoom(*renderer.size(data, int(n)), dpi, max_dimension))
+                        rows.append((name, at, n, base64.b64encode(image).decode(), w, h, f"image/{fmt}", *kept))
+                    elif strict:
+                        raise ValueError(f"page {n} of {name} is out of range (1-{total})")
+                yield pd.DataFrame(rows, columns=[*names, *keep])
+
+    return joined.mapInPandas(run, IMAGE + kinds)
+
 
-    return joined.mapInPandas(run, IMAGE)
+def thumbnails(files: DataFrame, make: Callable[[], Renderer], max_size: int = 400, fmt: str = "png") -> DataFrame:
+    """The first page of each file, scaled so that its longer side is max_size; files without pages give none."""
+    first = files.select(F.col("path").alias("source_file"), F.lit(1).alias("page_number"))
+    return render_pages(files, first, make, dpi=1e9, fmt=fmt, max_dimension=max_size)
 
 
 REPLY = "reply string, input_tokens int, output_tokens int, attempts int, error string"
 
 
 def ask_model(prompts: DataFrame, keys: list[str], make: Callable[[], Model], max_retries: int = 3, wait: Callable[[float], None] = time.sleep, accept: Callable[[str], bool] = bool) -> DataFrame:
-    """keys and REPLY for prompts (keys, system_prompt, user_prompt, image). A reply that is not accepted is asked again,
+    """keys and REPLY for prompts (keys, system_prompt, user_prompt, images). A reply that is not accepted is asked again,
     with waits of 2, 4, ... seconds in between; the last reply is returned even if it is not accepted. If every attempt
     fails, reply is null and error says why."""
     kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
 
-    def one(model: Model, system: str, user: str, image: str | None) -> tuple:
+    def one(model: Model, system: str, user: str, images: list[str]) -> tuple:
         reply, used, error = None, (0, 0), None
         for attempt in range(1, max_retries + 1):
             try:
-                reply, *used = model.answer(system, user, image)
+                reply, *used = model.answer(system, user, images)
                 error = None
                 if accept(reply):
                     break
@@ -107,10 +131,27 @@ def ask_model(prompts: DataFrame, keys: list[str], make: Callable[[], Model], ma
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for frame in frames:
-            rows = [one(model, s, u, i) for s, u, i in frame[["system_prompt", "user_prompt", "image"]].itertuples(index=False)]
+            rows = [one(model, s, u, [] if i is None else [x for x in i if x is not None]) for s, u, i in frame[["system_prompt", "user_prompt", "images"]].itertuples(index=False)]
             yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[f.split()[0] for f in REPLY.split(", ")])], axis=1)
 
-    return prompts.select(*keys, "system_prompt", "user_prompt", "image").mapInPandas(run, f"{kinds}, {REPLY}")
+    return prompts.select(*keys, "system_prompt", "user_prompt", "images").mapInPandas(run, f"{kinds}, {REPLY}")
+
+
+def call_embedder(embedder: Embedder, texts: list[str]) -> list[list[float]]:
+    """Vectors of texts; a service that cannot be reached raises ConnectionError, any other failure RuntimeError."""
+    try:
+        return embedder.embed(texts)
+    except Exception as e:  # noqa: BLE001  clients raise classes of their own
+        if isinstance(e, ConnectionError) or "Connection" in type(e).__name__ or "refused" in str(e).lower():
+            raise ConnectionError(f"the embedding service cannot be reached: {e}") from e
+        raise RuntimeError(f"the texts could not be embedded: {e}") from e
+
+
+def embed_text(embedder: Embedder, text: str | None) -> list[float]:
+    """Vector of one text, for questions; a blank text raises ValueError."""
+    if not text or not text.strip():
+        raise ValueError("a blank text has no vector")
+    return call_embedder(embedder, [text])[0]
 
 
 def embed_column(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
@@ -121,7 +162,7 @@ def embed_column(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
         embedder = make()
         for texts in batches:
             real = [(i, t) for i, t in enumerate(texts) if t and t.strip()]
-            vectors = embedder.embed([t for _, t in real]) if real else []
+            vectors = call_embedder(embedder, [t for _, t in real]) if real else []
             out: list[list[float]] = [[] for _ in range(len(texts))]
             for (i, _), v in zip(real, vectors, strict=True):
                 out[i] = [float(x) for x in v]
@@ -167,15 +208,18 @@ class PlainTextRenderer:
     def info(self, data: bytes) -> dict[str, Any]:
         return {"page_count": data.count(b"\f") + 1 if data else 0}
 
+    def size(self, data: bytes, page_number: int) -> tuple[float, float]:
+        return 595.0, 842.0
+
     def render(self, data: bytes, page_number: int, zoom: float) -> tuple[bytes, int, int]:
         return data.split(b"\f")[page_number - 1], round(595 * zoom), round(842 * zoom)
 
 
 class EchoModel:
-    """Stand-in model: gives the text of the image back as the page's content."""
+    """Stand-in model: gives the text of the last image (a data URL or bare base64) back as the page's content."""
 
-    def answer(self, system_prompt: str, user_prompt: str, image: str | None) -> tuple[str, int, int]:
+    def answer(self, system_prompt: str, user_prompt: str, images: list[str]) -> tuple[str, int, int]:
         import json
 
-        text = base64.b64decode(image or "").decode("utf-8", errors="replace")
+        text = base64.b64decode(images[-1].rpartition(",")[2] if images else "").decode("utf-8", errors="replace")
         return json.dumps({"content": text}, ensure_ascii=False), len(system_prompt) + len(user_prompt), len(text)

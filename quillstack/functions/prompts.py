@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+CONTEXT_SYSTEM = (
+    "You look at sample pages of one document and say what kind of document it is. Answer with one JSON object with the keys document_type, title, institution, faculty, version_date, "
+    "version_info, degree_program, chapters, main_topics, abbreviations, key_terms, referenced_documents, legal_basis. Use null or an empty list for what the pages do not tell."
+)
+CONTEXT_USER = "Describe the document that these pages are taken from."
 PAGE_SYSTEM = (
     "You transcribe one page of a document into plain text and report its structure as JSON.\n\nDocument:\n{document_context}\n\n"
     "Write tables and lists as sentences, keep the page's own wording, invent nothing."
@@ -15,6 +20,7 @@ PAGE_USER = (
 )
 
 
+# The German labels of the lines that describe a document.
 def context_string(context: Column, max_chapters: int = 8) -> Column:
     """The lines that describe a document: kind, title, institution, and what else is known. context: a struct."""
     named = lambda label, field: F.concat(F.lit(label), F.coalesce(context[field], F.lit("Unbekannt")))
@@ -37,6 +43,11 @@ def page_user_prompt(page_number: Column, total_pages: Column) -> Column:
     return F.replace(text, F.lit("{total_pages}"), total_pages.cast("string"))
 
 
-def data_url(mime: Column, data: Column) -> Column:
-    """data:<mime>;base64,<data> of a binary column."""
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))
+def data_url(mime: Column, base64_text: Column) -> Column:
+    """data:<mime>;base64,<data> of an image that is base64 text already."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), base64_text)
+
+
+def abbreviation_list(short_to_long: Column) -> Column:
+    """A map of abbreviations in the list form that context_string reads."""
+    return F.transform(F.map_entries(short_to_long), lambda e: F.struct(e["key"].alias("short"), e["value"].alias("long")))

@@ -54,6 +54,27 @@ def find_json(reply: Column) -> Column:
     return F.coalesce(fenced("```json"), fenced("```"), balanced, reply)
 
 
+def json_part(reply: str) -> str:
+    """find_json for one string, for use inside a model's task."""
+    for mark in ("```json", "```"):
+        begin = reply.find(mark) + len(mark)
+        if begin >= len(mark) and (end := reply.find("```", begin)) > begin:
+            return reply[begin:end].strip()
+    start, depth = reply.find("{"), 0
+    for k in range(start, len(reply)) if start >= 0 else ():
+        depth += (reply[k] == "{") - (reply[k] == "}")
+        if not depth:
+            return reply[start : k + 1]
+    return reply
+
+
+def accept_page(reply: str | None) -> bool:
+    """True for a reply that is a page and no refusal; others are worth asking again."""
+    data = _object(json_part(reply)) if reply else None
+    content = _text(data.get("content"), "").lower() if data is not None else ""
+    return data is not None and not any(phrase.lower() in content for phrase in REFUSALS)
+
+
 def _object(text: str | None) -> dict | None:
     try:
         data = json.loads(text)
@@ -126,8 +147,3 @@ def _context(found: pd.Series, total: pd.Series) -> pd.DataFrame:
 def parse_context(reply: Column, total_pages: Column) -> Column:
     """Reply about a document (struct). Without a JSON object: type other, title and institution "Unknown"."""
     return F.pandas_udf(_context, CONTEXT)(find_json(reply), total_pages.cast("int"))
-
-
-def zip_sections(numbers: Column, titles: Column) -> Column:
-    """Sections from two lists: a number without title keeps null, titles without number are dropped."""
-    return F.transform(numbers, lambda n, i: F.struct(n.alias("number"), F.get(titles, i).alias("title"), F.lit(1).alias("level"), F.lit(True).alias("starts_on_page")))

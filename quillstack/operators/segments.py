@@ -269,8 +269,11 @@ def number_segments(rows: DataFrame, documents: DataFrame, block: int = SENTENCE
 
 def segment_documents(pages: DataFrame, documents: DataFrame, config: SegmentConfig | None = None, counter: Counter = count_tokens) -> DataFrame:
     """Pages to numbered segments, all documents at once. pages: one row for each page of each file."""
-    config = config or SegmentConfig()
-    sentences = materialise(page_sentences(pages, counter), "sentences")
+    return segments_of(materialise(page_sentences(pages, counter), "sentences"), documents, config or SegmentConfig(), counter)
+
+
+def segments_of(sentences: DataFrame, documents: DataFrame, config: SegmentConfig, counter: Counter = count_tokens) -> DataFrame:
+    """Sentences (page_sentences) to numbered segments."""
     rows = materialise(segment_rows(sentences, pack_sentences(sentences, config), counter), "segments")  # so that a filter does not count again
     return number_segments(drop_small(rows, config), documents)
 
@@ -288,3 +291,17 @@ def segment_stats(chunks: DataFrame, sentences: DataFrame, pages: DataFrame, doc
     return out.select(
         "source_file", zero("total_chunks", "bigint"), zero("total_tokens", "bigint"), zero("avg_chunk_tokens", "double"), zero("min_chunk_tokens", "int"), zero("max_chunk_tokens", "int"), zero("total_sentences", "bigint"), zero("total_pages_processed", "bigint"),
     )
+
+
+def segment_results(chunks: DataFrame, stats: DataFrame, config: SegmentConfig) -> DataFrame:
+    """Rows in the form of a chunking result, one for each file, for writing as JSON (sources.json_results.write_json)
+    and reading with read_chunks; a document becomes one row. chunks: segment_documents; stats: segment_stats."""
+    meta = ("document_id", "document_title", "document_type", "institution", "degree_program", "page_numbers", "chunk_index", "total_chunks", "prev_chunk_id", "next_chunk_id")
+    row = F.struct("chunk_index", F.struct("chunk_id", "text", "token_count", F.struct(*meta).alias("metadata")).alias("c"))
+    nested = chunks.groupBy("source_file").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["c"]).alias("chunks"))
+    sizes = F.struct(F.lit(config.max_tokens).alias("max_chunk_tokens"), F.lit(config.overlap_tokens).alias("overlap_tokens"), F.lit(config.min_tokens).alias("min_chunk_tokens"))
+    return stats.join(nested, "source_file", "left").select(
+        "source_file", tx.document_id(F.col("source_file")).alias("document_id"), sizes.alias("config"), F.coalesce("chunks", F.array()).alias("chunks"),
+        F.struct("total_chunks", "total_tokens", "avg_chunk_tokens", "min_chunk_tokens", "max_chunk_tokens", "total_sentences", "total_pages_processed").alias("stats"),
+        F.current_timestamp().cast("timestamp_ntz").alias("created_at"),
+    )

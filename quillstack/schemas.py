@@ -80,6 +80,19 @@ class ModelConfig:
             raise ValueError("unknown language")
 
 
+@dataclass(frozen=True)
+class RenderConfig:
+    """How pages become images."""
+
+    dpi: float = 150
+    image_format: str = "png"
+    max_dimension: int = 2048
+
+    def __post_init__(self):
+        _between("dpi", self.dpi, 1, 2400)
+        _between("max_dimension", self.max_dimension, 1)
+
+
 @dataclass(frozen=True)
 class StoreConfig:
     """Where a collection lies and how its vectors compare."""

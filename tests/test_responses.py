@@ -46,12 +46,6 @@ def test_refusals(spark):
     assert [r[0] for r in df.select(resp.needs_retry(F.col("c"), F.col("k"))).collect()] == [True, False, True, False]
 
 
-def test_zip_sections(spark):
-    df = spark.createDataFrame([(["1", "2"], ["a"]), (["1"], ["a", "b"])], "n array<string>, t array<string>")
-    got = [[(s.number, s.title) for s in r[0]] for r in df.select(resp.zip_sections(F.col("n"), F.col("t"))).collect()]
-    assert got == [[("1", "a"), ("2", None)], [("1", "a")]]
-
-
 def test_documents(spark):
     pages = spark.createDataFrame([("a", 1, "xy", True, None, 1.0), ("a", 2, None, False, True, 0.4), ("a", 3, "I cannot help", None, None, None)], "source_file string, page_number int, content string, has_table boolean, has_list boolean, extraction_confidence double")
     known = spark.createDataFrame([("a",), ("b",)], "source_file string")

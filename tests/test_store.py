@@ -107,7 +107,7 @@ def test_json_files(spark, tmp_path):
 class Flaky:
     calls = 0
 
-    def answer(self, system_prompt, user_prompt, image):
+    def answer(self, system_prompt, user_prompt, images):
         Flaky.calls += 1
         if user_prompt == "fail":
             raise ConnectionError("refused")
@@ -126,13 +126,13 @@ def test_adapters(spark, tmp_path):
     outside = spark.createDataFrame([(name, 3), (name, 9), (name, 0)], "source_file string, page_number int")
     assert [r.page_number for r in adapters.render_pages(files, outside, adapters.PlainTextRenderer).collect()] == [3]
     assert adapters.wanted_pages(info, 1, 0).count() == 3 and adapters.wanted_pages(info, 1, 2).count() == 2 and adapters.wanted_pages(info, 7).count() == 0
-    prompts = adapters.render_pages(files, wanted, adapters.PlainTextRenderer).select("page_number", F.lit("s").alias("system_prompt"), F.lit("u").alias("user_prompt"), F.col("image_base64").alias("image"))
+    prompts = adapters.render_pages(files, wanted, adapters.PlainTextRenderer).select("page_number", F.lit("s").alias("system_prompt"), F.lit("u").alias("user_prompt"), F.array("image_base64").alias("images"))
     replies = adapters.ask_model(prompts, ["page_number"], adapters.EchoModel).orderBy("page_number").collect()
     assert [json.loads(r.reply)["content"] for r in replies] == ["zwei", "drei"] and replies[0].attempts == 1
 
 
 def test_model_is_asked_again(spark):
-    df = spark.createDataFrame([(1, "s", "fail", None), (2, "s", "empty", None), (3, "s", "fine", None)], "id int, system_prompt string, user_prompt string, image string")
+    df = spark.createDataFrame([(1, "s", "fail", None), (2, "s", "empty", None), (3, "s", "fine", None)], "id int, system_prompt string, user_prompt string, images array<string>")
     got = {r.id: r for r in adapters.ask_model(df, ["id"], Flaky, 2, wait=lambda s: None).collect()}
     assert got[1].reply is None and got[1].error == "ConnectionError: refused" and got[1].attempts == 2
     assert got[2].reply == "" and got[2].attempts == 2 and got[3].reply == "ok" and got[3].attempts == 1
@@ -144,10 +144,38 @@ def test_embedding(spark):
     assert a == b and len(a) == 64 and abs(sum(x * x for x in a) - 1) < 1e-6 and c == [] and d == []
 
 
-def test_zoom(spark):
-    df = spark.createDataFrame([(600.0, 800.0), (600.0, 4000.0)], "w double, h double")
-    got = [r[0] for r in df.select(adapters.fit_zoom(F.col("w"), F.col("h"), F.lit(144.0), F.lit(2000.0))).collect()]
-    assert got == [2.0, 0.5]
+def test_zoom():
+    assert adapters.fit_zoom(600, 800, 144, 2000) == 2.0 and adapters.fit_zoom(600, 4000, 144, 2000) == 0.5 and adapters.fit_zoom(600, 4000, 144, None) == 2.0
+
+
+def test_pages_in_request_order_limits_and_thumbnails(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes("eins\fzwei\fdrei".encode())
+    files = js.read_binary(spark, str(tmp_path))
+    name = files.first().path
+    wanted = spark.createDataFrame([(name, 3, 0), (name, 9, 1), (name, 1, 2), (name, 3, 3)], "source_file string, page_number int, position int")
+    got = adapters.render_pages(files, wanted, adapters.PlainTextRenderer, max_dimension=421).orderBy("position").collect()
+    assert [(r.position, r.page_number) for r in got] == [(0, 3), (2, 1), (3, 3)] and {(r.width, r.height) for r in got} == {(298, 421)}
+    with pytest.raises(Exception, match="out of range"):
+        adapters.render_pages(files, wanted, adapters.PlainTextRenderer, strict=True).collect()
+    (small,) = adapters.thumbnails(files, adapters.PlainTextRenderer, 400).collect()
+    assert (small.page_number, small.width, small.height) == (1, 283, 400)
+
+
+class Broken:
+    def __init__(self, error):
+        self.error = error
+
+    def embed(self, texts):
+        raise self.error
+
+
+def test_embedding_errors():
+    with pytest.raises(ValueError):
+        adapters.embed_text(adapters.HashEmbedder(), " \n")
+    assert len(adapters.embed_text(adapters.HashEmbedder(8), "Wort")) == 8
+    for error, kind in ((OSError("Connection refused"), ConnectionError), (type("ConnectionLost", (Exception,), {})("x"), ConnectionError), (KeyError("model"), RuntimeError)):
+        with pytest.raises(kind):
+            adapters.embed_text(Broken(error), "Wort")
 
 
 def test_configs():
