@@ -1,7 +1,9 @@
 """From pages to overlapping segments of whole sentences.
 
-Everything is keyed so that no document has to fit in a task: page offsets and sentence numbers are two-level running
-sums, sentences are cut page by page and joined over page ends, and packing works on blocks of sentences.
+Everything is keyed so that no document has to fit in a task. Pages are cut into sentences in the JVM and come together
+in buckets of neighbouring pages, where sentences are joined over page ends and placed relative to the bucket; a row for
+each bucket then gives the running sums, and only sentences at the edges of buckets may have to be joined. Packing works
+on blocks of sentences, each of which makes its segments from its sorted rows in one pass.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstack.functions import text as tx
 from quillstack.functions.tokens import Counter, count_tokens
-from quillstack.operators.ordered import beside, latest, running_sum
+from quillstack.operators.ordered import latest, running_sum
 from quillstack.schemas import SegmentConfig
 from quillstack.session import materialise
 
 #: Pages of a bucket, and sentences of a packing block.
-PAGE_BUCKET, SENTENCE_BLOCK = 1024, 4096
+PAGE_BUCKET, SENTENCE_BLOCK = 256, 4096
 
 
 def current_pages(pages: DataFrame) -> DataFrame:
@@ -53,56 +55,120 @@ def _page_bucket() -> Column:
     return F.floor(F.col("page_number") / PAGE_BUCKET)
 
 
-def merged_text(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
-    """(source_file, text): the merged text of each document as one value. For documents that fit in a row."""
-    ordered = F.sort_array(F.collect_list(F.struct("page_number", "body")))
-    return _bodies(pages).groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["body"]), separator).alias("text"))
-
-
-def page_sentences(pages: DataFrame, counter: Counter = count_tokens) -> DataFrame:
+_CUT = (
+    ("source_file", pa.string()), ("bucket", pa.int64()), ("variant", pa.int8()), ("rel", pa.int32()), ("sentence", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("page_numbers", pa.list_(pa.int32())),
+    ("first", pa.bool_()), ("last", pa.bool_()), ("n_rows", pa.int32()), ("size", pa.int64()), ("head_open", pa.bool_()), ("head_digit", pa.bool_()), ("stops", pa.bool_()), ("refers", pa.bool_()),
+)
+_CUT_SCHEMA = (
+    "source_file string, bucket bigint, variant tinyint, rel int, sentence string, start_pos bigint, end_pos bigint, page_numbers array<int>, first boolean, last boolean, n_rows int, size bigint, "
+    "head_open boolean, head_digit boolean, stops boolean, refers boolean"
+)
+
+
+def _opens(stops, refers, head_open, head_digit):
+    """Whether a page opens a new sentence, by the end of the page before; for columns and for plain values."""
+    return stops & head_open & ~(refers & head_digit) if isinstance(stops, Column) else stops and head_open and not (refers and head_digit)
+
+
+def _bucket_rows(source: str, bucket: int, pages: list[dict], variant: int) -> list[tuple]:
+    """Rows of _CUT for a bucket of pages in order, with places and numbers counted from its beginning. Variant 1 takes
+    the first page for its document's first, 0 for another one, -1 stands where both are the same."""
+    rows: list[list] = []
+    at, end = 0, None
+    for k, p in enumerate(pages):
+        side = p["alone"] if not k and variant == 1 else p["inner"]
+        new = end is None or _opens(end["stops"], end["refers"], p["head_open"], p["head_digit"])
+        place = at
+        for part in side["parts"]:
+            start = place + part["lead"]
+            if new:
+                rows.append([[part["text"]], start, start + len(part["text"]), [p["page_number"]]])
+            else:
+                rows[-1][0].append(part["text"])
+                rows[-1][2] = start + len(part["text"])
+                rows[-1][3].append(p["page_number"])
+            place += part["n"]
+            new = True
+        at += p["n"] + 2
+        end = side
+    out = []
+    for i, (texts, start, stop, numbers) in enumerate(rows):
+        ends = (len(rows), at, pages[0]["head_open"], pages[0]["head_digit"], end["stops"], end["refers"]) if i == len(rows) - 1 else (None,) * 6
+        out.append((source, bucket, variant, i, "\n\n".join(texts), start, stop, numbers, i == 0, i == len(rows) - 1, *ends))
+    return out
+
+
+def page_sentences(pages: DataFrame, counter: Counter = count_tokens, bucket: int = PAGE_BUCKET) -> DataFrame:
     """(source_file, sentence_no, sentence, start_pos, end_pos, page_numbers, tokens): the sentences of each document.
 
     Numbers and places count from 0 in the merged text. A sentence may run over page ends; page_numbers are the pages
-    that it touches."""
-    # one pass over the texts: parts by the boundaries inside a page, as if other pages lay around it
+    that it touches. The texts go through one exchange, by file and bucket of pages."""
     body = _bodies(pages)
-    cut = lambda before: F.split(tx.mark_boundaries(F.substring(tx.protect(F.concat(F.lit(before), F.col("body"), F.lit("\n\n"))), F.lit(len(before) + 1), F.length("body"))), tx.BOUNDARY)
+
+    def side(before: str) -> Column:
+        """Parts by the boundaries inside a page, as if other pages (or, with nothing before, only later ones) lay around it."""
+        whole = F.concat(F.lit(before), F.col("body"), F.lit("\n\n"))
+        parts = F.split(tx.mark_boundaries(F.substring(tx.protect(whole), F.lit(len(before) + 1), F.length("body"))), tx.BOUNDARY)
+        tail = F.element_at(parts, -1)
+        lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
+        clean = F.transform(parts, lambda x: F.struct(tx.strip(tx.restore(x)).alias("text"), F.length(x).alias("n"), lead(x).alias("lead")))
+        return F.struct(clean.alias("parts"), tail.rlike(r"[.!?]$").alias("stops"), tail.rlike(r"(?iU)§\s*\d+\s+Satz\.$").alias("refers"))
+
     numbered = F.col("body").rlike(r"(?U)^\d{1,3}\.(\s|$)")  # only then it matters whether a page is a document's first
-    base = body.select("source_file", "page_number", F.length("body").alias("n"), cut("\n\n").alias("parts"), F.when(numbered, cut("")).alias("first_parts"))
-    base = base.withColumns({"head": F.substring(F.element_at("parts", 1), 1, 1), "tail": F.expr("right(element_at(parts, -1), 24)"), "k": F.size("parts"), "first_k": F.size(F.coalesce("first_parts", "parts")), "first_tail": F.expr("right(element_at(coalesce(first_parts, parts), -1), 24)")})
-    base = materialise(base, "pages")
-    # light rows: places, whether a page opens a new sentence and whether the next one does, running sentence numbers
-    light = _placed(base.select("source_file", "page_number", "n", "head", "tail", "first_tail", "k", "first_k"))
-    light = light.withColumn("tail", F.when(F.col("start_pos") == 0, F.col("first_tail")).otherwise(F.col("tail")))
-    light = beside(light, ["source_file"], _page_bucket(), "page_number", "tail", "before")
-    reference = F.col("before").rlike(r"(?iU)§\s*\d+\s+Satz\.$") & F.col("head").rlike("[0-9]")
-    light = light.withColumn("opens", F.col("before").isNull() | F.col("before").rlike(r"[.!?]$") & F.col("head").rlike(f"[{tx.OPENING}]") & ~reference)
-    first = F.col("start_pos") == 0
-    light = light.select("source_file", "page_number", "start_pos", "opens", F.when(first, F.col("first_k")).otherwise(F.col("k")).alias("k"))
-    light = materialise(light, "places")
-    light = beside(light, ["source_file"], _page_bucket(), "page_number", "opens", "next_opens", ahead=True)
-    light = running_sum(light, ["source_file"], _page_bucket(), ["page_number"], F.col("k") - 1 + F.col("opens").cast("int"), "before")
-    whole = base.select("source_file", "page_number", "parts", "first_parts").join(light.withColumnRenamed("k", "n_parts"), ["source_file", "page_number"])
-    whole = whole.withColumn("parts", F.when(first & F.col("first_parts").isNotNull(), F.col("first_parts")).otherwise(F.col("parts"))).drop("first_parts")
-    running = F.aggregate("parts", F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("n")), lambda s, p: F.struct(F.concat(s["a"], F.array(s["n"])).alias("a"), (s["n"] + F.length(p)).alias("n")))
-    rows = whole.select("*", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.col("n_parts") - 1).alias("k"), F.col("parts").alias("part"), running["a"].alias("at"))).alias("p")).drop("parts")
-    raw, k = F.col("p.part"), F.col("p.k")
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
-    complete = ((k > 0) | F.col("opens")) & ((k < F.col("n_parts") - 1) | F.coalesce("next_opens", F.lit(True)))
-    rows = rows.select(
-        "source_file", "page_number", (F.col("before") + k + F.col("opens").cast("int") - 1).alias("sentence_no"), tx.strip(tx.restore(raw)).alias("sentence"), (F.col("start_pos") + F.col("p.at") + lead).alias("start_pos"), complete.alias("complete"),
+    cut = body.select(
+        "source_file", F.floor(F.col("page_number") / bucket).cast("bigint").alias("bucket"), "page_number", F.length("body").alias("n"), F.col("body").rlike(f"^[{tx.OPENING}]").alias("head_open"), F.col("body").rlike("^[0-9]").alias("head_digit"),
+        side("\n\n").alias("inner"), F.when(numbered, side("")).alias("alone"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def flush() -> None:
+            for variant in (0, 1) if held[0]["alone"] is not None else (-1,):
+                out.extend(_bucket_rows(*key, held, variant))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for row in batch.slice(at, 500).to_pylist():
+                    if key != (row["source_file"], row["bucket"]):
+                        if held:
+                            flush()
+                        key, held = (row["source_file"], row["bucket"]), []
+                    held.append(row)
+                if len(out) >= 2000:
+                    yield _batch(out, _CUT)
+                    out = []
+        if held:
+            flush()
+        if out:
+            yield _batch(out, _CUT)
+
+    ordered = cut.repartition("source_file", "bucket").sortWithinPartitions("source_file", "bucket", "page_number")
+    raw = materialise(ordered.mapInArrow(run, _CUT_SCHEMA).withColumn("tokens", counter(F.col("sentence"))), "cut")
+    # a row for each bucket: where it begins, whether it opens a sentence, and whether the next one does
+    file = Window.partitionBy("source_file")
+    order = file.orderBy("bucket")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = raw.where("last").withColumn("_first", F.min("bucket").over(file) == F.col("bucket")).where("variant < 0 OR (variant = 1) = _first")
+    before = F.lag(F.struct("stops", "refers")).over(order)
+    ends = ends.withColumn("opens", before.isNull() | _opens(before["stops"], before["refers"], F.col("head_open"), F.col("head_digit")))
+    goes_on = (~F.col("opens")).cast("int")
+    ends = ends.withColumns({"_rows": F.col("n_rows") - goes_on})
+    places = ends.select(
+        "source_file", "bucket", "variant", "opens", F.coalesce(F.lead("opens").over(order), F.lit(True)).alias("next_opens"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_at"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - goes_on).alias("_no"),
     )
-    rows = materialise(rows, "parts")
-    # nearly all sentences lie in one page; only parts of the others are brought together
-    inside = rows.where("complete").select("source_file", "sentence_no", "sentence", "start_pos", (F.col("start_pos") + F.length("sentence")).alias("end_pos"), F.array("page_number").alias("page_numbers"))
-    ordered = F.sort_array(F.collect_list(F.struct("start_pos", "page_number", "sentence")))
-    across = rows.where("NOT complete").groupBy("source_file", "sentence_no").agg(ordered.alias("o"))
-    last = F.element_at("o", -1)
+    rows = raw.join(materialise(places, "places"), ["source_file", "bucket", "variant"])
+    complete = ~((F.col("first") & ~F.col("opens")) | (F.col("last") & ~F.col("next_opens")))
+    rows = rows.select("source_file", (F.col("_no") + F.col("rel")).alias("sentence_no"), "sentence", (F.col("_at") + F.col("start_pos")).alias("start_pos"), (F.col("_at") + F.col("end_pos")).alias("end_pos"), "page_numbers", "tokens", complete.alias("_complete"))
+    inside = rows.where("_complete").drop("_complete")
+    ordered = F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "sentence", "page_numbers")))
+    across = rows.where("NOT _complete").groupBy("source_file", "sentence_no").agg(ordered.alias("o"))
     across = across.select(
-        "source_file", "sentence_no", F.array_join(F.transform("o", lambda x: x["sentence"]), "\n\n").alias("sentence"), F.element_at("o", 1)["start_pos"].alias("start_pos"),
-        (last["start_pos"] + F.length(last["sentence"])).alias("end_pos"), F.sort_array(F.array_distinct(F.transform("o", lambda x: x["page_number"]))).alias("page_numbers"),
+        "source_file", "sentence_no", F.array_join(F.transform("o", lambda x: x["sentence"]), "\n\n").alias("sentence"), F.element_at("o", 1)["start_pos"].alias("start_pos"), F.element_at("o", -1)["end_pos"].alias("end_pos"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform("o", lambda x: x["page_numbers"])))).alias("page_numbers"),
     )
-    return inside.unionByName(across).withColumn("tokens", counter(F.col("sentence")))
+    return inside.unionByName(across.withColumn("tokens", counter(F.col("sentence"))))
 
 
 def pages_of_spans(spans: DataFrame, merged: DataFrame, key: str = "source_file", width: int = 4096) -> DataFrame:
@@ -133,44 +199,50 @@ def _follow(tokens: np.ndarray, config: SegmentConfig, starts: int, complete: bo
     return last, np.where((last == n - 1) & complete, -1, after)
 
 
-def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTENCE_BLOCK) -> DataFrame:
-    """(source_file, first_no, last_no, is_last): segments of each document, greedily filled, with overlap.
-
-    tokens: (source_file, sentence_no, tokens), numbered from 0 without gaps. A block of sentences, with the few of the
-    next block that its last segment can reach, says for every place in its beginning where the chain of segments
-    leaves it; one light pass over the blocks of a document finds where each is entered; then all blocks are packed at
-    once. A sentence counts as at least one token."""
+def _home(config: SegmentConfig, block: int) -> tuple[Column, int, int]:
+    """(blocks that need a sentence `no`, block size, reach): its own block and, as look-ahead, the block before."""
     reach = config.max_tokens + 2
     block = max(block, 2 * reach)
-    light = tokens.select("source_file", F.col("sentence_no").cast("bigint").alias("no"), F.greatest(F.col("tokens"), F.lit(1)).cast("int").alias("tokens"))
     own = F.floor(F.col("no") / block).cast("bigint")
-    # the beginning of a block is also the look-ahead of the block before
-    home = F.when((F.col("no") % block < reach) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
-    light = materialise(light.select("source_file", F.explode(home).alias("block"), "no", "tokens"), "tokens")
+    return F.explode(F.when((F.col("no") % block < reach) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))).alias("block"), block, reach
+
+
+def _size() -> Column:
+    return F.greatest(F.col("tokens"), F.lit(1)).cast("int").alias("tokens")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Table]]:
+    """Runs of rows with one (source_file, block) of sorted batches: both, and the rows."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        source, block_no = batch.column(batch.schema.get_field_index("source_file")).to_numpy(zero_copy_only=False), batch.column(batch.schema.get_field_index("block")).to_numpy()
+        edges = np.flatnonzero((source[1:] != source[:-1]) | (block_no[1:] != block_no[:-1])) + 1
+        for a, b in zip([0, *edges], [*edges, len(source)], strict=True):
+            if key != (source[a], block_no[a]):
+                if held:
+                    yield *key, pa.Table.from_batches(held)
+                key, held = (source[a], block_no[a]), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield *key, pa.Table.from_batches(held)
+
+
+def block_entries(tokens: DataFrame, config: SegmentConfig, block: int = SENTENCE_BLOCK) -> DataFrame:
+    """(source_file, block, entry): the sentence of each block, counted from its beginning, at which the chain of segments
+    enters it; blocks that it passes over are left out.
+
+    A block of sentences, with the few of the next block that its last segment can reach, says for every place in its
+    beginning where the chain leaves it; one light pass over the blocks of a document finds where each is entered."""
+    home, block, reach = _home(config, block)
+    light = tokens.select("source_file", F.col("sentence_no").cast("bigint").alias("no"), _size()).select("source_file", home, "no", "tokens")
     keyed = light.repartition("source_file", "block").sortWithinPartitions("source_file", "block", "no")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, int]]:
-        """Runs of rows with one (source_file, block): both, the tokens, and the entry if there is such a column."""
-        key, held, entry = None, [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            source, block_no, sizes = columns["source_file"].to_numpy(zero_copy_only=False), columns["block"].to_numpy(), columns["tokens"].to_numpy()
-            entries_ = columns["entry"].to_numpy() if "entry" in columns else None
-            edges = np.flatnonzero((source[1:] != source[:-1]) | (block_no[1:] != block_no[:-1])) + 1
-            for a, b in zip([0, *edges], [*edges, len(sizes)], strict=True):
-                if key != (source[a], block_no[a]):
-                    if held:
-                        yield *key, np.concatenate(held), entry
-                    key, held, entry = (source[a], block_no[a]), [], 0 if entries_ is None else entries_[a]
-                held.append(sizes[a:b])
-        if held:
-            yield *key, np.concatenate(held), entry
-
     def exits(batches):
         out = []
-        for source, b, sizes, _ in groups(batches):
+        for source, b, rows in _groups(batches):
+            sizes = rows.column("tokens").to_numpy()
             starts = min(block, len(sizes))
             _, after = _follow(sizes, config, starts, len(sizes) < block + reach)
             leave = np.empty(starts, np.int64)
@@ -185,8 +257,6 @@ def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTEN
         if out:
             yield _batch(out, _EXITS)
 
-    maps = keyed.mapInArrow(exits, "source_file string, block bigint, entry_from array<int>, leaves array<bigint>")
-
     def chase(batches):
         source, at, expected, out = None, 0, 0, []
         for batch in batches:
@@ -203,44 +273,76 @@ def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTEN
                 yield _batch(out, _ENTRIES)
                 out = []
 
-    entries = maps.repartition("source_file").sortWithinPartitions("source_file", "block").mapInArrow(chase, "source_file string, block bigint, entry bigint")
-    entered = light.join(entries, ["source_file", "block"]).repartition("source_file", "block").sortWithinPartitions("source_file", "block", "no")
+    maps = keyed.mapInArrow(exits, "source_file string, block bigint, entry_from array<int>, leaves array<bigint>")
+    return maps.repartition("source_file").sortWithinPartitions("source_file", "block").mapInArrow(chase, "source_file string, block bigint, entry bigint")
+
+
+def _spans(sizes: np.ndarray, entry: int, config: SegmentConfig, block: int, reach: int) -> Iterator[tuple[int, int, bool]]:
+    """(first, last, is the document's last) of the segments that begin in a block, counted from its beginning."""
+    starts = min(block, len(sizes))
+    last, after = _follow(sizes, config, starts, len(sizes) < block + reach)
+    s = entry
+    while 0 <= s < starts:
+        yield s, int(last[s]), bool(after[s] < 0)
+        s = int(after[s])
+
+
+def pack_sentences(tokens: DataFrame, config: SegmentConfig, block: int = SENTENCE_BLOCK) -> DataFrame:
+    """(source_file, first_no, last_no, is_last): segments of each document, greedily filled, with overlap.
 
-    def segments(batches):
+    tokens: (source_file, sentence_no, tokens), numbered from 0 without gaps. A sentence counts as at least one token."""
+    home, size, reach = _home(config, block)
+    entries = materialise(block_entries(tokens, config, block), "entries")
+    light = tokens.select("source_file", F.col("sentence_no").cast("bigint").alias("no"), _size()).select("source_file", home, "no", "tokens")
+
+    def run(batches):
         out = []
-        for source, b, sizes, s in groups(batches):
-            starts = min(block, len(sizes))
-            last, after = _follow(sizes, config, starts, len(sizes) < block + reach)
-            while 0 <= s < starts:
-                out.append((source, int(b * block + s), int(b * block + last[s]), bool(after[s] < 0)))
-                s = int(after[s])
+        for source, b, rows in _groups(batches):
+            out += [(source, int(b * size + a), int(b * size + z), end) for a, z, end in _spans(rows.column("tokens").to_numpy(), rows.column("entry")[0].as_py(), config, size, reach)]
             if len(out) >= 5000:
                 yield _batch(out, _SEGMENTS)
                 out = []
         if out:
             yield _batch(out, _SEGMENTS)
 
-    return entered.mapInArrow(segments, "source_file string, first_no bigint, last_no bigint, is_last boolean")
+    entered = light.join(entries, ["source_file", "block"]).repartition("source_file", "block").sortWithinPartitions("source_file", "block", "no")
+    return entered.mapInArrow(run, "source_file string, first_no bigint, last_no bigint, is_last boolean")
 
 
 _EXITS = (("source_file", pa.string()), ("block", pa.int64()), ("entry_from", pa.list_(pa.int32())), ("leaves", pa.list_(pa.int64())))
 _ENTRIES = (("source_file", pa.string()), ("block", pa.int64()), ("entry", pa.int64()))
 _SEGMENTS = (("source_file", pa.string()), ("first_no", pa.int64()), ("last_no", pa.int64()), ("is_last", pa.bool_()))
+_ROWS = (("source_file", pa.string()), ("block", pa.int64()), *_SEGMENTS[1:], ("text", pa.string()), ("page_numbers", pa.list_(pa.int32())))
 
 
 def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def segment_rows(sentences: DataFrame, packed: DataFrame, counter: Counter = count_tokens) -> DataFrame:
-    """(source_file, first_no, last_no, is_last, text, token_count, page_numbers) of each segment."""
-    members = packed.select("*", F.explode(F.sequence("first_no", "last_no")).alias("sentence_no"))
-    joined = members.join(sentences.select("source_file", "sentence_no", "sentence", "page_numbers"), ["source_file", "sentence_no"])
-    ordered = F.sort_array(F.collect_list(F.struct("sentence_no", "sentence", "page_numbers")))
-    rows = joined.groupBy("source_file", "first_no", "last_no", "is_last").agg(ordered.alias("o"))
-    text = F.array_join(F.transform("o", lambda x: x["sentence"]), " ")
-    rows = rows.select("source_file", "first_no", "last_no", "is_last", text.alias("text"), F.sort_array(F.array_distinct(F.flatten(F.transform("o", lambda x: x["page_numbers"])))).alias("page_numbers"))
-    return rows.withColumn("token_count", counter(F.col("text")))
+def segment_rows(sentences: DataFrame, config: SegmentConfig, counter: Counter = count_tokens, block: int = SENTENCE_BLOCK) -> DataFrame:
+    """(source_file, block, first_no, last_no, is_last, text, page_numbers, token_count) of each segment.
+
+    sentences: page_sentences, written. The chain of segments is found on the token counts alone; then the texts go
+    through one exchange, by file and block, and each block makes its segments in order."""
+    home, size, reach = _home(config, block)
+    entries = materialise(block_entries(sentences, config, block), "entries")
+    whole = sentences.select("source_file", F.col("sentence_no").cast("bigint").alias("no"), _size(), "sentence", "page_numbers").select("source_file", home, "no", "tokens", "sentence", "page_numbers")
+
+    def run(batches):
+        out = []
+        for source, b, rows in _groups(batches):
+            texts, pages = rows.column("sentence").to_pylist(), rows.column("page_numbers").to_pylist()
+            for a, z, end in _spans(rows.column("tokens").to_numpy(), rows.column("entry")[0].as_py(), config, size, reach):
+                out.append((source, int(b), int(b * size + a), int(b * size + z), end, " ".join(texts[a : z + 1]), sorted({n for p in pages[a : z + 1] for n in p})))
+                if len(out) >= 2000:
+                    yield _batch(out, _ROWS)
+                    out = []
+        if out:
+            yield _batch(out, _ROWS)
+
+    entered = whole.join(entries, ["source_file", "block"]).repartition("source_file", "block").sortWithinPartitions("source_file", "block", "no")
+    made = entered.mapInArrow(run, "source_file string, block bigint, first_no bigint, last_no bigint, is_last boolean, text string, page_numbers array<int>")
+    return made.withColumn("token_count", counter(F.col("text")))
 
 
 def drop_small(rows: DataFrame, config: SegmentConfig) -> DataFrame:
@@ -248,17 +350,22 @@ def drop_small(rows: DataFrame, config: SegmentConfig) -> DataFrame:
     return rows.where((F.col("token_count") >= config.min_tokens) | F.col("is_last"))
 
 
-def number_segments(rows: DataFrame, documents: DataFrame, block: int = SENTENCE_BLOCK) -> DataFrame:
+def number_segments(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """Segments with index, total, ids of their neighbours and the fields of their document.
 
-    documents: (source_file, context). A segment without a document row keeps nulls in its fields."""
-    numbered = running_sum(rows, ["source_file"], F.floor(F.col("first_no") / block), ["first_no"], F.lit(1), "chunk_index")
-    totals = rows.groupBy("source_file").agg(F.count("*").alias("total_chunks"))
+    rows: segment_rows, written. documents: (source_file, context). A segment without a document row keeps nulls in its
+    fields. Blocks are numbered on a row for each block, and segments inside their block."""
+    file = Window.partitionBy("source_file")
+    counts = rows.groupBy("source_file", "block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("source_file", "block", before.alias("_before"), F.sum("_n").over(file).alias("total_chunks"))
+    inside = F.row_number().over(Window.partitionBy("source_file", "block").orderBy("first_no")) - 1
+    numbered = rows.withColumn("_inside", inside).join(counts, ["source_file", "block"]).withColumn("chunk_index", F.col("_before") + F.col("_inside"))
     fields = documents.select(
         "source_file", F.col("context.title").alias("document_title"), F.col("context.document_type").alias("document_type"), F.coalesce("context.institution", F.lit("")).alias("institution"),
         F.coalesce("context.degree_program", F.lit("")).alias("degree_program"),
     )
-    out = numbered.join(totals, "source_file").join(fields, "source_file", "left")
+    out = numbered.join(fields, "source_file", "left")
     document, index = tx.document_id(F.col("source_file")), F.col("chunk_index")
     return out.select(
         "source_file", tx.chunk_id(document, index).alias("chunk_id"), "text", "token_count", document.alias("document_id"), "document_title", "document_type", "institution", "degree_program",
@@ -269,12 +376,12 @@ def number_segments(rows: DataFrame, documents: DataFrame, block: int = SENTENCE
 
 def segment_documents(pages: DataFrame, documents: DataFrame, config: SegmentConfig | None = None, counter: Counter = count_tokens) -> DataFrame:
     """Pages to numbered segments, all documents at once. pages: one row for each page of each file."""
-    return segments_of(materialise(page_sentences(pages, counter), "sentences"), documents, config or SegmentConfig(), counter)
+    return segments_of(page_sentences(pages, counter), documents, config or SegmentConfig(), counter)
 
 
 def segments_of(sentences: DataFrame, documents: DataFrame, config: SegmentConfig, counter: Counter = count_tokens) -> DataFrame:
     """Sentences (page_sentences) to numbered segments."""
-    rows = materialise(segment_rows(sentences, pack_sentences(sentences, config), counter), "segments")  # so that a filter does not count again
+    rows = materialise(segment_rows(sentences, config, counter), "segments")
     return number_segments(drop_small(rows, config), documents)
 
 

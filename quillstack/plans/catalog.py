@@ -225,8 +225,7 @@ def _segments(spark, folder):
 
 @query
 def micro_chunk_filter(spark, folder):
-    sentences = materialise(_sentences(spark, folder), "sentences")
-    rows = seg.drop_small(materialise(seg.segment_rows(sentences, seg.pack_sentences(sentences, CONFIG)), "segments"), CONFIG)
+    rows = seg.drop_small(materialise(seg.segment_rows(_sentences(spark, folder), CONFIG), "segments"), CONFIG)
     return rows.select("source_file", "first_no", "last_no", "token_count")
 
 

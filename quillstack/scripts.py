@@ -31,7 +31,7 @@ def chunk_file(spark: SparkSession, path: str, target: str | None = None, config
     config = config or SegmentConfig()
     results = materialise(js.read_extractions(spark, path, multi_line), "results")
     pages, documents = js.page_rows(results), results.select("source_file", "context")
-    sentences = materialise(seg.page_sentences(pages), "sentences")
+    sentences = seg.page_sentences(pages)
     chunks = materialise(seg.segments_of(sentences, documents, config), "chunks")
     out = seg.segment_results(chunks, seg.segment_stats(chunks, sentences, pages, documents), config)
     if target:

@@ -58,13 +58,14 @@ def split_plain(text):
     return out
 
 
-def test_page_sentences_equal_brute_force(spark):
+@pytest.mark.parametrize("bucket", [1, 3, 256])
+def test_page_sentences_equal_brute_force(spark, bucket):
     rnd = random.Random(3)
     bits = ["Ein Satz endet. ", "Noch einer! ", "ohne Ende", "z.B. ", "§ 5 Satz. ", "2 Dinge. ", "Abs. ", "17. ", "Wie bitte? ", "\n", "(Klammer) ", "§ 3 gilt. ", "  "]
     docs = {f"f{d}": ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(1, 9))] for d in range(60)}
     df = spark.createDataFrame([(d, n + 1, t) for d, ts in docs.items() for n, t in enumerate(ts)], "source_file string, page_number int, content string")
     got = {}
-    for r in seg.page_sentences(df).collect():
+    for r in seg.page_sentences(df, bucket=bucket).collect():
         got.setdefault(r.source_file, []).append((r.sentence_no, r.start_pos, r.end_pos, r.sentence, r.page_numbers))
     for d, ts in docs.items():
         pages, at = [], 0
@@ -101,6 +102,21 @@ def test_chain_of_segments(spark):
     assert stats["c.pdf"].total_chunks == 1  # the last segment stays though it is small
 
 
+def test_segments_over_block_ends(spark):
+    """Segments whose sentences lie in two blocks, numbered over blocks, equal the plain greedy loop."""
+    lines = [f"Satz {i} hat Worte." if i % 7 else "Kurz." for i in range(900)]
+    pages = spark.createDataFrame([("d", n, " ".join(lines[n * 9 : n * 9 + 9])) for n in range(100)], "source_file string, page_number int, content string")
+    config = SegmentConfig(50, 12, 1)
+    sentences = seg.page_sentences(pages, bucket=4)
+    rows = sorted(seg.segment_rows(sentences, config, block=110).collect(), key=lambda r: r.first_no)
+    by = {r.sentence_no: r for r in sentences.collect()}
+    assert [(r.first_no, r.last_no) for r in rows] == greedy([by[i].tokens for i in range(len(by))], 50, 12)
+    assert all(r.text == " ".join(by[i].sentence for i in range(r.first_no, r.last_no + 1)) for r in rows) and rows[-1].is_last and len({r.block for r in rows}) > 3
+    documents = spark.createDataFrame([("d", ("T", "faq", None, None))], "source_file string, context struct<title:string,document_type:string,institution:string,degree_program:string>")
+    numbered = {r.text: r for r in seg.number_segments(spark.createDataFrame(rows), documents).collect()}
+    assert [numbered[r.text].chunk_index for r in rows if r.text in numbered][-1] == len(rows) - 1
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "source_file string, page_number int, content string")
     documents = spark.createDataFrame([], "source_file string, context struct<title:string,document_type:string,institution:string,degree_program:string>")
