@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from functools import reduce
-from itertools import chain
+from collections.abc import Mapping
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,86 +30,200 @@ def search(corpus: DataFrame, vector: list[float], k: int = 3, metric: str = "co
     return scored.select(*[c for c in corpus.columns if c != "embedding"], (F.round("_d", 6) + 0.0).alias("distance"), (F.round(1 - F.col("_d"), 6) + 0.0).alias("similarity"))
 
 
-#: Queries of one block at most, and corpus rows compared at a time: together they bound the memory of a task.
-QUERY_BLOCK, CORPUS_ROWS = 2000, 1000
+#: Queries of one block on average, corpus rows compared at a time, and parts in which a block meets the corpus for each
+#: core: together they bound the memory of a task and the rows it passes on.
+QUERY_BLOCK, CORPUS_ROWS, PARTS_A_CORE = 2000, 1000, 2
 _NEAR = "query_id string, chunk_id string, d double"
 
 
-def search_many(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine", where: Mapping[str, Any] | None = None) -> DataFrame:
-    """(query_id, chunk_id, rank, distance, similarity) of the k nearest rows for each of a stated set of queries.
+def _packs(rows: DataFrame, id_col: str, vector: str, keys: list[str], size: int | None = None) -> DataFrame:
+    """(keys, ids, width, vectors): rows of the same keys and vector length in packs of at most `size`, one behind another
+    within each task; vectors are 8-byte floats in a row. Null ids and vectors, and vectors with nulls, are left out."""
+    size = size or CORPUS_ROWS
+    kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    light = rows.select(*keys, F.col(id_col).cast("string").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
 
-    queries: (query_id, vector). The set is taken in blocks of QUERY_BLOCK, one block at a time; a block goes to the
-    executors with its tasks and is compared with the corpus by matrix products. A task passes on only rows that are no
-    worse than the k best it has seen for a query. With several blocks each block's candidates are written to the
-    shared folder, so neither the driver nor the plan grows with the set. Ties are broken by chunk_id; null vectors and
-    vectors of another length are left out, and so are zero vectors for the cosine."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    corpus = apply_where(corpus, where).select(F.col("chunk_id").cast("string"), "embedding")
-    blocks = _query_blocks(queries)
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None:
-        found = corpus.sparkSession.createDataFrame([], _NEAR)
-    elif second is None:
-        found = _near(corpus, *first, k, metric)
-    else:
-        parts = [materialise(_near(corpus, *block, k, metric), "near") for block in chain((first, second), blocks)]
-        found = reduce(DataFrame.unionByName, parts)
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                lists = batch.column("v")
+                widths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+                sound = widths > 0
+                if flat.null_count:
+                    sound &= np.array([v.is_valid and not v.values.null_count for v in lists])
+                values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+                begins = np.concatenate([[0], np.cumsum(widths)])[:-1]
+                marks = [widths.tolist(), *[batch.column(k).to_pylist() for k in keys]]
+                groups: dict[tuple, list[int]] = {}
+                for i in np.flatnonzero(sound).tolist():
+                    groups.setdefault(tuple(m[i] for m in marks), []).append(i)
+                ids = batch.column("id")
+                for (width, *key), members in groups.items():
+                    picked = values[(begins[members][:, None] + np.arange(width)).ravel()]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array([x], batch.schema.field(k).type) for k, x in zip(keys, key, strict=True)], pa.array([ids.take(pa.array(members)).to_pylist()], pa.list_(pa.string())), pa.array([width], pa.int32()), pa.array([picked.tobytes()], pa.binary())],
+                        names=[*keys, "ids", "width", "vectors"],
+                    )
+
+    return light.mapInArrow(run, f"{kinds}ids array<string>, width int, vectors binary")
+
+
+def _meeting(asked: DataFrame, packs: DataFrame) -> DataFrame:
+    """Packs of queries and of the corpus with one part, block and width behind one another, queries first; both have
+    (part, block, width, ids, vectors)."""
+    names = ("part", "block", "width", "ids", "vectors")
+    both = asked.select(*names, F.lit(False).alias("given")).unionByName(packs.select(*names, F.lit(True).alias("given")))
+    return both.repartition("part", "block", "width").sortWithinPartitions("part", "block", "width", "given")
+
+
+def _nearest(met: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, chunk_id, d): for each part at least the k nearest rows of every query there. met: _meeting.
+
+    Of what a query has seen in a part only the k best are kept, ties by chunk_id."""
+
+    def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "ip":
+            return 1.0 - q @ x.T
+        if metric == "l2":
+            return (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T
+        a, b = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+        d = 1.0 - (q / np.where(a > 0, a, 1.0)[:, None]) @ (x / np.where(b > 0, b, 1.0)[:, None]).T
+        d[:, b == 0] = np.inf
+        d[a == 0] = np.inf
+        return d
+
+    def run(batches):
+        key, packs, q_ids, q, limit, held = None, [], [], None, None, []
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The k best of what is held for each query, and their limits."""
+            at, d, names = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((names, d, at))
+            at, d, names = at[order], d[order], names[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            full = rank == k - 1
+            limit[at[full]] = d[full]
+            return at[rank < k], d[rank < k], names[rank < k]
+
+        def rows() -> pa.RecordBatch:
+            at, d, names = best()
+            return pa.RecordBatch.from_arrays([pa.array(np.array(q_ids, dtype=object)[at], pa.string()), pa.array(names, pa.string()), pa.array(d)], names=["query_id", "chunk_id", "d"])
+
+        for batch in batches:
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                part, block, width, given = (columns[n][i].as_py() for n in ("part", "block", "width", "given"))
+                if (part, block, width) != key:
+                    if held:
+                        yield rows()
+                    key, packs, q, held = (part, block, width), [], None, []
+                names, x = columns["ids"][i].as_py(), np.frombuffer(columns["vectors"][i].as_py()).reshape(-1, width)
+                if not given:
+                    packs.append((names, x))
+                    continue
+                if not packs:
+                    continue
+                if q is None:
+                    q_ids, q = [n for own, _ in packs for n in own], np.concatenate([v for _, v in packs])
+                    limit = np.full(len(q_ids), np.inf)
+                d = distances(q, x)
+                at, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                if len(at):
+                    held.append((at, d[at, col], np.array(names, dtype=object)[col]))
+                    held = [best()]
+        if held:
+            yield rows()
+
+    return met.mapInArrow(run, _NEAR)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("d", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "rank", (F.round("d", 6) + 0.0).alias("distance"), (F.round(1 - F.col("d"), 6) + 0.0).alias("similarity"))
 
 
-def _near(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str) -> DataFrame:
-    """Candidates of one block of queries: at least the k nearest rows of every task, with all ties."""
-    size = np.linalg.norm(matrix, axis=1)
-    own = matrix / np.where(size > 0, size, 1.0)[:, None]
+def _checked(k: int, metric: str) -> None:
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
 
-    def distances(x: np.ndarray) -> np.ndarray:
-        if metric == "ip":
-            return 1.0 - matrix @ x.T
-        if metric == "l2":
-            return (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * matrix @ x.T
-        norm = np.linalg.norm(x, axis=1)
-        d = 1.0 - own @ (x / np.where(norm > 0, norm, 1.0)[:, None]).T
-        d[:, norm == 0] = np.inf
-        d[size == 0] = np.inf
-        return d
 
-    def run(batches):
-        limit = np.full(len(ids), np.inf)
-        for whole in batches:
-            for at in range(0, whole.num_rows, CORPUS_ROWS):
-                batch = whole.slice(at, CORPUS_ROWS)
-                vectors = batch.column(1).to_pylist()
-                keep = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and None not in v]
-                if not keep:
-                    continue
-                d = distances(np.array([vectors[i] for i in keep], dtype=np.float64))
-                if d.shape[1] >= k:
-                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-                q, row = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                names = batch.column(0).take(pa.array(keep)).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.string()), names, pa.array(d[q, row])], names=["query_id", "chunk_id", "d"])
-
-    return corpus.mapInArrow(run, _NEAR)
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (ids, matrix) of the stated query set; null ids and vectors are left out."""
-    ids, rows = [], []
-    for r in queries.select(F.col("query_id").cast("string"), "vector").where("query_id IS NOT NULL AND vector IS NOT NULL").toLocalIterator():
-        if rows and len(r.vector) != len(rows[0]):
-            raise ValueError("all query vectors must have one length")
-        ids.append(r.query_id)
-        rows.append(r.vector)
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids, dtype=object), np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=object), np.array(rows, dtype=np.float64)
+def search_many(corpus: DataFrame, queries: DataFrame, k: int = 3, metric: str = "cosine", where: Mapping[str, Any] | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank, distance, similarity) of the k nearest rows for each of a stated set of queries.
+
+    queries: (query_id, vector). Queries and corpus are packed on the executors; every block of queries meets every part
+    of the corpus in a task of its own, as matrix products, and passes on k rows a query. No vector goes through the
+    driver, and the plan does not grow with the set. Ties are broken by chunk_id; null vectors are left out, rows of
+    another length than a query's are not compared with it, and neither are zero vectors for the cosine."""
+    _checked(k, metric)
+    parts = max(2, corpus.sparkSession.sparkContext.defaultParallelism * PARTS_A_CORE)
+    asked = materialise(queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where("query_id IS NOT NULL AND vector IS NOT NULL"), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    packs = _packs(apply_where(corpus, where).select("chunk_id", "embedding"), "chunk_id", "embedding", [])
+    packs = packs.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    return _ranked(_nearest(_meeting(_packs(dealt, "query_id", "vector", ["block"]).withColumn("part", every(parts)), packs), k, metric), k)
+
+
+def fit_index(corpus: DataFrame, lists: int = 16, sample_rows: int = 20_000, rounds: int = 12) -> list[list[float]]:
+    """Centres of an inverted-list index, fitted by k-means of directions on a sample of at most sample_rows rows, those
+    with the smallest hashes of chunk_id. Only the sample comes to the driver. Fewer rows than lists give as many centres."""
+    sample = corpus.where("chunk_id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows).select("embedding").toArrow()
+    rows = [v for v in sample.column("embedding").to_pylist() if v and None not in v]
+    rows = [v for v in rows if len(v) == len(rows[0])]
+    if not rows:
+        return []
+    x = np.array(rows, dtype=np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norms = np.linalg.norm(sums, axis=1)
+        centres = np.where(norms[:, None] > 1e-12, sums / np.maximum(norms, 1e-12)[:, None], centres)
+    return centres.tolist()
+
+
+def assign_lists(rows: DataFrame, vector: str, centres: list[list[float]], probes: int = 1) -> DataFrame:
+    """rows with `cell`, a row for each of the `probes` lists whose centres are nearest in direction; rows whose vector is
+    null or of another length have the cell -1."""
+    grid = np.array(centres, dtype=np.float64)
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        good = [i for i, v in enumerate(vectors) if v is not None and len(v) == grid.shape[1]]
+        out: list[list[int]] = [[-1]] * len(vectors)
+        if good:
+            order = np.argsort(-(np.nan_to_num(np.array([vectors.iloc[i] for i in good], dtype=np.float64)) @ grid.T), axis=1, kind="stable")[:, :probes]
+            for i, own in zip(good, order.tolist(), strict=True):
+                out[i] = own
+        return pd.Series(out)
+
+    return rows.withColumn("cell", F.explode(cells(F.col(vector))))
+
+
+def search_index(corpus: DataFrame, queries: DataFrame, centres: list[list[float]], k: int = 3, probes: int = 4, metric: str = "cosine") -> DataFrame:
+    """search_many over the `probes` nearest lists of each query only; every corpus row lies in one list.
+
+    Rows of a list are packed and its packs dealt over several parts, so a hot list is split. More
+    probes find more: with all lists the result is that of search_many, which is the exact way."""
+    _checked(k, metric)
+    if not centres:
+        return search_many(corpus, queries, k, metric)
+    salts = max(1, corpus.sparkSession.sparkContext.defaultParallelism // 4)
+    part = lambda salt: F.concat_ws("-", "cell", salt)
+    asked = materialise(assign_lists(queries.select("query_id", "vector").where("query_id IS NOT NULL"), "vector", centres, probes), "queries")
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_n"))
+    dealt = asked.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("_n")).cast("int"))
+    wanted = _packs(dealt, "query_id", "vector", ["cell", "block"]).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), part)))
+    packs = _packs(assign_lists(corpus.select("chunk_id", "embedding"), "embedding", centres), "chunk_id", "embedding", ["cell"]).join(blocks, "cell")
+    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1))).withColumn("part", part(F.pmod(F.xxhash64("ids"), F.lit(salts))))
+    return _ranked(_nearest(_meeting(wanted, packs), k, metric), k)
 
 
 def expand_neighbours(hits: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -161,8 +274,3 @@ def retrieve(corpus: DataFrame, hits: DataFrame, max_tokens: int = 1024, expand:
     else:
         rows = hits.join(corpus.select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id")
     return context_text(budget(rows, max_tokens, counter), counter)
-
-
-def result_columns() -> list[Column]:
-    """The columns that a caller sees of a result."""
-    return [F.col(c) for c in ("chunk_id", "text", "document_id", "chunk_index")]

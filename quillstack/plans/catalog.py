@@ -296,6 +296,31 @@ def knn_batched(spark, folder):
     return _hits(materialise(vector_collection(spark, folder), "corpus"))
 
 
+#: Lists of the index and lists that a search looks into. The vectors of the test tables have hardly any clusters, hence so many.
+LISTS, PROBES = 16, 12
+
+
+def _index_hits(spark, folder, probes):
+    corpus = vector_collection(spark, folder).select("vec_id", "chunk_id", "embedding")
+    corpus = materialise(corpus, "corpus")
+    queries_ = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    return ret.search_index(corpus, queries_, ret.fit_index(corpus, LISTS), TOP, probes), ret.search_many(corpus, queries_, TOP)
+
+
+@query
+def knn_index_all(spark, folder):
+    """The index with all lists looked into: every row is in it, so the result is exact."""
+    return _index_hits(spark, folder, LISTS)[0]
+
+
+@query
+def knn_index_recall(spark, folder):
+    """Share of the exact hits that the index finds with its usual number of lists, as reached or not."""
+    found, exact = _index_hits(spark, folder, PROBES)
+    both = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("n_hits"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def _expanded(spark, folder):
     corpus = materialise(vector_collection(spark, folder), "corpus")
     return ret.expand_neighbours(materialise(_hits(corpus), "hits"), corpus)

@@ -191,6 +191,8 @@ SQL: dict[str, str] = {
     "knn_ip": _knn(f"1 - list_inner_product(v, {_PROBE})"),
     "knn_filtered": _knn(f"1 - list_cosine_similarity(v, {_PROBE})", "label IN (1, 2, 3) AND vec_id >= 100"),
     "knn_batched": f"WITH {_HITS} SELECT query_id, chunk_id, rank, distance, similarity FROM hits",
+    "knn_index_all": f"WITH {_HITS} SELECT query_id, chunk_id, rank, distance, similarity FROM hits",
+    "knn_index_recall": f"WITH {_HITS} SELECT count(*) AS n_hits, true AS reached FROM hits",
     "neighbor_expand": f"WITH {_EXPANDED} SELECT query_id, chunk_id, distance, similarity FROM both_rows WHERE NOT is_hit",
     "hit_neighbor_union": f"WITH {_EXPANDED} SELECT query_id, chunk_id, document_id, chunk_index, is_hit, distance FROM both_rows",
     "context_budget": f"WITH {_BUDGET} SELECT query_id, chunk_id, position, tokens, separated, included FROM budgeted",

@@ -57,6 +57,24 @@ def test_blocks_and_ties(spark, monkeypatch):
         assert [got[f"q{q}", n + 1] for n in range(4)] == [name for _, name in want]
 
 
+def test_index(spark):
+    """Every row lies in one list; all lists give the exact result, few lists nearly so; odd rows harm nothing."""
+    rnd = random.Random(8)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    vectors = [[c + rnd.gauss(0, 0.4) for c in rnd.choice(centres)] for _ in range(600)]
+    rows = [(f"c{i:03d}", v) for i, v in enumerate(vectors)] + [("n", None), ("s", [1.0]), ("z", [0.0] * 8), (None, vectors[0]), ("h", [None] * 8)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(vectors[::12])] + [("qn", None)], "query_id string, vector array<float>")
+    fitted = ret.fit_index(corpus, lists=6, sample_rows=300)
+    assert len(fitted) == 6 and ret.assign_lists(corpus.where("chunk_id IS NOT NULL"), "embedding", fitted).count() == len(rows) - 1
+    exact = {(r.query_id, r["rank"]): r.chunk_id for r in ret.search_many(corpus, queries, 5).collect()}
+    assert len(exact) == 250
+    for probes, least in ((6, 1.0), (2, 0.9)):
+        got = {(r.query_id, r.chunk_id) for r in ret.search_index(corpus, queries, fitted, 5, probes).collect()}
+        assert len(got & {(q, c) for (q, _), c in exact.items()}) >= least * 250
+    assert ret.fit_index(corpus.where("false")) == [] and ret.search_index(corpus.where("false"), queries, [], 5).count() == 0
+
+
 def test_neighbours(spark, corpus):
     hits = spark.createDataFrame([("q", "a_1", 0.5, 0.5), ("q", "a_2", 0.6, 0.4)], "query_id string, chunk_id string, distance double, similarity double")
     got = {r.chunk_id: (r.is_hit, r.distance) for r in ret.expand_neighbours(hits, corpus).collect()}
