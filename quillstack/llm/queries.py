@@ -48,8 +48,8 @@ def p2_multiset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of which at least 30 % is repeated."""
-    profile = repetition.repetition_profile(table(spark, folder, "extracted_pages"), "page_id", "content")
+    """Pages of which at least 30 % is repeated. The distances say nothing about that and are left to p3_profile."""
+    profile = repetition.repetition_profile(table(spark, folder, "extracted_pages"), "page_id", "content", with_divergence=False)
     return profile.where(F.col("repeated_share") >= repetition.THRESHOLD).select("page_id")
 
 
