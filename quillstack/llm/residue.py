@@ -20,7 +20,6 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -34,6 +33,8 @@ from quillstack.session import materialise
 DEPTH, LONGEST, STRETCH = 4, 64, 16
 #: Share of equal places from which a record of a leaf belongs to a template.
 SIMILAR = 0.6
+#: Different records of a leaf that are mined together, on average.
+LEAF_RECORDS = 20_000
 
 # Words that name a field or tell the reader to fill it in.
 _FIELD = (
@@ -457,17 +458,43 @@ def _similar(lines: list[str]) -> list[tuple[str, list[int]]]:
 
 def templates(placed: DataFrame) -> DataFrame:
     """(leaf, template, records, kind, members): one row for each template, with the different masked records (tokens
-    joined by blanks) that it covers; placed: (leaf, line). Only the different records of a leaf come together."""
+    joined by blanks) that it covers; placed: (leaf, line). Only the different records of a leaf come together, in parts of
+    about LEAF_RECORDS that are mined each by itself, so no task holds a leaf of any size."""
     once = placed.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    sizes = once.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_RECORDS).alias("_parts"))
+    dealt = once.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("line"), F.col("_parts")).alias("part"), "line", "n")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line")
-        leaf, lines, n = int(rows["leaf"].iloc[0]), rows["line"].tolist(), rows["n"].tolist()
+    def mined(leaf: int, lines: list[str], n: list[int]) -> list[tuple]:
         long = lines[0].count(" ") >= LONGEST or " <nl> " in lines[0]
-        out = [(leaf, t, sum(n[k] for k in own), verdict(long, t), [lines[k] for k in own]) for t, own in _similar(lines)]
-        return pd.DataFrame(out, columns=["leaf", "template", "records", "kind", "members"])
+        return [(leaf, t, sum(n[k] for k in own), verdict(long, t), [lines[k] for k in own]) for t, own in _similar(lines)]
 
-    return once.groupBy("leaf").applyInPandas(run, "leaf bigint, template string, records bigint, kind string, members array<string>")
+    def run(batches):
+        key, lines, n, out = None, [], [], []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MINED, strict=True)], names=["leaf", "template", "records", "kind", "members"])
+
+        for batch in batches:
+            for leaf, part, line, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (leaf, part) != key:
+                    if lines:
+                        out += mined(key[0], lines, n)
+                    key, lines, n = (leaf, part), [], []
+                lines.append(line)
+                n.append(times)
+            if len(out) >= 1000:
+                yield rows()
+                out = []
+        if lines:
+            out += mined(key[0], lines, n)
+        if out:
+            yield rows()
+
+    ordered = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
+    return ordered.mapInArrow(run, "leaf bigint, template string, records bigint, kind string, members array<string>")
+
+
+_MINED = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
 
 
 def place(text: str) -> tuple[int | None, str | None, str | None]:
