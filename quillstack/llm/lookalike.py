@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillstack.llm.common import arrow_map, pairs_between, spread
+from quillstack.llm.common import arrow_map, pairs_between, pairs_within, spread
 from quillstack.session import materialise
 
 #: Letters of other alphabets and the letter that they look like.
@@ -176,18 +176,30 @@ def _nothing(batch: pa.RecordBatch, keep_form: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
 
+def _spelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, form_key, cls) of the ids whose form is written in several ways; cls is the digest of the text as stored."""
+    keys = materialise(unify(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col, keep_form=False), "forms")
+    code = F.xxhash64("text_key")
+    mixed = keys.where("form_key IS NOT NULL").groupBy("form_key").agg(F.min(code).alias("a"), F.max(code).alias("b")).where("a <> b").select("form_key")
+    return materialise(keys.join(mixed, "form_key", "left_semi").select(id_col, "form_key", F.col("text_key").alias("cls")).distinct(), "spelled")
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str) -> DataFrame:
     """Pairs of ids whose texts have one form but differ as stored, the smaller id first.
 
-    Only digests are shuffled. Equal texts are one class: links are formed between the different spellings of a form
-    and then expanded to ids. Null texts, texts without a visible character and null ids give no pair; a repeated row
-    counts once."""
-    keys = materialise(unify(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col, keep_form=False), "forms")
-    keys = keys.where(F.col("form_key").isNotNull())
-    spellings = keys.select("form_key", "text_key").distinct()
-    written = spellings.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
-    spellings = spellings.join(written, "form_key", "left_semi")
-    other = spellings.select("form_key", F.col("text_key").alias("cls_b"))
-    links = spellings.withColumnRenamed("text_key", "cls_a").join(other, "form_key").where(F.col("cls_a") < F.col("cls_b")).select("cls_a", "cls_b")
-    members = keys.select(F.col(id_col), F.col("text_key").alias("cls")).join(spellings.select(F.col("text_key").alias("cls")), "cls", "left_semi").distinct()
-    return pairs_between(members, links, id_col, a, b)
+    Only digests are shuffled, and after one grouping by form with map-side combine only forms with several spellings go
+    on. Equal texts are one class: links are formed between the spellings of a form and then expanded to ids, both part
+    by part, so that a hot form or text is dealt over the cluster. Null texts, texts without a visible character and null
+    ids give no pair; a repeated row counts once."""
+    spelled = _spelled(df, id_col, text_col)
+    spellings = spelled.select(F.col("form_key").alias("cls"), F.col("cls").alias("text_key")).distinct()
+    links = pairs_within(spellings, "text_key", "cls_a", "cls_b")
+    return pairs_between(spelled.select(id_col, "cls"), links, id_col, a, b)
+
+
+def lookalike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, form_id, spelling_id, n_links): the compact form of the pairs, a row for each id that has some; n_links counts
+    the other spellings of its form."""
+    spelled = _spelled(df, id_col, text_col)
+    ways = spelled.groupBy("form_key").agg((F.count_distinct("cls") - 1).alias("n_links"))
+    return spelled.join(ways, "form_key").select(id_col, F.lower(F.hex("form_key")).alias("form_id"), F.lower(F.hex("cls")).alias("spelling_id"), "n_links")

@@ -111,6 +111,11 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.unify(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs in compact form: each document with its form, its spelling and the number of other spellings."""
+    return lookalike.lookalike_classes(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
@@ -120,7 +125,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_pieces, p2_found, p2_groups, p2_multiset, p3_found, p3_profile, p4_found, p4_sentences, p5_found, p5_kinds, p6_ids, p7_containers, p7_fill, p8_found, p8_forms)
+    every = (p1_found, p1_pieces, p2_found, p2_groups, p2_multiset, p3_found, p3_profile, p4_found, p4_sentences, p5_found, p5_kinds, p6_ids, p7_containers, p7_fill, p8_found, p8_classes, p8_forms)
     return {f.__name__: _shipped(f) for f in every}
 
 

@@ -51,3 +51,25 @@ def test_tables_come_from_the_unicode_data():
     single, several, alike = look.tables()
     assert len(single) > 1000 and single["Ａ"] == "A" and several["ﬃ"] == "ffi" and "²" not in single and "½" not in several
     assert alike["Ё"] == "Ë" and not any(a in t for t in (single, several, alike) for a in "abcABC0123")
+
+
+def test_hot_form_in_compact_and_full(spark, monkeypatch):
+    """A third of the rows are one text; its other spelling is linked to each of them, whatever the size of parts."""
+    from quillstack.llm import common
+
+    monkeypatch.setattr(common, "PART_IDS", 7)
+    rows = [(i, "Plan der Stelle") for i in range(50)] + [(100, "Plan der  Stelle"), (101, "Рlan der Stelle")] + [(200 + i, f"Text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in look.lookalike_pairs(df, "doc_id", "text", "a", "b").collect())
+    assert got == sorted([(i, j) for i in range(50) for j in (100, 101)] + [(100, 101)])
+    classes = look.lookalike_classes(df, "doc_id", "text").collect()
+    assert len(classes) == 52 and {r.n_links for r in classes} == {2} and len({r.form_id for r in classes}) == 1 and len({r.spelling_id for r in classes}) == 3
+
+
+def test_pairs_inside_classes_part_by_part(spark, monkeypatch):
+    from quillstack.llm import common
+
+    monkeypatch.setattr(common, "PART_IDS", 4)
+    df = spark.createDataFrame([(i, "a" if i < 30 else f"b{i}") for i in range(40)] + [(3, "a")], "id int, cls string")
+    got = sorted(tuple(r) for r in common.pairs_within(df, "id", "x", "y").collect())
+    assert got == [(i, j) for i in range(30) for j in range(i + 1, 30)]
