@@ -4,8 +4,9 @@ A blank line ends every unit. Inside a block the possible ends form a lattice: i
 terminators with the quotes and brackets that it closes; in scripts without blanks between words each terminator, and
 in scripts without terminators (Thai, Lao, Khmer, Burmese) each gap. An end has a price for being taken and one for
 being passed; a unit has a price for quotes or brackets left open. The cheapest path gives the units. The prices come
-from abbreviations, numbers, the case of the next word and, in scripts without blanks, from a word lattice over a
-small dictionary: its words next to the gap tell final particles and opening words.
+from abbreviations, numbers, the case of the next word and, in scripts without blanks, from word lattices over a
+small dictionary: every run without blanks is segmented once as a whole, and the words that end and begin at a gap tell
+final particles and opening words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quillstack.llm.common import arrow_map, first_delivery, spread
+from quillstack.llm.common import arrow_map, first_delivery
 
 # Abbreviations by what may follow them. NEVER: they always have something behind them in their sentence.
 NEVER = frozenset(
@@ -116,6 +117,26 @@ def word_lattice(run: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
+_SPACELESS = regex.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_RUN = regex.compile(r"\S+")
+
+
+def word_edges(block: str) -> tuple[dict[int, str], dict[int, str]]:
+    """(kind of the known word that begins at a place, kind of the one that ends there), from the lattices of all runs
+    that hold characters of scripts without blanks."""
+    begins: dict[int, str] = {}
+    ends: dict[int, str] = {}
+    if _SPACELESS.search(block):
+        for m in _RUN.finditer(block):
+            if _SPACELESS.search(m.group()):
+                at = m.start()
+                for word, kind in word_lattice(m.group()):
+                    if kind:
+                        begins[at], ends[at + len(word)] = kind, kind
+                    at += len(word)
+    return begins, ends
+
+
 def _depth_changes(block: str) -> list[int]:
     """Running number of open quotes and brackets behind each character; unmatched closers do not count."""
     stack: list[str] = []
@@ -156,7 +177,7 @@ def _next_word(block: str, at: int) -> tuple[str, str]:
     return first, block[at:end]
 
 
-def _prices(block: str, a: int, e: int, closed: bool, gap: bool) -> tuple[float, float]:
+def _prices(block: str, a: int, e: int, closed: bool, begins: dict[int, str]) -> tuple[float, float]:
     """(price of ending a unit at e, price of going on), for the terminators block[a:...] and the closers up to e."""
     mark = block[a:e]
     first, word = _next_word(block, e)
@@ -166,8 +187,10 @@ def _prices(block: str, a: int, e: int, closed: bool, gap: bool) -> tuple[float,
     quote = closed and mark[-1] not in ")]）］"
     cjk = bool(_spaceless(before) == "cjk" or first and _spaceless(first) == "cjk")
     if cjk:
-        ahead = word_lattice(block[e : e + 24].lstrip()[:12])
-        going_on = bool(ahead) and ahead[0][1] == "go_on"
+        at = e
+        while at < len(block) and block[at].isspace():
+            at += 1
+        going_on = begins.get(at) == "go_on"
         if quote:
             return (1.0, 1.0 if first in "“「『\"" else 0.0) if not going_on else (4.0, 0.0)
         if mark[0] == "…":
@@ -202,8 +225,8 @@ def _prices(block: str, a: int, e: int, closed: bool, gap: bool) -> tuple[float,
         return (0.0, 2.0) if word[:1].isupper() or opens or caseless else (5.0, 0.0)
     if token and token[-1].isdigit():
         if token.isdigit() and len(token) <= 3:
-            prior = block[:start].split()[-1:] or [""]
-            if not block[:start].strip() or (prior[0].strip("#").strip() == "" and len(block[:start].split()) <= 1):
+            prior = block[max(0, start - 80) : start].split()[-1:] or [""]
+            if start <= 40 and not block[:start].strip().strip("#"):
                 return 5.0, 0.0  # a number that opens a block is a numbering
             if word.lower() in MONTHS or prior[0].lower().strip("(„,") in BEFORE_ORDINAL and not token.startswith("0") and word[:1].isupper() and word.lower() not in OPENING_WORDS:
                 return 5.0, 0.0
@@ -217,27 +240,24 @@ def _prices(block: str, a: int, e: int, closed: bool, gap: bool) -> tuple[float,
     return 0.0, 2.5
 
 
-def _gap_prices(block: str, a: int, e: int) -> tuple[float, float]:
-    """The same for a gap [a, e) in a script without terminators."""
-    left, right = block[:a], block[e:]
-    if left.strip().isdigit():
-        return 5.0, 0.0  # numbering
-    tail = regex.search(r"\S{1,24}$", left)
-    head = regex.match(r"\S{1,24}", right)
-    behind = word_lattice(tail.group()[-16:]) if tail else []
-    ahead = word_lattice(head.group()[:16]) if head else []
+def _gap_prices(block: str, a: int, e: int, numbering: int, edges: tuple[dict[int, str], dict[int, str]]) -> tuple[float, float]:
+    """The same for a gap [a, e) in a script without terminators; numbering is the end of a number that opens the block."""
+    if a <= numbering:
+        return 5.0, 0.0
+    left, right = block[a - 1], block[e : e + 1]
+    ahead, behind = edges[0].get(e, ""), edges[1].get(a, "")
     end, go = 0.0, 1.0
-    if ahead and ahead[0][1] == "opener":
+    if ahead == "opener":
         go += 1.5
-    if ahead and ahead[0][1] == "go_on":
+    if ahead == "go_on":
         end += 3.0
-    if behind and (behind[-1][1] == "final" or left[-1].isdigit() or left[-1] in "?!"):
+    if behind == "final" or left.isdigit() or left in "?!":
         go += 1.0
-    if behind and behind[-1][1] in ("go_on", "opener"):
+    if behind in ("go_on", "opener"):
         end += 3.0
-    if right[:1].isdigit() or right[:1] in ",;:)" or left[-1] in ",;:(":
+    if right.isdigit() or right in ",;:)" or left in ",;:(":
         end += 2.0
-    if not _spaceless(right[0]) or not (_spaceless(left[-1]) or left[-1].isdigit() or left[-1] in _STRONG + _CLOSE):
+    if not _spaceless(right) or not (_spaceless(left) or left.isdigit() or left in _STRONG + _CLOSE):
         end += 1.5  # foreign words and signs are set off by blanks too
     return end, go
 
@@ -246,6 +266,9 @@ def _ends(block: str) -> list[tuple[int, float, float]]:
     """Possible ends in ascending order: (place behind the unit, price of ending, price of going on)."""
     out: dict[int, tuple[float, float]] = {}
     n = len(block)
+    edges = word_edges(block)
+    opening = regex.match(r"\s*\d+", block)
+    numbering = opening.end() if opening else 0
     for m in _ENDING.finditer(block):
         a, e = m.start(), m.end()
         before = block[a - 1] if a else " "
@@ -262,11 +285,11 @@ def _ends(block: str) -> list[tuple[int, float, float]]:
         wide = any(c in "。！？｡" for c in m.group()) or _spaceless(block[e]) == "cjk" or _spaceless(before) == "cjk" and m.group()[0] == "…"
         if not block[e].isspace() and not wide and not (m.group()[0] in "।?!" and _spaceless(block[e]) == "gap"):
             continue
-        out[e] = _prices(block, a, e, closed, False)
+        out[e] = _prices(block, a, e, closed, edges[0])
     for m in regex.finditer(r"\s+", block):
         a, e = m.span()
         if 0 < a and e < n and a not in out and ("gap" in (_spaceless(block[a - 1]), _spaceless(block[e]))):
-            out[a] = _gap_prices(block, a, e)
+            out[a] = _gap_prices(block, a, e, numbering, edges)
     return [(k, *v) for k, v in sorted(out.items())]
 
 
@@ -330,11 +353,12 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = True, balance: bool = True) -> DataFrame:
+def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
     """(id, unit_no, start_pos, end_pos[, sentence]): a row for each unit of each id, numbered from 0 in order.
 
     Deliveries of an id count once (the smallest text, should they differ). Places count characters from 0 in the
-    text as stored. Null ids are dropped; null and blank texts give no rows."""
+    text as stored. Null ids are dropped; null and blank texts give no rows. Texts are shuffled once, by id with map-side
+    combine, and cut where they arrive."""
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     source = first_delivery(source, "id", "text")
@@ -352,5 +376,5 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str, with_text: bool =
         names = ["id", "unit_no", "start_pos", "end_pos"]
         return pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())] if with_text else cols, names=[*names, "sentence"] if with_text else names)
 
-    out = arrow_map(spread(source, force=True) if balance else source, run, f"id {kind}, unit_no int, start_pos int, end_pos int{', sentence string' if with_text else ''}")
+    out = arrow_map(source, run, f"id {kind}, unit_no int, start_pos int, end_pos int{', sentence string' if with_text else ''}")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
