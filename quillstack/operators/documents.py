@@ -21,10 +21,18 @@ def all_page_stats(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return out.fillna(0, ["total_pages", "pages_with_tables", "pages_with_lists", "failed_pages"]).fillna(0.0, ["avg_content_length"])
 
 
-def full_content(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
-    """(source_file, content): page contents as stored, blank ones too, joined in page order. A document becomes one value."""
+#: Pages of one part of a document's content.
+PART_PAGES = 256
+
+
+def full_content(pages: DataFrame, separator: str = "\n\n", part_pages: int = PART_PAGES) -> DataFrame:
+    """(source_file, part, content): page contents as stored, blank ones too, joined in page order.
+
+    A document comes in parts of part_pages page numbers each, so that a growing one never becomes one value; joined by
+    the separator in order of part, the parts are the document."""
     ordered = F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("content", F.lit("")).alias("content"))))
-    return pages.groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["content"]), separator).alias("content"))
+    part = F.floor(F.col("page_number") / part_pages).cast("int").alias("part")
+    return pages.groupBy("source_file", part).agg(F.array_join(F.transform(ordered, lambda p: p["content"]), separator).alias("content"))
 
 
 def all_sections(pages: DataFrame) -> DataFrame:
@@ -34,10 +42,10 @@ def all_sections(pages: DataFrame) -> DataFrame:
 
 def abbreviation_map(abbreviations: Column) -> Column:
     """Map of short to long forms; of a repeated short form the last counts. Entries without a short form are dropped."""
-    named = F.filter(abbreviations, lambda a: a["short"].isNotNull())
-    places = F.transform(named, lambda a, i: F.struct(a["short"].alias("short"), a["long"].alias("long"), i.alias("at")))
-    last = F.filter(places, lambda x: ~F.exists(places, lambda y: (y["short"] == x["short"]) & (y["at"] > x["at"])))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["short"].alias("key"), x["long"].alias("value"))))
+    named = F.reverse(F.filter(abbreviations, lambda a: a["short"].isNotNull()))
+    shorts = F.transform(named, lambda a: a["short"])
+    # reversed, the first place of a short form is its last: one lookup in a list of different forms for each entry
+    return F.map_from_arrays(F.array_distinct(shorts), F.transform(F.array_distinct(shorts), lambda k: F.element_at(named, F.array_position(shorts, k).cast("int"))["long"]))
 
 
 def failed_pages(pages: DataFrame, refused: Column) -> DataFrame:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillstack.adapters import hash_embedding
+from quillstack.adapters import EchoModel, PlainTextRenderer, hash_embedding
 from quillstack.functions import prompts, text as tx
 from quillstack.functions.tokens import count_tokens, count_tokens_batch
 from quillstack.functions.where import apply_where
-from quillstack.operators import collection as col, documents as docs, responses as resp, retrieval as ret, segments as seg
+from quillstack.operators import collection as col, documents as docs, extraction as ext, responses as resp, retrieval as ret, segments as seg
 from quillstack.operators.ordered import latest, running_sum
 from quillstack.plans.sql import SQL
-from quillstack.schemas import SegmentConfig, valid_context, valid_page
+from quillstack.schemas import SegmentConfig, StoreConfig, valid_context, valid_page
 from quillstack.session import application_folder, materialise, ship_package, spread
 from quillstack.sources import json_results as js
 from quillstack.sources.tables import table
@@ -106,18 +107,24 @@ def failed_pages(spark, folder):
 
 @query
 def refusal_filter(spark, folder):
-    replies = table(spark, folder, "raw_responses").where(resp.is_refusal(F.col("response_text")))
-    pages = table(spark, folder, "extracted_pages").where(resp.is_refusal(F.col("content")))
-    return replies.select(F.lit("reply").alias("kind"), F.col("response_id").alias("id")).unionByName(pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"))).distinct()
+    """Refusals among replies and pages, and among replies that are refusals because such a phrase is put before them."""
+    raw = table(spark, folder, "raw_responses")
+    pages = table(spark, folder, "extracted_pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("content").alias("text"))
+    replies = raw.select(F.lit("reply").alias("kind"), F.col("response_id").alias("id"), F.col("response_text").alias("text"))
+    made = replies.select(F.lit("made").alias("kind"), "id", F.concat(F.lit("Sorry, i am UNABLE to read this. "), F.coalesce("text", F.lit(""))).alias("text"))
+    return replies.unionByName(pages).unionByName(made).where(resp.is_refusal(F.col("text"))).select("kind", "id").distinct()
 
 
 @query
 def page_validation(spark, folder):
-    """Rows outside their domains, by table."""
-    pages = table(spark, folder, "extracted_pages").where(~valid_page(F.col("page_number"), F.col("extraction_confidence"))).select(F.lit("page").alias("kind"))
-    c = lambda f: F.col(f"context.{f}")
-    bad = table(spark, folder, "extraction_results").where(~valid_context(c("document_type"), c("title"), c("total_pages"), c("language"))).select(F.lit("document").alias("kind"))
-    return pages.unionByName(bad).groupBy("kind").agg(F.count("*").alias("n"))
+    """Rows outside their domains, by table, of the rows as they are and of rows moved out of range."""
+    p = table(spark, folder, "extracted_pages").select("page_number", F.col("extraction_confidence").alias("confidence"))
+    moved = p.select((F.col("page_number") - 1).alias("page_number"), (F.col("confidence") + 0.25).alias("confidence"))
+    bad_pages = [x.where(~valid_page(F.col("page_number"), F.col("confidence"))).select(F.lit(kind).alias("kind")) for kind, x in (("page", p), ("moved_page", moved))]
+    d = table(spark, folder, "extraction_results").select("context.document_type", "context.title", "context.total_pages", "context.language")
+    changed = d.select("document_type", "title", (F.col("total_pages") - 20).alias("total_pages"), F.upper("language").alias("language"))
+    bad = [x.where(~valid_context(F.col("document_type"), F.col("title"), F.col("total_pages"), F.col("language"))).select(F.lit(kind).alias("kind")) for kind, x in (("document", d), ("changed_document", changed))]
+    return reduce(DataFrame.unionByName, [*bad_pages, *bad]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -153,18 +160,20 @@ def page_parse(spark, folder):
     p = table(spark, folder, "raw_responses").select("response_id", resp.parse_page(F.col("response_text"), F.col("page_number")).alias("p"))
     return p.select(
         "response_id", "p.page_number", "p.content", F.size("p.sections").alias("n_sections"), F.array_join("p.sections.number", "|").alias("numbers"), F.array_join(F.transform("p.sections.title", lambda t: F.coalesce(t, F.lit("-"))), "|").alias("titles"),
-        F.array_join("p.content_types", ",").alias("content_types"), "p.has_table", "p.has_list", "p.has_figure", "p.continues_to_next", "p.extraction_confidence",
+        F.array_join("p.content_types", ",").alias("content_types"), "p.has_table", "p.has_list", "p.has_figure", "p.continues_from_previous", "p.continues_to_next", "p.extraction_confidence",
+        *[F.array_join(f"p.{c}", "|").alias(c) for c in ("paragraph_numbers", "internal_references", "external_references")], F.col("p.extraction_notes").isNotNull().alias("noted"),
     )
 
 
 @query
 def context_parse(spark, folder):
     """Contexts written as fenced replies and parsed back."""
-    fields = F.struct(*[F.col(f"context.{f}").alias(f) for f in ("document_type", "title", "institution", "faculty", "version_date", "degree_program", "chapters", "abbreviations")])
+    fields = F.struct(*[F.col(f"context.{f}").alias(f) for f in ("document_type", "title", "institution", "faculty", "version_date", "version_info", "degree_program", "chapters", "main_topics", "abbreviations", "key_terms", "referenced_documents", "legal_basis")])
     reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(fields), F.lit("\n```"))
     c = _documents(spark, folder).select("source_file", resp.parse_context(reply, F.col("context.total_pages")).alias("c"))
     return c.select(
-        "source_file", "c.document_type", "c.title", "c.institution", "c.faculty", "c.version_date", "c.degree_program", "c.total_pages", F.array_join("c.chapters", "|").alias("chapters"),
+        "source_file", "c.document_type", "c.title", "c.institution", "c.faculty", "c.version_date", "c.version_info", "c.degree_program", "c.legal_basis", "c.language", "c.total_pages",
+        *[F.array_join(f"c.{x}", "|").alias(x) for x in ("chapters", "main_topics", "key_terms", "referenced_documents")],
         F.array_join(F.transform("c.abbreviations", lambda a: F.concat(a["short"], F.lit("="), a["long"])), "|").alias("abbreviations"),
     )
 
@@ -394,30 +403,65 @@ def where_filter(spark, folder):
     return apply_where(flat, where).select("chunk_id")
 
 
-def _deliveries(spark, folder):
-    raw = table(spark, folder, "chunks")
-    first = raw.groupBy("chunk_id").agg(F.min("ingested_at").alias("ingested_at"))
-    stored = raw.join(first, ["chunk_id", "ingested_at"], "left_semi").select("chunk_id", "token_count")
-    later = raw.join(first, ["chunk_id", "ingested_at"], "left_anti").select("chunk_id", F.coalesce("token_count", F.lit(-1)).alias("token_count"))
-    return stored, later
+def _store(spark) -> col.Collection:
+    """A fresh collection in the application's folder."""
+    return col.Collection(spark, StoreConfig(f"{application_folder(spark)}/store-{uuid.uuid4().hex}", buckets=8))
+
+
+def _stored(store: col.Collection) -> DataFrame:
+    return store.read().withColumn("dimensions", F.size("embedding")).drop("embedding")
 
 
 @query
 def upsert(spark, folder):
-    """Later deliveries merged into the first ones."""
-    stored, later = _deliveries(spark, folder)
-    return col.merge_rows(stored.groupBy("chunk_id").agg(F.max("token_count").alias("token_count")), later).fillna(-1, ["token_count"])
+    """A collection of the first deliveries of all chunks, into which the later ones are upserted."""
+    raw = table(spark, folder, "chunks")
+    first = raw.groupBy("chunk_id").agg(F.min("ingested_at").alias("ingested_at"))
+    store = _store(spark)
+    store.upsert(col.flatten_chunk(raw.join(first, ["chunk_id", "ingested_at"], "left_semi")))
+    store.upsert(col.flatten_chunk(raw.join(first, ["chunk_id", "ingested_at"], "left_anti")))
+    return _stored(store)
 
 
 @query
 def delete_document(spark, folder):
-    flat = col.flatten_chunk(_chunks(spark, folder))
-    return flat.where(~F.col("document_id").eqNullSafe("mhb_gesamtkatalog")).select("chunk_id", "document_id")
+    """A collection of all chunks without its largest document."""
+    store = _store(spark)
+    store.upsert(col.flatten_chunk(_chunks(spark, folder)))
+    store.delete_document("mhb_gesamtkatalog")
+    return _stored(store)
+
+
+@query
+def extract_document(spark, folder):
+    """Every document as a file of pages, rendered, asked for and parsed by the offline stand-ins."""
+    pages = _pages(spark, folder, "content").select("source_file", "page_number", F.replace(F.coalesce("content", F.lit("")), F.lit("\f"), F.lit(" ")).alias("content"))
+    ordered = F.sort_array(F.collect_list(F.struct("page_number", "content")))
+    files = pages.groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["content"]), "\f").alias("text"))
+    files = materialise(files.select(F.col("source_file").alias("path"), F.encode("text", "UTF-8").alias("content")), "files")
+    _, found = ext.extract_documents(files, PlainTextRenderer, EchoModel, wait=lambda s: None)
+    return found.select("source_file", "page_number", "content", "extraction_confidence", F.array_join("content_types", ",").alias("content_types"))
+
+
+@query
+def chunk_results(spark, folder):
+    """Chunking results of all documents, written as JSON and read again, and what their chunks add up to."""
+    pages, documents = _pages(spark, folder, "content"), _documents(spark, folder)
+    sentences = seg.page_sentences(pages)
+    chunks = materialise(seg.segments_of(sentences, documents, CONFIG), "chunks")
+    path = f"{application_folder(spark)}/json-{uuid.uuid4().hex}"
+    js.write_json(seg.segment_results(chunks, seg.segment_stats(chunks, sentences, pages, documents), CONFIG), path)
+    back = js.read_chunks(spark, path, multi_line=False)
+    total = lambda f: F.aggregate("chunks", F.lit(0), lambda n, c: n + f(c))
+    return back.select(
+        "source_file", "document_id", F.col("config.max_chunk_tokens").alias("max_chunk_tokens"), F.col("stats.total_chunks").alias("total_chunks"), F.size("chunks").alias("n_chunks"),
+        total(lambda c: c["token_count"]).alias("n_tokens"), total(lambda c: F.length(c["text"])).alias("n_chars"), total(lambda c: F.size(c["metadata"]["page_numbers"])).alias("n_pages"),
+    )
 
 
 @query
 def embed_batch(spark, folder):
-    """Vectors of texts by the offline stand-in; blank texts get an empty one."""
-    blank = F.length(tx.strip(F.coalesce("text", F.lit("")))) == 0
-    vector = F.when(blank, F.array().cast("array<float>")).otherwise(hash_embedding(F.col("text")))
-    return table(spark, folder, "documents").select("doc_id", F.size(vector).alias("dimensions"))
+    """Size and length of the vectors of texts by the offline stand-in; blank texts get an empty one."""
+    vectors = table(spark, folder, "documents").select("doc_id", hash_embedding(F.col("text")).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return vectors.select("doc_id", F.size("v").alias("dimensions"), F.round(F.sqrt(square), 4).alias("norm"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from quillstack.functions.prompts import PAGE_SYSTEM, PAGE_USER
-from quillstack.functions.text import ABBREVIATIONS
-from quillstack.operators.responses import REFUSALS
+# Fixed values, written out again so that a slip in the operators shows: abbreviations, phrases of refusal, our prompts.
+ABBREVIATIONS = "abs nr art lit bst bzw usw etc vgl ggf ca inkl exkl evtl bzgl betr gem sog insb zzgl dr prof dipl ing med phil rer nat jan feb mär apr jun jul aug sep sept okt nov dez std tel fax str max min orig".split()
+REFUSALS = ("i'm sorry, i can't assist", "i cannot assist", "i'm not able to", "i am not able to", "i cannot help", "i'm unable to", "i am unable to", "cannot process this", "can't process this")
+PAGE_SYSTEM = """You transcribe one page of a document into plain text and report its structure as JSON.
+
+Document:
+{document_context}
+
+Write tables and lists as sentences, keep the page's own wording, invent nothing."""
+PAGE_USER = "Page {page_number} of {total_pages}. Answer with one JSON object with the keys content, section_numbers, section_titles, paragraph_numbers, has_table, has_list, has_image, internal_references, external_references, continues_from_previous, continues_to_next."
 
 _P, _M = chr(0xE000), chr(0xE001)
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -133,27 +140,34 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_TYPES = "'pruefungsordnung', 'modulhandbuch', 'studienordnung', 'allgemeine_bestimmungen', 'praktikumsordnung', 'zulassungsordnung', 'satzung', 'website', 'faq', 'other'"
+_LISTED = lambda f: f"array_to_string(CASE WHEN ok THEN coalesce(CAST(j ->> '$.{f}[*]' AS VARCHAR[]), []) ELSE [] END, '|') AS {f}"
 _CONTEXT_STRING = """concat_ws(chr(10), 'Dokumenttyp: ' || coalesce(context.document_type, 'Unbekannt'), 'Titel: ' || coalesce(context.title, 'Unbekannt'), 'Institution: ' || coalesce(context.institution, 'Unbekannt'),
     CASE WHEN context.faculty <> '' THEN 'Fachbereich: ' || context.faculty END, CASE WHEN context.degree_program <> '' THEN 'Studiengang: ' || context.degree_program END,
     CASE WHEN len(context.abbreviations) > 0 THEN 'Abkürzungen: ' || array_to_string(list_transform(context.abbreviations, lambda a: coalesce(a.short, '') || '=' || coalesce(a.long, '')), ', ') END,
     CASE WHEN len(context.chapters) > 0 THEN 'Gliederung: ' || array_to_string(context.chapters[1:8], ', ') END)"""
 
+_DIMENSIONS = f"CASE WHEN {_strip('coalesce(text, chr(32))')} = '' THEN 0 ELSE 64 END"
+
 SQL: dict[str, str] = {
     "page_merge": f"WITH {_MERGED} SELECT source_file, page_number, start_pos, end_pos FROM placed",
     "page_stats": f"""WITH {_PAGES}, {_DOCS}, stats AS (SELECT source_file, count(*) AS total_pages, count(*) FILTER (has_table) AS pages_with_tables, count(*) FILTER (has_list) AS pages_with_lists, avg(length(coalesce(content, ''))) AS avg_content_length,
         min(length(coalesce(content, ''))) AS min_content_length, max(length(coalesce(content, ''))) AS max_content_length, count(*) FILTER (coalesce(extraction_confidence, 1) < 1) AS failed_pages FROM pages GROUP BY 1)
         SELECT source_file, coalesce(total_pages, 0) AS total_pages, coalesce(pages_with_tables, 0) AS pages_with_tables, coalesce(pages_with_lists, 0) AS pages_with_lists, coalesce(avg_content_length, 0) AS avg_content_length, min_content_length, max_content_length,
         coalesce(failed_pages, 0) AS failed_pages FROM docs LEFT JOIN stats USING (source_file)""",
-    "full_content": f"WITH {_PAGES} SELECT source_file, string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY page_number) AS content FROM pages GROUP BY 1",
+    "full_content": f"WITH {_PAGES} SELECT source_file, CAST(page_number // 256 AS INTEGER) AS part, string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY page_number) AS content FROM pages GROUP BY 1, 2",
     "all_sections": f"WITH {_PAGES}, s AS (SELECT source_file, page_number, unnest(sections) AS s, CAST(generate_subscripts(sections, 1) - 1 AS INTEGER) AS position FROM pages) SELECT source_file, page_number, position, s.number AS number, s.title AS title, s.level AS level, s.starts_on_page AS starts_on_page FROM s",
     "document_id": f"SELECT DISTINCT source_file, {_document_id('source_file')} AS document_id FROM extraction_results",
     "abbreviation_map": f"WITH {_DOCS}, a AS (SELECT source_file, unnest(context.abbreviations) AS a, generate_subscripts(context.abbreviations, 1) AS k FROM docs) SELECT source_file, a.short AS short, arg_max(a.long, k) AS long FROM a WHERE a.short IS NOT NULL GROUP BY 1, 2",
     "failed_pages": f"""WITH {_PAGES}, bad AS (SELECT source_file, list(page_number ORDER BY page_number) AS p FROM pages WHERE coalesce(extraction_confidence, 1) < 1 OR {_REFUSED("content")} GROUP BY 1)
         SELECT source_file, array_to_string(p, ',') AS failed, array_to_string(list_transform(p, lambda n: 'Page ' || n || ': extraction incomplete'), '; ') AS errors FROM bad""",
-    "refusal_filter": f"SELECT DISTINCT 'reply' AS kind, response_id AS id FROM raw_responses WHERE {_REFUSED('response_text')} UNION SELECT DISTINCT 'page', page_id FROM extracted_pages WHERE {_REFUSED('content')}",
-    "page_validation": """SELECT 'page' AS kind, count(*) AS n FROM extracted_pages WHERE page_number < 1 OR extraction_confidence NOT BETWEEN 0 AND 1 HAVING count(*) > 0
-        UNION ALL SELECT 'document', count(*) FROM extraction_results WHERE NOT (coalesce(context.document_type IN ('pruefungsordnung', 'modulhandbuch', 'studienordnung', 'allgemeine_bestimmungen', 'praktikumsordnung', 'zulassungsordnung', 'satzung', 'website', 'faq', 'other'), false)
-        AND coalesce(context.title, '') <> '' AND coalesce(context.total_pages >= 0, true) AND coalesce(context.language IN ('de', 'en'), true)) HAVING count(*) > 0""",
+    "refusal_filter": f"""SELECT DISTINCT 'reply' AS kind, response_id AS id FROM raw_responses WHERE {_REFUSED('response_text')} UNION SELECT DISTINCT 'page', page_id FROM extracted_pages WHERE {_REFUSED('content')}
+        UNION SELECT DISTINCT 'made', response_id FROM raw_responses""",
+    "page_validation": f"""WITH pages AS (SELECT 'page' AS kind, page_number AS p, extraction_confidence AS c FROM extracted_pages UNION ALL SELECT 'moved_page', page_number - 1, extraction_confidence + 0.25 FROM extracted_pages),
+        docs AS (SELECT 'document' AS kind, context.document_type AS t, context.title AS title, context.total_pages AS n, context.language AS l FROM extraction_results
+            UNION ALL SELECT 'changed_document', context.document_type, context.title, context.total_pages - 20, upper(context.language) FROM extraction_results)
+        SELECT kind, count(*) AS n FROM pages WHERE p < 1 OR c NOT BETWEEN 0 AND 1 GROUP BY 1
+        UNION ALL SELECT kind, count(*) FROM docs WHERE NOT (coalesce(t IN ({_TYPES}), false) AND coalesce(title, '') <> '' AND coalesce(n >= 0, true) AND coalesce(l IN ('de', 'en'), true)) GROUP BY 1""",
     "sample_pages": f"""WITH {_DOCS} SELECT source_file, CASE WHEN n IS NULL OR n < 2 THEN '1' WHEN n = 2 THEN '1,2' WHEN n = 3 THEN '1,2,3' WHEN n <= 10 THEN '1,2,3,' || n ELSE '1,2,3,' || (n // 2) || ',' || n END AS pages FROM (SELECT source_file, context.total_pages AS n FROM docs)""",
     "context_string": f"WITH {_DOCS} SELECT source_file, {_CONTEXT_STRING} AS context_string FROM docs",
     "page_prompt": f"""WITH {_PAGES}, {_DOCS} SELECT p.source_file, p.page_number, md5(replace({_quote(PAGE_SYSTEM)}, '{{document_context}}', {_CONTEXT_STRING})) AS system_md5,
@@ -165,10 +179,12 @@ SQL: dict[str, str] = {
             ok AND coalesce(CAST(j ->> '$.has_table' AS BOOLEAN), false) AS has_table, ok AND coalesce(CAST(j ->> '$.has_list' AS BOOLEAN), false) AS has_list, ok AND coalesce(CAST(j ->> '$.has_image' AS BOOLEAN), false) AS has_figure, ok AND coalesce(CAST(j ->> '$.continues_to_next' AS BOOLEAN), false) AS continues_to_next FROM j)
         SELECT response_id, page_number, CASE WHEN ok THEN coalesce(j ->> '$.content', '') ELSE coalesce(r, '') END AS content, len(nums) AS n_sections, array_to_string(nums, '|') AS numbers,
         coalesce(array_to_string(list_transform(nums, lambda x, i: coalesce(tits[i], '-')), '|'), '') AS titles, CASE WHEN NOT ok THEN '' WHEN has_table AND has_list THEN 'table,list' WHEN has_table THEN 'table' WHEN has_list THEN 'list' ELSE 'section' END AS content_types,
-        has_table, has_list, has_figure, continues_to_next, CASE WHEN ok THEN 1.0 ELSE 0.5 END::DOUBLE AS extraction_confidence FROM f""",
+        has_table, has_list, has_figure, continues_to_next, ok AND coalesce(CAST(j ->> '$.continues_from_previous' AS BOOLEAN), false) AS continues_from_previous, CASE WHEN ok THEN 1.0 ELSE 0.5 END::DOUBLE AS extraction_confidence,
+        {_LISTED("paragraph_numbers")}, {_LISTED("internal_references")}, {_LISTED("external_references")}, NOT ok AS noted FROM f""",
     "context_parse": f"""WITH {_DOCS} SELECT source_file, CASE WHEN context.document_type IN ('pruefungsordnung', 'modulhandbuch', 'studienordnung', 'allgemeine_bestimmungen', 'praktikumsordnung', 'zulassungsordnung', 'satzung', 'website', 'faq') THEN context.document_type ELSE 'other' END AS document_type,
         coalesce(context.title, 'Unknown') AS title, coalesce(context.institution, 'Unknown') AS institution, context.faculty AS faculty, context.version_date AS version_date, context.degree_program AS degree_program, context.total_pages AS total_pages,
-        coalesce(array_to_string(context.chapters, '|'), '') AS chapters, coalesce(array_to_string(list_transform(list_filter(context.abbreviations, lambda a: a.short <> '' AND a.long <> ''), lambda a: a.short || '=' || a.long), '|'), '') AS abbreviations FROM docs""",
+        context.version_info AS version_info, context.legal_basis AS legal_basis, 'de' AS language, coalesce(array_to_string(context.main_topics, '|'), '') AS main_topics, coalesce(array_to_string(context.key_terms, '|'), '') AS key_terms,
+        coalesce(array_to_string(context.referenced_documents, '|'), '') AS referenced_documents, coalesce(array_to_string(context.chapters, '|'), '') AS chapters, coalesce(array_to_string(list_transform(list_filter(context.abbreviations, lambda a: a.short <> '' AND a.long <> ''), lambda a: a.short || '=' || a.long), '|'), '') AS abbreviations FROM docs""",
     "json_roundtrip": f"""WITH {_PAGES}, {_DOCS}, p AS (SELECT source_file, count(*) AS n, sum(length(coalesce(content, ''))) AS c FROM pages GROUP BY 1)
         SELECT source_file, context.title AS title, processed_at, CAST(coalesce(n, 0) AS INTEGER) AS n_pages, CAST(coalesce(c, 0) AS INTEGER) AS n_chars FROM docs LEFT JOIN p USING (source_file)""",
     "sentence_split": f"""WITH cut AS (SELECT doc_id, {_cut(_strip("text"))} AS parts FROM documents WHERE text IS NOT NULL), parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cut),
@@ -206,9 +222,14 @@ SQL: dict[str, str] = {
     "chunk_neighbors": f"""WITH {_CHUNKS}, {_FLAT}, one AS (SELECT 'prev' AS side, prev_chunk_id AS chunk_id FROM flat WHERE chunk_id = 'mhb_gesamtkatalog_chunk_0001' UNION ALL SELECT 'next', next_chunk_id FROM flat WHERE chunk_id = 'mhb_gesamtkatalog_chunk_0001')
         SELECT side, chunk_id, text FROM one JOIN flat USING (chunk_id)""",
     "where_filter": f"WITH {_CHUNKS}, {_FLAT} SELECT chunk_id FROM flat WHERE (document_type = 'pruefungsordnung' AND chunk_index <= 2) OR (coalesce(document_type NOT IN ('faq', 'website'), true) AND total_chunks > 10 AND chunk_index IS DISTINCT FROM 0)",
-    "upsert": """WITH f AS (SELECT chunk_id, min(ingested_at) AS t FROM chunks GROUP BY 1), later AS (SELECT c.chunk_id, max(coalesce(token_count, -1)) AS token_count FROM chunks c JOIN f USING (chunk_id) WHERE ingested_at > t GROUP BY 1),
-        stored AS (SELECT c.chunk_id, max(token_count) AS token_count FROM chunks c JOIN f ON f.chunk_id = c.chunk_id AND f.t = c.ingested_at GROUP BY 1)
-        SELECT chunk_id, coalesce(CASE WHEN l.chunk_id IS NOT NULL THEN l.token_count ELSE s.token_count END, -1) AS token_count FROM stored s LEFT JOIN later l USING (chunk_id)""",
-    "delete_document": f"WITH {_CHUNKS}, {_FLAT} SELECT chunk_id, document_id FROM flat WHERE document_id IS DISTINCT FROM 'mhb_gesamtkatalog'",
-    "embed_batch": rf"SELECT doc_id, CASE WHEN {_strip('coalesce(text, chr(32))')} = '' THEN 0 ELSE 64 END AS dimensions FROM documents",
+    "upsert": f"""WITH f AS (SELECT chunk_id, min(ingested_at) AS t FROM chunks GROUP BY 1), ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.chunk_id ORDER BY ingested_at > t DESC, c.token_count DESC NULLS LAST) AS k FROM chunks c JOIN f ON f.chunk_id = c.chunk_id),
+        once AS (SELECT * FROM ranked WHERE k = 1), {_FLAT} SELECT *, {_DIMENSIONS} AS dimensions FROM flat""",
+    "delete_document": f"WITH {_CHUNKS}, {_FLAT} SELECT *, {_DIMENSIONS} AS dimensions FROM flat WHERE document_id IS DISTINCT FROM 'mhb_gesamtkatalog'",
+    "embed_batch": rf"SELECT doc_id, {_DIMENSIONS} AS dimensions, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
+    "extract_document": f"""WITH {_PAGES}, texts AS (SELECT source_file, page_number, replace(coalesce(content, ''), chr(12), ' ') AS content, row_number() OVER w AS n, sum(length(coalesce(content, ''))) OVER (PARTITION BY source_file) + count(*) OVER (PARTITION BY source_file) - 1 AS size
+            FROM pages WINDOW w AS (PARTITION BY source_file ORDER BY page_number))
+        SELECT source_file, CAST(n AS INTEGER) AS page_number, content, 1.0::DOUBLE AS extraction_confidence, 'section' AS content_types FROM texts WHERE size > 0""",
+    "chunk_results": f"""WITH RECURSIVE {_SEGMENTS}, c AS (SELECT source_file, count(*) AS k, sum(token_count) AS t, sum(length(text)) AS ch, sum(len(string_split(page_numbers, ','))) AS p FROM segments GROUP BY 1)
+        SELECT source_file, {_document_id("source_file")} AS document_id, 120 AS max_chunk_tokens, coalesce(k, 0) AS total_chunks, CAST(coalesce(k, 0) AS INTEGER) AS n_chunks, CAST(coalesce(t, 0) AS INTEGER) AS n_tokens, CAST(coalesce(ch, 0) AS INTEGER) AS n_chars, CAST(coalesce(p, 0) AS INTEGER) AS n_pages
+        FROM docs LEFT JOIN c USING (source_file)""",
 }
