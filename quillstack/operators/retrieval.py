@@ -25,7 +25,7 @@ def search(corpus: DataFrame, vector: list[float], k: int = 3, metric: str = "co
     defined (a zero vector) are left out. Fewer rows than k give all of them."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    d = distance(F.col("embedding"), F.lit([float(x) for x in vector]), metric)
+    d = distance(F.col("embedding"), F.lit([float(x) for x in vector]), metric, sum(float(x) ** 2 for x in vector) ** 0.5)
     scored = apply_where(corpus, where).withColumn("_d", d).where("_d IS NOT NULL").orderBy("_d", "chunk_id").limit(k)
     return scored.select(*[c for c in corpus.columns if c != "embedding"], (F.round("_d", 6) + 0.0).alias("distance"), (F.round(1 - F.col("_d"), 6) + 0.0).alias("similarity"))
 
