@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillstack.llm.common import BATCH_ROWS, pairs_between, pairs_within, spread
+from quillstack.llm.common import BATCH_ROWS, pairs_of_classes, spread
 from quillstack.session import materialise
 
 BAND, BANDS = 6, 64
@@ -222,4 +222,4 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float, a: str, b: str, **options) -> DataFrame:
     """Every pair of different ids whose similarity reaches the threshold, the smaller id first."""
     members, links = near_duplicates(df, id_col, text_col, threshold, **options)
-    return pairs_between(members, links.select("cls_a", "cls_b"), id_col, a, b).unionByName(pairs_within(members, id_col, a, b)).distinct()
+    return pairs_of_classes(members, links.select("cls_a", "cls_b"), id_col, a, b).distinct()
