@@ -192,8 +192,8 @@ def class_links(classes: DataFrame, threshold: float, weights: str = "set", band
     """(cls_a, cls_b, similarity) of all linked pairs of different classes, each once.
 
     classes: (cls, tag, words, counts), a row for each class. Band rows hold two numbers, and both sides of the join on
-    bands are one exchange straight below the join, so that a band that many classes share is split by adaptive
-    execution on both sides. A candidate pair is verified once, however many bands it shares, and only classes of
+    bands are one exchange straight below the join, where adaptive execution may split a band that many classes share;
+    there is no salting here. A candidate pair is verified once, however many bands it shares, and only classes of
     candidates send their words. Equal tags of different classes only add candidates."""
     rows = band_keys(classes, band, bands)
     x, y = rows.alias("x"), rows.alias("y")
