@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,12 +88,37 @@ def release(spark: SparkSession) -> None:
     fs.mkdirs(place)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as parquet in the application's folder and read it back: cuts lineage, survives lost executors."""
+#: Setting by which Spark removes the shuffle files of a query when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
+    """Write df as parquet in the application's folder and read it back: cuts lineage, survives lost executors.
+
+    tidy: the shuffle files of the write are removed as soon as it ends, and not when the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise wrote; nothing may read them afterwards."""
+    for table in tables:
+        place, fs = hadoop_path(table.sparkSession, _PLACES.pop(table))
+        fs.delete(place, True)
 
 
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import threading
+from pathlib import Path
 
 import numpy as np
 
@@ -94,6 +96,71 @@ def test_components(spark):
     assert {bytes(r.cls): bytes(r.root) for r in groups.components(df).collect()} == {k: v for k, v in want.items() if k != v}
 
 
+def test_rounds_parts_and_hot_bands_keep_all_pairs(spark, monkeypatch):
+    """As brute force finds them, with a round for each plane, all parts, and bands expanded by lists of classes."""
+    for name, value in (("ROUND_KEYS", 1), ("PART_BYTES", 1), ("HOT", 3), ("BLOCK_WORDS", 100), ("SEEN", 2)):
+        monkeypatch.setattr(bmh, name, value, raising=False)
+    rnd = random.Random(5)
+    base = rnd.sample(WORDS, 40)
+    rows = corpus(rnd)[:40] + [(f"h{i:02d}", " ".join([*base, f"x{i}"])) for i in range(25)] + [(f"k{i}", " ".join(base)) for i in range(4)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    for weights in ("set", "count"):
+        got = bmh.near_duplicate_pairs(df, "id", "text", 0.75, "a", "b", weights=weights).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(x, y) for x, s in rows for y, t in rows if x < y and similarity(s, t) >= 0.75}
+
+
+def test_disk_stays_below_a_bound_a_record(spark, monkeypatch):
+    """Shuffle files and written tables at any time, for records that resemble each other by a fifth; a plane a round."""
+    monkeypatch.setattr(bmh, "ROUND_KEYS", 1, raising=False)
+    rng = np.random.default_rng(6)
+    n, often = 6000, " ".join(f"o{k}" for k in range(20))
+    df = spark.createDataFrame([(i, f"{often} " + " ".join(f"w{w}" for w in rng.integers(0, 20000, 40))) for i in range(n)], "id int, text string").localCheckpoint()
+    shuffles = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    tables = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def used():
+        total = 0
+        for p in [p for d in shuffles for p in d.rglob("shuffle_*")] + list(tables.rglob("*.parquet")):
+            try:
+                total += p.stat().st_size
+            except OSError:
+                pass
+        return total
+
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    before, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        _, links = bmh.near_duplicates(df, "id", "text", 0.75)
+    finally:
+        over.set()
+        watcher.join()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert links.count() == 0
+    assert max(most[0], used() - before) < 1400 * n
+
+
+def test_bands_of_a_plane():
+    """Two bands share one component at most; the planes for each length miss a pair at 0.75 hardly ever."""
+    rng = np.random.default_rng(7)
+    for r, (p, slopes, planes) in bmh.PLANES.items():
+        bands = bmh.lines(r, p, slopes)
+        on = np.zeros((len(bands), r * p), int)
+        on[np.arange(len(bands))[:, None], bands] = 1
+        assert ((on @ on.T)[~np.eye(len(bands), dtype=bool)] <= 1).all() and (on.sum(axis=1) == r).all()
+        agree = rng.random((4000, r * p)) < 0.75
+        assert (1 - agree[:, bands].all(axis=2).any(axis=1).mean()) ** planes < 3e-5
+    sizes = [bmh.band_length(n) for n in (0, 1, 10**4, 10**5, 10**6, 10**7, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == min(bmh.PLANES) and sizes[-1] == max(bmh.PLANES)
+
+
 def test_sql(spark, data):
     from compare import against_sql
 
