@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 class Renderer(Protocol):
+    """data is one object for all pages of a file, so a renderer may keep what it has opened last."""
+
     def info(self, data: bytes) -> dict[str, Any]: ...
 
     def size(self, data: bytes, page_number: int) -> tuple[float, float]: ...
@@ -39,16 +41,30 @@ IMAGE = "source_file string, position int, page_number int, image_base64 string,
 
 
 def pdf_info(files: DataFrame, make: Callable[[], Renderer]) -> DataFrame:
-    """(source_file, page_count, title, ...) of binary files (path, content); missing texts are empty."""
+    """(source_file, page_count, title, ...) of binary files (path, content); missing texts are empty. With parts of files
+    (path, part, content), a row for each part."""
     names = [f.split()[0] for f in INFO.split(", ")]
+    keys = _file_keys(files)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         renderer = make()
         for frame in frames:
-            rows = [{"source_file": p} | {n: (i := renderer.info(bytes(c))).get(n, 0 if n == "page_count" else "") for n in names} for p, c in zip(frame["path"], frame["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=["source_file", *names])
+            rows = [{n: (i := renderer.info(bytes(c))).get(n, 0 if n == "page_count" else "") for n in names} for c in frame["content"]]
+            yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+    return _by_name(files, keys).mapInPandas(run, f"{_kinds(files, keys)}, {INFO}")
+
+
+def _file_keys(files: DataFrame) -> list[str]:
+    return ["source_file", *[c for c in ("part",) if c in files.columns]]
+
+
+def _by_name(files: DataFrame, keys: list[str]) -> DataFrame:
+    return files.select(F.col("path").alias("source_file"), *keys[1:], "content")
+
 
-    return files.select("path", "content").mapInPandas(run, f"source_file string, {INFO}")
+def _kinds(files: DataFrame, keys: list[str]) -> str:
+    return ", ".join(["source_file string", *[f"{k} {files.schema[k].dataType.simpleString()}" for k in keys[1:]]])
 
 
 def fit_zoom(width: float, height: float, dpi: float, max_dimension: int | None) -> float:
@@ -63,8 +79,8 @@ def wanted_pages(info: DataFrame, start: int = 1, end: int | None = None) -> Dat
     return info.where(last >= start).select("source_file", F.explode(F.sequence(F.lit(start), last)).alias("page_number"))
 
 
-#: Pages of one file that a task renders in a row; a file with more is opened by several tasks.
-RENDER_PAGES = 16
+#: Characters of images, and rows, that a task holds before it passes them on.
+IMAGE_CHARS, IMAGE_ROWS = 4 << 20, 2_000
 
 
 def render_pages(
@@ -76,27 +92,46 @@ def render_pages(
     twice. No side of an image is longer than max_dimension. Pages outside a document are left out; with strict they
     raise an error."""
     place = F.col("position") if "position" in wanted.columns else F.col("page_number")
-    asked = wanted.select("source_file", place.cast("int").alias("position"), F.col("page_number").cast("int").alias("page_number"), *keep)
-    by_file = asked.groupBy("source_file", *keep, F.floor(F.col("position") / RENDER_PAGES).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("position", "page_number"))).alias("pages"))
-    joined = files.select(F.col("path").alias("source_file"), "content").join(by_file.drop("_part"), "source_file")
-    kinds = "".join(f", {k} {wanted.schema[k].dataType.simpleString()}" for k in keep)
-    names = [f.split()[0] for f in IMAGE.split(", ")]
+    keys = _file_keys(files)
+    asked = wanted.select(*keys, place.cast("int").alias("position"), F.col("page_number").cast("int").alias("page_number"), *keep)
+    lists = asked.groupBy(*keys, *keep).agg(F.sort_array(F.collect_list(F.struct("position", "page_number"))).alias("pages"))
+    return render_lists(files, lists, make, dpi, fmt, max_dimension, strict, keep)
+
+
+def render_lists(
+    files: DataFrame, lists: DataFrame, make: Callable[[], Renderer], dpi: float = 150, fmt: str = "png", max_dimension: int | None = 2048, strict: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same for lists (source_file, pages array<struct<position, page_number>>[, page_count][, columns to keep]).
+
+    Each list meets its file once, so the bytes of a file are not repeated for its pages, and images are passed on while
+    the file is read. Files may come in parts (path, part, content), then lists name the part and page_number counts
+    inside it. page_count, if there, stands for what the renderer says."""
+    keys = _file_keys(files)
+    numbers = {"_at": F.col("pages.position"), "_n": F.col("pages.page_number"), "_count": F.col("page_count").cast("int") if "page_count" in lists.columns else F.lit(-1)}
+    joined = _by_name(files, keys).join(lists.select(*keys, *[c.alias(n) for n, c in numbers.items()], *keep), keys)
+    kinds = "".join(f", {k} {lists.schema[k].dataType.simpleString()}" for k in keep)
+    columns, read = [*[f.split()[0] for f in IMAGE.split(", ")], *keep], ["source_file", "content", *numbers, *keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        renderer = make()
+        renderer, rows, held = make(), [], 0
         for frame in frames:
-            for name, data, pages, *kept in frame[["source_file", "content", "pages", *keep]].itertuples(index=False):
-                data, rows = bytes(data), []
-                total = renderer.info(data)["page_count"]
-                for at, n in ((p["position"], p["page_number"]) for p in pages):
+            for name, data, places, wanted, total, *kept in frame[read].itertuples(index=False):
+                data = bytes(data)
+                total = renderer.info(data)["page_count"] if total < 0 else total
+                for at, n in zip(places.tolist(), wanted.tolist(), strict=True):
                     if 1 <= n <= total:
-                        image, w, h = renderer.render(data, int(n), fit_zoom(*renderer.size(data, int(n)), dpi, max_dimension))
+                        image, w, h = renderer.render(data, n, fit_zoom(*renderer.size(data, n), dpi, max_dimension))
                         rows.append((name, at, n, base64.b64encode(image).decode(), w, h, f"image/{fmt}", *kept))
+                        held += len(rows[-1][3])
                     elif strict:
                         raise ValueError(f"page {n} of {name} is out of range (1-{total})")
-                yield pd.DataFrame(rows, columns=[*names, *keep])
+                    if held >= IMAGE_CHARS or len(rows) >= IMAGE_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-    return joined.mapInPandas(run, IMAGE + kinds)
+    return joined.select(*read).mapInPandas(run, IMAGE + kinds)
 
 
 def thumbnails(files: DataFrame, make: Callable[[], Renderer], max_size: int = 400, fmt: str = "png") -> DataFrame:
@@ -205,6 +240,9 @@ class HashEmbedder:
 class PlainTextRenderer:
     """Stand-in renderer: a file is UTF-8 text, form feeds separate its pages, an image is the page's bytes."""
 
+    def __init__(self):
+        self.data, self.pages = b"", [b""]
+
     def info(self, data: bytes) -> dict[str, Any]:
         return {"page_count": data.count(b"\f") + 1 if data else 0}
 
@@ -212,7 +250,9 @@ class PlainTextRenderer:
         return 595.0, 842.0
 
     def render(self, data: bytes, page_number: int, zoom: float) -> tuple[bytes, int, int]:
-        return data.split(b"\f")[page_number - 1], round(595 * zoom), round(842 * zoom)
+        if data is not self.data:
+            self.data, self.pages = data, data.split(b"\f")
+        return self.pages[page_number - 1], round(595 * zoom), round(842 * zoom)
 
 
 class EchoModel:

@@ -2,6 +2,9 @@
 
 Rendering and the model are adapters. Images stay in the partition that made them: what a page's prompt needs from its
 document travels with the list of wanted pages, before anything is rendered.
+
+files are (path, content), or (path, part, content) where a file comes in parts: each is a file of its own, with at least
+one page, and in order of part their pages are those of the file. A growing file never has to be one value that way.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstack import adapters
 from quillstack.functions import prompts, text as tx
@@ -34,16 +37,38 @@ def unknown_context(source_file: Column, total_pages: Column) -> Column:
     return F.struct(*fields).cast(CONTEXT)
 
 
-def analyse_contexts(files: DataFrame, make_renderer, make_model, config: ModelConfig, render: RenderConfig, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(source_file, total_pages, context, error, input_tokens, output_tokens) of files (path, content).
+def page_places(files: DataFrame, make_renderer) -> DataFrame:
+    """(source_file[, part], page_count, before, total_pages) of files or their parts: before counts the pages of earlier
+    parts. A part without a byte is an empty page, unless it is the whole file."""
+    info = adapters.pdf_info(files, make_renderer)
+    if "part" not in info.columns:
+        return info.select("source_file", "page_count", F.lit(0).alias("before"), F.col("page_count").alias("total_pages"))
+    own = Window.partitionBy("source_file")
+    earlier = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = info.select("source_file", "part", F.when(F.count("*").over(own) > 1, F.greatest("page_count", F.lit(1))).otherwise(F.col("page_count")).alias("page_count"))
+    total = lambda w: F.coalesce(F.sum("page_count").over(w), F.lit(0)).cast("int")
+    return counted.select("*", total(earlier).alias("before"), total(own).alias("total_pages"))
+
+
+def _lists(places: DataFrame, numbers: Column, *keep: str) -> DataFrame:
+    """What render_lists takes: of the given numbers of a document's pages, those that lie in a part."""
+    keys = [c for c in ("source_file", "part") if c in places.columns]
+    return places.select(*keys, "page_count", *keep, F.transform(numbers, lambda n: F.struct(n.alias("position"), (n - F.col("before")).alias("page_number"))).alias("pages"))
+
+
+def analyse_contexts(
+    files: DataFrame, make_renderer, make_model, config: ModelConfig, render: RenderConfig, wait: Callable[[float], None] = time.sleep, places: DataFrame | None = None
+) -> DataFrame:
+    """(source_file, total_pages, context, error, input_tokens, output_tokens) of files.
 
     The model sees the sample pages of a document, at most five images, in one call. If the call fails, the context is
     that of an unknown document and error says why. A file without pages is not sent."""
-    info = materialise(adapters.pdf_info(files, make_renderer).select("source_file", F.col("page_count").alias("total_pages")), "info")
-    wanted = info.where("total_pages > 0").select("source_file", F.explode(sample_pages(F.col("total_pages"))).alias("page_number"))
-    images = adapters.render_pages(files, wanted, make_renderer, render.dpi, render.image_format, render.max_dimension)
+    places = places or materialise(page_places(files, make_renderer), "places", tidy=True)
+    info = places.where("before = 0").select("source_file", "total_pages")
+    inside = F.filter(sample_pages(F.col("total_pages")), lambda n: (n > F.col("before")) & (n <= F.col("before") + F.col("page_count")))
+    images = adapters.render_lists(files, _lists(places, inside).where(F.size("pages") > 0), make_renderer, render.dpi, render.image_format, render.max_dimension)
     url = prompts.data_url(F.col("mime_type"), F.col("image_base64"))
-    asked = images.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("page_number", url.alias("url")))).alias("o"))
+    asked = images.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("position", url.alias("url")))).alias("o"))
     asked = asked.select("source_file", F.lit(prompts.CONTEXT_SYSTEM).alias("system_prompt"), F.lit(prompts.CONTEXT_USER).alias("user_prompt"), F.transform("o", lambda x: x["url"]).alias("images"))
     replies = adapters.ask_model(asked, ["source_file"], make_model, 1, wait)
     out = info.join(replies, "source_file", "left")
@@ -52,14 +77,19 @@ def analyse_contexts(files: DataFrame, make_renderer, make_model, config: ModelC
     return out.select("source_file", "total_pages", context.alias("context"), failed.alias("error"), F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"))
 
 
-def extract_pages(files: DataFrame, contexts: DataFrame, make_renderer, make_model, config: ModelConfig, render: RenderConfig, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def extract_pages(
+    files: DataFrame, contexts: DataFrame, make_renderer, make_model, config: ModelConfig, render: RenderConfig, wait: Callable[[float], None] = time.sleep, places: DataFrame | None = None
+) -> DataFrame:
     """(source_file, page fields, input_tokens, output_tokens) of all pages of all files.
 
     A refused or unreadable reply is asked again with growing waits; if that does not help, the last reply counts. A
     page for which every attempt raised an error is kept, with confidence 0 and a note."""
-    known = contexts.where("total_pages > 0").select("source_file", "total_pages", prompts.page_system_prompt(F.col("context")).alias("system_prompt"))
-    wanted = known.select("*", F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page_number"))
-    images = adapters.render_pages(files, wanted, make_renderer, render.dpi, render.image_format, render.max_dimension, keep=("total_pages", "system_prompt"))
+    places = places or materialise(page_places(files, make_renderer), "places", tidy=True)
+    known = contexts.select("source_file", prompts.page_system_prompt(F.col("context")).alias("system_prompt"))
+    numbers = F.sequence(F.col("before") + 1, F.col("before") + F.col("page_count"))
+    lists = _lists(places.where("page_count > 0").join(known, "source_file"), numbers, "total_pages", "system_prompt")
+    images = adapters.render_lists(files, lists, make_renderer, render.dpi, render.image_format, render.max_dimension, keep=("total_pages", "system_prompt"))
+    images = images.withColumn("page_number", F.col("position"))
     url = prompts.data_url(F.col("mime_type"), F.col("image_base64"))
     asked = images.select("source_file", "page_number", "system_prompt", prompts.page_user_prompt(F.col("page_number"), F.col("total_pages")).alias("user_prompt"), F.array(url).alias("images"))
     replies = adapters.ask_model(asked, ["source_file", "page_number"], make_model, config.max_retries, wait, accept_page)
@@ -81,10 +111,11 @@ def extract_documents(
     config, render = config or ModelConfig(), render or RenderConfig()
     say = progress or (lambda *_: None)
     say(0, 0, "Analysing documents")
-    contexts = materialise(analyse_contexts(files, make_renderer, make_model, config, render, wait), "contexts")
+    places = materialise(page_places(files, make_renderer), "places", tidy=True)
+    contexts = materialise(analyse_contexts(files, make_renderer, make_model, config, render, wait, places), "contexts", tidy=True)
     total = contexts.agg(F.coalesce(F.sum("total_pages"), F.lit(0))).first()[0]
     say(0, total, "Reading pages")
-    pages = materialise(extract_pages(files, contexts, make_renderer, make_model, config, render, wait), "pages")
+    pages = materialise(extract_pages(files, contexts, make_renderer, make_model, config, render, wait, places), "pages", tidy=True)
     say(total, total, "Done")
     return contexts, pages
 

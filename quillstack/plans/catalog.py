@@ -16,7 +16,7 @@ from quillstack.operators import collection as col, documents as docs, extractio
 from quillstack.operators.ordered import latest, running_sum
 from quillstack.plans.sql import SQL
 from quillstack.schemas import SegmentConfig, StoreConfig, valid_context, valid_page
-from quillstack.session import application_folder, materialise, ship_package, spread
+from quillstack.session import application_folder, discard, materialise, ship_package, spread
 from quillstack.sources import json_results as js
 from quillstack.sources.tables import table
 
@@ -434,12 +434,14 @@ def delete_document(spark, folder):
 
 @query
 def extract_document(spark, folder):
-    """Every document as a file of pages, rendered, asked for and parsed by the offline stand-ins."""
+    """Every document as a file of pages, in parts, rendered, asked for and parsed by the offline stand-ins."""
     pages = _pages(spark, folder, "content").select("source_file", "page_number", F.replace(F.coalesce("content", F.lit("")), F.lit("\f"), F.lit(" ")).alias("content"))
-    ordered = F.sort_array(F.collect_list(F.struct("page_number", "content")))
-    files = pages.groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda p: p["content"]), "\f").alias("text"))
-    files = materialise(files.select(F.col("source_file").alias("path"), F.encode("text", "UTF-8").alias("content")), "files")
+    part = F.coalesce(F.floor(F.col("page_number") / docs.PART_PAGES).cast("int"), F.lit(2**31 - 1)).alias("part")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("page_number").isNull().alias("late"), "page_number", "content")))
+    files = pages.groupBy(F.col("source_file").alias("path"), part).agg(F.array_join(F.transform(ordered, lambda p: p["content"]), "\f").cast("binary").alias("content"))
+    files = materialise(files, "files", tidy=True)
     _, found = ext.extract_documents(files, PlainTextRenderer, EchoModel, wait=lambda s: None)
+    discard(files)
     return found.select("source_file", "page_number", "content", "extraction_confidence", F.array_join("content_types", ",").alias("content_types"))
 
 
