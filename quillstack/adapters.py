@@ -256,10 +256,13 @@ class PlainTextRenderer:
 
 
 class EchoModel:
-    """Stand-in model: gives the text of the last image (a data URL or bare base64) back as the page's content."""
+    """Stand-in model: gives the text of the last image (a data URL or bare base64) back as the page's content.
+
+    Braces and backticks of the text are written as JSON escapes, since a reply's JSON part is found by them."""
 
     def answer(self, system_prompt: str, user_prompt: str, images: list[str]) -> tuple[str, int, int]:
         import json
 
         text = base64.b64decode(images[-1].rpartition(",")[2] if images else "").decode("utf-8", errors="replace")
-        return json.dumps({"content": text}, ensure_ascii=False), len(system_prompt) + len(user_prompt), len(text)
+        quoted = json.dumps(text, ensure_ascii=False).replace("{", "\\u007b").replace("}", "\\u007d").replace("`", "\\u0060")
+        return f'{{"content": {quoted}}}', len(system_prompt) + len(user_prompt), len(text)

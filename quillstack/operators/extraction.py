@@ -21,6 +21,9 @@ from quillstack.operators.responses import accept_page, is_refusal, parse_contex
 from quillstack.schemas import CONTEXT, ModelConfig, RenderConfig
 from quillstack.session import materialise
 
+#: Rows of files, images and replies that a Python worker gets at once; several workers share an executor.
+BATCH = 1_000
+
 Progress = Callable[[int, int, str], None]
 _PAGE_FIELDS = (
     "page_number", "content", "sections", "paragraph_numbers", "content_types", "has_table", "has_list", "has_figure", "internal_references", "external_references",
@@ -63,7 +66,7 @@ def analyse_contexts(
 
     The model sees the sample pages of a document, at most five images, in one call. If the call fails, the context is
     that of an unknown document and error says why. A file without pages is not sent."""
-    places = places or materialise(page_places(files, make_renderer), "places", tidy=True)
+    places = places or materialise(page_places(files, make_renderer), "places", tidy=True, batch=BATCH)
     info = places.where("before = 0").select("source_file", "total_pages")
     inside = F.filter(sample_pages(F.col("total_pages")), lambda n: (n > F.col("before")) & (n <= F.col("before") + F.col("page_count")))
     images = adapters.render_lists(files, _lists(places, inside).where(F.size("pages") > 0), make_renderer, render.dpi, render.image_format, render.max_dimension)
@@ -84,7 +87,7 @@ def extract_pages(
 
     A refused or unreadable reply is asked again with growing waits; if that does not help, the last reply counts. A
     page for which every attempt raised an error is kept, with confidence 0 and a note."""
-    places = places or materialise(page_places(files, make_renderer), "places", tidy=True)
+    places = places or materialise(page_places(files, make_renderer), "places", tidy=True, batch=BATCH)
     known = contexts.select("source_file", prompts.page_system_prompt(F.col("context")).alias("system_prompt"))
     numbers = F.sequence(F.col("before") + 1, F.col("before") + F.col("page_count"))
     lists = _lists(places.where("page_count > 0").join(known, "source_file"), numbers, "total_pages", "system_prompt")
@@ -111,11 +114,11 @@ def extract_documents(
     config, render = config or ModelConfig(), render or RenderConfig()
     say = progress or (lambda *_: None)
     say(0, 0, "Analysing documents")
-    places = materialise(page_places(files, make_renderer), "places", tidy=True)
-    contexts = materialise(analyse_contexts(files, make_renderer, make_model, config, render, wait, places), "contexts", tidy=True)
+    places = materialise(page_places(files, make_renderer), "places", tidy=True, batch=BATCH)
+    contexts = materialise(analyse_contexts(files, make_renderer, make_model, config, render, wait, places), "contexts", tidy=True, batch=BATCH)
     total = contexts.agg(F.coalesce(F.sum("total_pages"), F.lit(0))).first()[0]
     say(0, total, "Reading pages")
-    pages = materialise(extract_pages(files, contexts, make_renderer, make_model, config, render, wait, places), "pages", tidy=True)
+    pages = materialise(extract_pages(files, contexts, make_renderer, make_model, config, render, wait, places), "pages", tidy=True, batch=BATCH)
     say(total, total, "Done")
     return contexts, pages
 

@@ -92,20 +92,26 @@ def release(spark: SparkSession) -> None:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
+#: Setting of the most rows that go to a Python worker, or come back, at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, label: str, tidy: bool = False, batch: int | None = None) -> DataFrame:
     """Write df as parquet in the application's folder and read it back: cuts lineage, survives lost executors.
 
-    tidy: the shuffle files of the write are removed as soon as it ends, and not when the driver collects its garbage."""
+    tidy: the shuffle files of the write are removed as soon as it ends, and not when the driver collects its garbage.
+    batch: rows that Python workers get at once, for wide rows."""
     spark = df.sparkSession
     path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_TIDY, None)
-    if tidy:
-        spark.conf.set(_TIDY, "true")
+    settings = ({_TIDY: "true"} if tidy else {}) | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if tidy:
-            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     _PLACES[table] = path
     return table

@@ -1,9 +1,12 @@
+import json
+
 import duckdb
+import pytest
 from compare import against_sql
 from pyspark.sql import functions as F
 
 from quillstack import adapters
-from quillstack.operators import extraction as ext
+from quillstack.operators import extraction as ext, responses as resp
 from quillstack.plans import catalog
 
 
@@ -46,14 +49,20 @@ def test_files_in_parts_give_what_whole_files_give(spark):
     assert sorted((r.source_file, r.page_number, r.content) for r in both[1][1].collect()) == sorted((n, i, t) for n, p in pages.items() if n != "b" for i, t in enumerate(p, 1))
 
 
+@pytest.mark.parametrize("text", ["a }} b", "{{c", "```json {} ```", '"}"', "\\u007b }", "", "ä\n\t`"])
+def test_replies_of_the_stand_in_hold_any_text(text):
+    reply, *_ = adapters.EchoModel().answer("", "", [adapters.base64.b64encode(text.encode()).decode()])
+    assert json.loads(reply) == {"content": text} and resp.json_part(reply) == reply and resp.accept_page(reply)
+
+
 def test_extract_document_equals_sql_over_several_parts(spark, data, tmp_path):
-    """Long documents, gaps and empty pages where parts begin, a page without a number, documents of empty pages only."""
+    """Long documents, gaps and empty pages where parts begin, a page without a number, documents of empty pages only, signs of JSON."""
     columns = "source_file, page_number, content, page_id, TIMESTAMP '2024-01-01' AS ingested_at"
     duckdb.sql(f"""COPY (SELECT {columns} FROM (
         SELECT 'long' AS source_file, i::INT AS page_number, 'Seite ' || i AS content, i AS page_id FROM range(1, 1001) t(i)
         UNION ALL SELECT 'edge', i::INT, CASE WHEN i < 512 THEN 'p' || i ELSE '' END, 2000 + i FROM range(1, 513) t(i)
         UNION ALL SELECT 'gaps', n::INT, CASE WHEN n = 300 THEN NULL ELSE 'g' || n END, 4000 + n FROM (VALUES (1), (300), (900), (901)) t(n)
-        UNION ALL SELECT * FROM (VALUES ('lone', 1, '', 6001), ('two', 1, '', 6002), ('two', 2, NULL, 6003), ('late', NULL, 'last', 6004), ('late', 1, 'first', 6005), ('feed', 1, 'a' || chr(12) || 'b', 6006))
+        UNION ALL SELECT * FROM (VALUES ('lone', 1, '', 6001), ('two', 1, '', 6002), ('two', 2, NULL, 6003), ('late', NULL, 'last', 6004), ('late', 1, 'first', 6005), ('feed', 1, 'a' || chr(12) || 'b', 6006), ('signs', 1, 'a }}}} b {{{{c', 6007), ('signs', 2, '```json {{"x": 1}} ``` "q" `', 6008))
     )) TO '{tmp_path}/extracted_pages.parquet' (FORMAT parquet)""")
     found = catalog.queries()["extract_document"](spark, str(tmp_path))
     assert found.where("source_file = 'long'").count() == 1000
